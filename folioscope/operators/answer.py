@@ -96,76 +96,102 @@ def no_information(question: Column) -> Column:
     return F.concat(F.lit(L.NO_INFORMATION), question, F.lit("'."))
 
 
-def grounded_answer(question: Column, context: Column, aggregates: Column | None = None) -> Column:
-    """Deterministic answer: a figure, else a table, else the best text passages."""
-    top = F.get(context, F.lit(0))
-    similarity = F.coalesce(F.when(top["raw_similarity"] != 0, top["raw_similarity"]), F.lit(1.0))
-    figure = F.try_element_at(F.filter(context, lambda c: (c["modality"] == "image-caption") | _filled(c["media_path"])), F.lit(1))
-    grid = F.try_element_at(F.filter(context, lambda c: c["modality"] == "table"), F.lit(1))
-    long_ones = F.filter(context, lambda c: F.length(strip(_text(c["content"]))) > 60)
-    passages = F.when(F.size(long_ones) > 0, long_ones).otherwise(context)
-    main, second = F.get(passages, F.lit(0)), F.get(passages, F.lit(1))
+def with_grounded_answer(rows: DataFrame, name: str = "answer") -> DataFrame:
+    """Add a deterministic answer: a figure, else a table, else text passages.
 
-    title = F.when(_filled(figure["caption"]), figure["caption"]).when(_filled(figure["content"]), figure["content"]).otherwise(F.lit("Archive figure"))
+    ``rows(question, context, aggregates)``; parts shared by several phrases are
+    columns of their own, so the expressions stay small.
+    """
+    context, figure, grid = F.col("context"), F.col("_figure"), F.col("_grid")
+    main, second, title = F.col("_main"), F.col("_second"), F.col("_title")
+    top = F.get(context, F.lit(0))["raw_similarity"]
+    similarity = F.coalesce(F.when(top != 0, top), F.lit(1.0))
+    long_ones = F.filter(context, lambda c: F.length(strip(_text(c["content"]))) > 60)
     shown = strip(F.regexp_replace(title, r"(?i)^(figure plate|figure|plate):\s*", ""))
     visual = F.concat_ws(
         "\n",
-        F.concat(F.lit("### Figure record\nAs documented in "), cite(figure), F.lit(":\n")),
+        F.concat(F.lit("### Figure record\nAs documented in "), F.col("_figure_cite"), F.lit(":\n")),
         _text(figure["content"]),
         F.when(
             figure["resolved_media"].isNotNull(),
             F.concat(
                 F.lit("\n\n!["), title, F.lit("]("), figure["resolved_media"], F.lit(")\n\n*Figure: "), shown,
-                F.lit(" — Source: "), cite(figure), F.lit("*"),
+                F.lit(" — Source: "), F.col("_figure_cite"), F.lit("*"),
             ),
         ),
     )
     tabular = F.concat(F.lit("### Table record\nAs documented in "), cite(grid), F.lit(":\n\n"), _text(grid["content"]))
-    more = strip(_text(second["content"]))
+    more, said = F.col("_more"), strip(_text(main["content"]))
     prose = F.concat_ws(
         "\n",
         F.concat(F.lit("### Findings\nAs documented in "), cite(main), F.lit(":\n")),
-        strip(_text(main["content"])),
+        said,
         F.when(
-            (more != "") & (more != strip(_text(main["content"]))),
-            F.concat(F.lit("\n\n### Further evidence\nAlso recorded in "), cite(second), F.lit(":\n"), F.element_at(F.split(more, "\n\n"), 1)),
+            (more != "") & (more != said),
+            F.concat(
+                F.lit("\n\n### Further evidence\nAlso recorded in "), cite(second), F.lit(":\n"),
+                F.element_at(F.split(more, "\n\n"), 1),
+            ),
         ),
     )
-    doubtful = F.filter(F.slice(context, 2, 2), lambda c: c["source_reliability"].isin(L.CONFLICTING_RELIABILITY))
     conflicts = F.when(
-        F.size(doubtful) > 0,
+        F.size("_doubtful") > 0,
         F.concat(
             F.lit("\n\n**Conflicting sources:**\n"),
             F.array_join(
                 F.transform(
-                    doubtful,
-                    lambda c: F.concat(F.lit("- *Less reliable account* "), cite(c), F.lit(': "'), F.substring(_text(c["content"]), 1, 120), F.lit('..."')),
+                    "_doubtful",
+                    lambda c: F.concat(
+                        F.lit("- *Less reliable account* "), cite(c), F.lit(': "'),
+                        F.substring(_text(c["content"]), 1, 120), F.lit('..."'),
+                    ),
                 ),
                 "\n",
             ),
         ),
     )
-    totals = F.lit(None).cast("string")
-    if aggregates is not None:
-        totals = F.when(
-            F.size(aggregates) > 0,
-            F.concat(
-                F.lit("\n\n**Table totals:**\n"),
-                F.array_join(
-                    F.transform(
-                        aggregates,
-                        lambda a: F.concat(
-                            F.lit("- **"), title_case(a["column"]), F.lit(" Total**: Sum = `"), a["sum_value"].cast("string"),
-                            F.lit("`, Average = `"), a["avg_value"].cast("string"), F.lit("` (across "), a["n_values"].cast("string"), F.lit(" records)"),
-                        ),
-                    ),
-                    "\n",
-                ),
-            ),
+
+    def total(a: Column) -> Column:
+        return F.concat(
+            F.lit("- **"), title_case(a["column"]), F.lit(" Total**: Sum = `"), a["sum_value"].cast("string"),
+            F.lit("`, Average = `"), a["avg_value"].cast("string"), F.lit("` (across "),
+            a["n_values"].cast("string"), F.lit(" records)"),
         )
+
+    totals = F.when(
+        F.size("aggregates") > 0,
+        F.concat(F.lit("\n\n**Table totals:**\n"), F.array_join(F.transform("aggregates", total), "\n")),
+    )
     found = F.coalesce(F.size(context), F.lit(0)) > 0
     body = F.when(figure.isNotNull(), visual).when(grid.isNotNull(), tabular).otherwise(prose)
-    return F.when(found & (similarity >= 0.25), F.concat_ws("\n", body, conflicts, totals)).otherwise(no_information(question))
+    staged = {
+        "_figure": F.try_element_at(
+            F.filter(context, lambda c: (c["modality"] == "image-caption") | _filled(c["media_path"])), F.lit(1)
+        ),
+        "_grid": F.try_element_at(F.filter(context, lambda c: c["modality"] == "table"), F.lit(1)),
+        "_long": long_ones,
+        "_doubtful": F.filter(F.slice(context, 2, 2), lambda c: c["source_reliability"].isin(L.CONFLICTING_RELIABILITY)),
+    }
+    passages = F.when(F.size("_long") > 0, F.col("_long")).otherwise(context)
+    caption, content = figure["caption"], figure["content"]
+    read = {
+        "_main": F.get(passages, F.lit(0)),
+        "_second": F.get(passages, F.lit(1)),
+        "_more": strip(_text(F.get(passages, F.lit(1))["content"])),
+        "_figure_cite": cite(figure),
+        "_title": F.when(_filled(caption), caption).when(_filled(content), content).otherwise(F.lit("Archive figure")),
+    }
+    return (
+        rows.withColumns(staged)
+        .withColumns(read)
+        .withColumn(
+            name,
+            F.when(found & (similarity >= 0.25), F.concat_ws("\n", body, conflicts, totals)).otherwise(
+                no_information(F.col("question"))
+            ),
+        )
+        .drop(*staged, *read)
+    )
 
 
 def weave(text: Column, pattern: str, tag: Callable[[Column], Column]) -> Column:

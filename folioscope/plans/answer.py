@@ -12,9 +12,9 @@ from folioscope.operators.answer import (
     answer_gate,
     context_prompt,
     fix_media,
-    grounded_answer,
     normalize_citations,
     with_context,
+    with_grounded_answer,
 )
 from folioscope.operators.confidence import retrieval_confidence
 from folioscope.operators.media import resolve_media
@@ -49,7 +49,8 @@ def generate_answers(
     report = verification_report(structure, gated).select("query_id", "is_sufficient")
     active = gated.where("kept")
     totals = collected_aggregates(table_aggregates(structure, active))
-    rows = (
+    # Each cut keeps the plans small; all of these hold one row per question.
+    rows = checkpointed(
         with_context(structure.select("query_id", "question"), context)
         .join(confidence, "query_id")
         .join(report, "query_id")
@@ -64,9 +65,12 @@ def generate_answers(
         prompts = rows.where(F.col("early").isNull()).select("query_id", context_prompt(q, c, a).alias("prompt"))
         rows = rows.join(generator(prompts).select("query_id", "draft"), "query_id", "left")
         draft = F.when(F.length(F.trim("draft")) > 10, F.col("draft"))
-    written = rows.where(F.col("early").isNull()).select(
-        "query_id", "question", "retrieved", "context",
-        normalize_citations(F.coalesce(draft, grounded_answer(q, c, a)), c).alias("answer"),
+    due = with_grounded_answer(rows.where(F.col("early").isNull()), "grounded")
+    written = checkpointed(
+        due.select(
+            "query_id", "question", "retrieved", "context",
+            normalize_citations(F.coalesce(draft, F.col("grounded")), c).alias("answer"),
+        )
     )
     refused = rows.where(F.col("early").isNotNull()).select("query_id", "question", "retrieved", F.col("early").alias("answer"))
     return (

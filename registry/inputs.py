@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 PATH_PREFIXES = ["codex/", "wiki/", "chronicles/", "ephemera/trial_", "ephemera/ballad_", "ephemera/ledger_", "ephemera/letter_", "ephemera/auction_", "misc/"]
 RELIABILITIES = ["official_codex", "wiki", "novel", "ephemera_trial", "ephemera_tavern", "ephemera", "unverified", "ballad", "archive_record"]
 
+# Openers that make the prose of the given turns reach every routing rule.
+TRIGGERS = [
+    "", "Show me the diagram of ", "compare the total cost with ", "who was the mentor of ", "What is the capital of France and ",
+    "an overview of all battles near ", "give me the stats table for ", "what am i holding near ", "when was it signed: ",
+    "how many soldiers and what garrison strength ", "which is larger, the effective range or ", "what happened after the fleet fell ",
+    "die ", "Hello there ", "the sum of ", "tell me about the blueprint and ledger ",
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,3 +49,51 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("question"))
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    ext = pick([".md", ".pdf", ".docx", ".scan.pdf", ".markdown", ".txt", ".TXT"], i)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", "source", F.concat(pick(PATH_PREFIXES, i), "source", F.lit("_"), i, ext).alias("path")
+    )
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as a question, with a routing opener by its key."""
+    opener = pick(TRIGGERS, F.col("conv_id") * 7 + F.col("turn"))
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(opener, "text").alias("question")
+    )
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns that quote the start of a document."""
+    opener = pick(TRIGGERS, F.col("conv_id") * 7 + F.col("turn"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("conv_id"), F.concat(F.lit('"'), F.substring("text", 1, 12), F.lit('" ')).alias("quote")
+    )
+    return turns.join(docs, "conv_id").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        "conv_id",
+        "turn",
+        F.concat(opener, "quote", "text").alias("question"),
+    )
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten scored candidate chunks per asked question, with its structure."""
+    from folioscope.operators.query_features import analyze_structure
+    from folioscope.session import checkpointed
+
+    questions = checkpointed(analyze_structure(asked(spark, sf_dir)))
+    raw = ((F.col("conv_id") * 7 + F.col("j") * 13 + F.col("turn") * 3) % 100) / 100.0
+    wide = questions.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(
+        "query_id", "question", "entities", "fields", "is_comparative",
+        F.concat(F.lit("doc_"), F.col("conv_id") * 10 + F.col("j"), F.lit("_p1_c01")).alias("chunk_id"),
+        raw.alias("raw_similarity"),
+        F.bround(raw * F.element_at(F.array(F.lit(1.0), F.lit(1.4), F.lit(1.6)), F.col("j") % 3 + 1), 4).alias("relevance_score"),
+        (F.col("j") + 1).alias("rank"),
+    )
+    return wide.join(chunks(spark, sf_dir), "chunk_id")
