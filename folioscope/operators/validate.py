@@ -18,7 +18,7 @@ def chunk_errors(media_exists: Column | None = None) -> Column:
         checks.append(F.when(~known, F.concat(F.lit(f"invalid:{name}="), F.coalesce(name, F.lit("null")))))
     if media_exists is not None:
         wants = F.col("modality").isin("image-caption", "table") & (F.length(F.coalesce("media_path", F.lit(""))) > 0)
-        checks.append(F.when(wants & ~F.coalesce(media_exists, F.lit(False)), F.concat(F.lit("no_media:"), "media_path")))
+        checks.append(F.when(wants & ~F.coalesce(media_exists, F.lit(False)), F.concat(F.lit("no_media:"), F.col("media_path"))))
     checks.append(F.when(F.coalesce(strip(F.col("content")), F.lit("")) == "", F.lit("empty:content")))
     return F.array_compact(F.array(*checks))
 

@@ -138,7 +138,7 @@ FROM secs s LEFT JOIN crumbs c USING (doc_id, sec)
 
 def txt_titles(spark, sf):
     d = I.table(spark, sf, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda l, i: F.when(i == F.col("doc_id") % 7, F.upper(F.substring(l, 1, 40))).otherwise(l))
+    lines = F.transform(F.split("text", "\n"), lambda l, i: F.when(i == F.col("doc_id") % 7, F.upper(F.replace(F.substring(l, 1, 40), F.lit("ß"), F.lit("ss")))).otherwise(l))
     rows = d.select("doc_id", F.concat("source", F.lit("_"), "doc_id").alias("stem"), F.array_join(lines, "\n").alias("text"))
     return rows.select("doc_id", text_title(F.col("stem"), F.col("text")).alias("section_title"))
 
@@ -148,7 +148,7 @@ WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents
 ), shout AS (
   SELECT doc_id, min_by(t, i) AS t FROM (
-    SELECT doc_id, i, trim(CASE WHEN i = doc_id % 7 THEN upper(substring(l, 1, 40)) ELSE l END) AS t FROM lines WHERE i < 5)
+    SELECT doc_id, i, trim(CASE WHEN i = doc_id % 7 THEN upper(replace(substring(l, 1, 40), 'ß', 'ss')) ELSE l END) AS t FROM lines WHERE i < 5)
   WHERE length(t) > 3 AND length(t) < 70 AND upper(t) = t AND lower(t) <> t GROUP BY doc_id
 )
 SELECT doc_id, 'Src' || substring(source, 4) || ' ' || doc_id || CASE WHEN t IS NULL THEN '' ELSE ' > ' || t END AS section_title
@@ -213,7 +213,7 @@ WITH {CHUNKS}, f AS (
 SELECT chunk_id, 'missing:page_number' AS error FROM f WHERE page_number IS NULL
 UNION ALL SELECT chunk_id, 'invalid:modality=video' FROM f WHERE modality = 'video'
 UNION ALL SELECT chunk_id, 'invalid:document_type=html' FROM f WHERE document_type = 'html'
-UNION ALL SELECT chunk_id, 'no_media:media_path' FROM f WHERE modality IN ('image-caption', 'table') AND media_path IS NOT NULL
+UNION ALL SELECT chunk_id, 'no_media:' || media_path FROM f WHERE modality IN ('image-caption', 'table') AND media_path IS NOT NULL
   AND doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT chunk_id, 'empty:content' FROM f WHERE trim(content) = ''
 """
