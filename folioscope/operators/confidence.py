@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import rounded
 from folioscope.functions.text import lower_text, query_tokens, without
 from folioscope.lexicon import DEFAULT, Lexicon
 
@@ -54,7 +55,7 @@ def retrieval_confidence(queries: DataFrame, ranked: DataFrame, threshold: float
         .withColumn("top_similarity", F.coalesce("_sim", F.lit(0.0)))
         .withColumn("matched_entities", F.filter("_nouns", lambda w: F.coalesce(F.contains(F.col("_text"), w), F.lit(False))))
         .withColumn("_overlap", hits / F.greatest(n, F.lit(1)))
-        .withColumn("confidence_score", F.bround(sim * 0.6 + overlap * 0.4, 4))
+        .withColumn("confidence_score", rounded(sim * 0.6 + overlap * 0.4, 4))
         .withColumn("_verdict", F.split(verdict, r"\|"))
         .select(
             "query_id",
@@ -63,7 +64,7 @@ def retrieval_confidence(queries: DataFrame, ranked: DataFrame, threshold: float
             "confidence_score",
             "top_similarity",
             "matched_entities",
-            F.bround("_overlap", 2).alias("overlap_ratio"),
+            rounded(F.col("_overlap"), 2).alias("overlap_ratio"),
             F.get("_verdict", F.lit(1)).alias("reason"),
         )
     )

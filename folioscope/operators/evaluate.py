@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import rounded
 from folioscope import lexicon as L
 from folioscope.functions.text import LINE_BREAK, contains_any, in_list, lower_text, strip
 from folioscope.lexicon import DEFAULT, Lexicon
@@ -130,7 +131,7 @@ def counts_for_modality(qid: Column, target: Column) -> Column:
 
 
 def _percent(hits: Column, total: Column, when_none: float) -> Column:
-    return F.when(total > 0, F.bround(hits / total * 100, 1)).otherwise(F.lit(when_none))
+    return F.when(total > 0, rounded(hits / total * 100, 1)).otherwise(F.lit(when_none))
 
 
 def evaluation_summary(results: DataFrame) -> DataFrame:
@@ -162,9 +163,9 @@ def evaluation_summary(results: DataFrame) -> DataFrame:
         _percent(F.col("citation_pass"), total, 0.0).alias("citation_accuracy_pct"),
         _percent(F.col("hallucination_count"), total, 0.0).alias("hallucination_pct"),
         _percent(F.col("modality_pass"), F.col("modality_total"), 100.0).alias("modality_success_pct"),
-        F.coalesce(F.bround("_avg", 2), F.lit(0.0)).alias("average_latency_seconds"),
-        F.coalesce(F.bround(F.get("_pct", F.lit(0)), 2), F.lit(0.0)).alias("median_p50_latency_seconds"),
-        F.coalesce(F.bround(F.get("_pct", F.lit(1)), 2), F.lit(0.0)).alias("p95_latency_seconds"),
+        F.coalesce(rounded(F.col("_avg"), 2), F.lit(0.0)).alias("average_latency_seconds"),
+        F.coalesce(rounded(F.get("_pct", F.lit(0)), 2), F.lit(0.0)).alias("median_p50_latency_seconds"),
+        F.coalesce(rounded(F.get("_pct", F.lit(1)), 2), F.lit(0.0)).alias("p95_latency_seconds"),
     )
 
 

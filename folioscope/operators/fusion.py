@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import rounded
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.query_features import analyze_structure, modality_target
 
@@ -30,7 +31,7 @@ def fan_out(features: DataFrame, lex: Lexicon = DEFAULT, modality_override: Colu
 def corroborated_score(first: Column, hits: Column) -> Column:
     """First score, raised 1.25 times per further hit and rounded every time."""
     again = F.when(hits > 1, F.sequence(F.lit(2), hits.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(again, first, lambda acc, _: F.bround(acc * HOP_BOOST, 4))
+    return F.aggregate(again, first, lambda acc, _: rounded(acc * HOP_BOOST, 4))
 
 
 def fuse_hops(hits: DataFrame, limit: Column | int) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import rounded
 from folioscope.functions.text import WORD_RUN, bounded, query_tokens, quoted_sql, without, words
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.session import checkpointed
@@ -278,8 +279,8 @@ def _rank(scored: DataFrame, max_k: int) -> DataFrame:
             *QUERY_KEYS,
             "chunk_id",
             "k",
-            F.bround(similarity, 4).alias("raw_similarity"),
-            F.bround(similarity * multiplier, 4).alias("relevance_score"),
+            rounded(similarity, 4).alias("raw_similarity"),
+            rounded(similarity * multiplier, 4).alias("relevance_score"),
         )
         .withColumn("rank", F.row_number().over(best))
         # The constant bound lets every task drop all but its best rows early.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import rounded
 from folioscope.functions.text import has_word, query_tokens, strip, without, words
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.matching import full_text, matched_fields
@@ -81,7 +82,7 @@ def cross_relevance() -> Column:
     def known(c: str) -> Column:
         return F.coalesce(F.when(F.col(c) != 0, F.col(c)), F.lit(0.5))
 
-    return F.bround(
+    return rounded(
         (
             known("relevance_score") * 0.25
             + known("raw_similarity") * 0.20

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import rounded
 from folioscope.functions.tables import numeric_value, parse_markdown_table
 from folioscope.functions.text import contains_any
 from folioscope.lexicon import TABLE_AGGREGATE_TRIGGERS
@@ -20,8 +21,8 @@ def column_stats(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataF
         .groupBy(*keys)
         .agg(
             F.count(value).alias("n_values"),
-            F.coalesce(F.bround(F.sum(value), 2), zero).alias("sum_value"),
-            F.coalesce(F.bround(F.avg(value), 2), zero).alias("avg_value"),
+            F.coalesce(rounded(F.sum(value), 2), zero).alias("sum_value"),
+            F.coalesce(rounded(F.avg(value), 2), zero).alias("avg_value"),
             F.coalesce(F.min(value), zero).alias("min_value"),
             F.coalesce(F.max(value), zero).alias("max_value"),
         )

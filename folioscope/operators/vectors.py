@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import rounded
 from folioscope.session import BROADCAST_BYTES
 from folioscope.sizing import fits_broadcast
 
@@ -171,8 +172,8 @@ def vector_topk(queries: DataFrame, index: DataFrame, max_k: int) -> DataFrame:
         .withColumn("near", F.row_number().over(nearest))
         .where(F.col("near") <= F.greatest(F.col("k") * 3, F.lit(15)))
         .join(usable.select("chunk_id", "modality", "media_path"), "chunk_id")
-        .withColumn("raw_similarity", F.bround(raw, 4))
-        .withColumn("relevance_score", F.bround(raw * weight, 4))
+        .withColumn("raw_similarity", rounded(raw, 4))
+        .withColumn("relevance_score", rounded(raw * weight, 4))
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= F.col("k"))
         .select("query_id", "step", "chunk_id", "raw_similarity", "relevance_score", "rank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import rounded
+
 PATH_PREFIXES = ["codex/", "wiki/", "chronicles/", "ephemera/trial_", "ephemera/ballad_", "ephemera/ledger_", "ephemera/letter_", "ephemera/auction_", "misc/"]
 RELIABILITIES = ["official_codex", "wiki", "novel", "ephemera_trial", "ephemera_tavern", "ephemera", "unverified", "ballad", "archive_record"]
 
@@ -93,7 +95,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "question", "entities", "fields", "is_comparative",
         F.concat(F.lit("doc_"), F.col("conv_id") * 10 + F.col("j"), F.lit("_p1_c01")).alias("chunk_id"),
         raw.alias("raw_similarity"),
-        F.bround(raw * F.element_at(F.array(F.lit(1.0), F.lit(1.4), F.lit(1.6)), F.col("j") % 3 + 1), 4).alias("relevance_score"),
+        rounded(raw * F.element_at(F.array(F.lit(1.0), F.lit(1.4), F.lit(1.6)), F.col("j") % 3 + 1), 4).alias("relevance_score"),
         (F.col("j") + 1).alias("rank"),
     )
     return wide.join(chunks(spark, sf_dir), "chunk_id")
