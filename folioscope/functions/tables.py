@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import strip
+from folioscope.functions.text import let, strip
 
 
 def clean_cell(cell: Column) -> Column:
@@ -13,28 +13,43 @@ def clean_cell(cell: Column) -> Column:
     return F.replace(flat, F.lit("|"), F.lit("\\|"))
 
 
+def _line(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+
 def format_markdown_table(grid: Column) -> Column:
     """``array<array<string>>`` to a Markdown table; '' when nothing is left."""
-    rows = F.filter(
+    cleaned = F.filter(
         F.transform(F.filter(grid, lambda r: r.isNotNull()), lambda r: F.transform(r, clean_cell)),
         lambda r: F.exists(r, lambda c: c != ""),
     )
-    width = F.array_max(F.transform(rows, F.size))
-    padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
 
-    def line(cells: Column) -> Column:
-        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    def padded(rows: Column) -> Column:
+        return let(
+            F.array_max(F.transform(rows, F.size)),
+            lambda width: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))),
+        )
+
+    def rendered(rows: Column) -> Column:
+        width = F.size(F.get(rows, F.lit(0)))
+        generic = F.when(width == 2, F.array(F.lit("Property"), F.lit("Record"))).otherwise(
+            F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("Col "), i.cast("string")))
+        )
+        single = F.size(rows) == 1
+        header = F.when(single, generic).otherwise(F.get(rows, F.lit(0)))
+        data = F.when(single, rows).otherwise(F.slice(rows, F.lit(2), F.size(rows)))
+        rule = _line(F.array_repeat(F.lit("---"), width))
+        return F.array_join(F.concat(F.array(_line(header), rule), F.transform(data, _line)), "\n")
 
-    generic = F.when(width == 2, F.array(F.lit("Property"), F.lit("Record"))).otherwise(
-        F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("Col "), i.cast("string")))
-    )
-    single = F.size(rows) == 1
-    header = F.when(single, generic).otherwise(F.element_at(padded, 1))
-    data = F.when(single, padded).otherwise(F.slice(padded, F.lit(2), F.greatest(F.size(padded) - 1, F.lit(0))))
-    rendered = F.array_join(
-        F.concat(F.array(line(header), line(F.array_repeat(F.lit("---"), width))), F.transform(data, line)), "\n"
+    return let(cleaned, lambda rows: F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, F.lit("")).otherwise(let(padded(rows), rendered)))
+
+
+def _cells(line: Column) -> Column:
+    """Trimmed cells between the first and the last pipe."""
+    return let(
+        F.split(line, r"\|"),
+        lambda parts: F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), strip),
     )
-    return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, F.lit("")).otherwise(rendered)
 
 
 def parse_markdown_table(text: Column) -> Column:
@@ -42,31 +57,30 @@ def parse_markdown_table(text: Column) -> Column:
 
     Repeated header names keep the last cell, as a dictionary would.
     """
-    lines = F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda l: l != "")
-    table = F.filter(lines, lambda l: F.contains(l, F.lit("|")))
+    table = F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda l: F.contains(l, F.lit("|")))
 
-    def cells(l: Column) -> Column:
-        parts = F.split(l, r"\|")
-        return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), strip)
+    def maps(lines: Column, header: Column, names: Column) -> Column:
+        data = F.filter(
+            F.transform(F.slice(lines, F.lit(3), F.size(lines)), _cells), lambda r: F.size(r) == F.size(header)
+        )
+        repeated = F.size(names) < F.size(header)
 
-    header = F.filter(cells(F.try_element_at(table, F.lit(1))), lambda h: h != "")
-    body = F.filter(
-        F.transform(F.slice(table, F.lit(3), F.greatest(F.size(table) - 2, F.lit(0))), cells),
-        lambda r: F.size(r) == F.size(header),
-    )
+        def last_of(r: Column, n: Column) -> Column:
+            return F.element_at(F.filter(r, lambda _, i: F.get(header, i) == n), -1)
 
-    def as_map(r: Column) -> Column:
-        names = F.array_distinct(header)
-        return F.map_from_arrays(
-            names,
-            F.transform(
-                names,
-                lambda n: F.element_at(F.filter(r, lambda _, i: F.get(header, i) == n), -1),
+        return F.transform(
+            data,
+            lambda r: F.map_from_arrays(
+                names, F.when(repeated, F.transform(names, lambda n: last_of(r, n))).otherwise(r)
             ),
         )
 
+    def parsed(lines: Column) -> Column:
+        header = F.filter(_cells(F.get(lines, F.lit(0))), lambda h: h != "")
+        return let(header, lambda h: let(F.array_distinct(h), lambda names: maps(lines, h, names)))
+
     empty = F.array().cast("array<map<string,string>>")
-    return F.when(F.size(table) >= 3, F.transform(body, as_map)).otherwise(empty)
+    return let(table, lambda lines: F.when(F.size(lines) >= 3, parsed(lines)).otherwise(empty))
 
 
 def numeric_value(cell: Column) -> Column:

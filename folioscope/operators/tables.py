@@ -16,13 +16,15 @@ def column_stats(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataF
     """count, sum, avg, min, max of the numbers in ``cell``; zeros when none."""
     value = F.col("_value")
     zero = F.lit(0.0)
+    # Noise of the addition order is cut off before the two-digit rounding.
+    total = rounded(F.sum(value), 6)
     return (
         cells.withColumn("_value", numeric_value(F.col(cell)))
         .groupBy(*keys)
         .agg(
             F.count(value).alias("n_values"),
-            F.coalesce(rounded(F.sum(value), 2), zero).alias("sum_value"),
-            F.coalesce(rounded(F.avg(value), 2), zero).alias("avg_value"),
+            F.coalesce(rounded(total, 2), zero).alias("sum_value"),
+            F.coalesce(rounded(total / F.count(value), 2), zero).alias("avg_value"),
             F.coalesce(F.min(value), zero).alias("min_value"),
             F.coalesce(F.max(value), zero).alias("max_value"),
         )

@@ -91,11 +91,11 @@ TABLES = """t AS (SELECT l_orderkey, l_linenumber // 50 AS page, count(*) AS n,
 SQL = {
     "md_table_format": f"WITH {TABLES} SELECT l_orderkey, page, md5(content) AS table_md5 FROM t",
     "md_table_parse": "SELECT l_orderkey, l_linenumber::VARCHAR AS line, l_quantity::INT::VARCHAR AS quantity, l_extendedprice::DECIMAL(12,2)::VARCHAR AS price, l_returnflag AS flag FROM lineitem",
-    "numeric_col_agg": """SELECT l_orderkey, count(*) AS n_values, sum(p)::DOUBLE AS sum_value, round_even(avg(p::DOUBLE), 2) AS avg_value, min(p)::DOUBLE AS min_value, max(p)::DOUBLE AS max_value
+    "numeric_col_agg": """SELECT l_orderkey, count(*) AS n_values, sum(p)::DOUBLE AS sum_value, round_even(sum(p)::DOUBLE / count(*), 2) AS avg_value, min(p)::DOUBLE AS min_value, max(p)::DOUBLE AS max_value
       FROM (SELECT l_orderkey, l_extendedprice::DECIMAL(12,2) AS p FROM lineitem) GROUP BY l_orderkey""",
     "table_aggregates": """WITH b AS (SELECT o_custkey AS query_id, unnest(['Line', 'Quantity', 'Price']) AS "column", unnest([l_linenumber::DECIMAL(12,2), l_quantity::INT::DECIMAL(12,2), l_extendedprice::DECIMAL(12,2)]) AS v
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 3 <> 1)
-      SELECT query_id, "column", count(*) AS n_values, sum(v)::DOUBLE AS sum_value, round_even(avg(v::DOUBLE), 2) AS avg_value, min(v)::DOUBLE AS min_value, max(v)::DOUBLE AS max_value FROM b GROUP BY ALL""",
+      SELECT query_id, "column", count(*) AS n_values, sum(v)::DOUBLE AS sum_value, round_even(sum(v)::DOUBLE / count(*), 2) AS avg_value, min(v)::DOUBLE AS min_value, max(v)::DOUBLE AS max_value FROM b GROUP BY ALL""",
     "table_matrix": f"""WITH {TABLES}, r AS (SELECT o_custkey, l_orderkey, page, n, content FROM t JOIN orders ON o_orderkey = l_orderkey
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey * 1000 + page) <= 8),
       g AS (SELECT o_custkey, count(*) AS c, sum(n) AS n, string_agg('**Source: [order_' || l_orderkey || '.pdf, Page ' || (page + 1) || ']**' || chr(10) || content, chr(10) || chr(10) ORDER BY l_orderkey, page) AS m FROM r GROUP BY o_custkey)
