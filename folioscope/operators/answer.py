@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope import lexicon as L
 from folioscope.functions.paths import file_name
-from folioscope.functions.text import strip, title_case
+from folioscope.functions.text import let, strip, title_case
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.media import IMAGE_TAG, resolve_media
 from folioscope.operators.query_features import scope_guard
@@ -196,30 +196,41 @@ def with_grounded_answer(rows: DataFrame, name: str = "answer") -> DataFrame:
 
 def weave(text: Column, pattern: str, tag: Callable[[Column], Column]) -> Column:
     """Replace the i-th match of ``pattern`` by ``tag(i)``."""
-    parts = F.split(text, pattern, -1)
-    n = F.size(parts) - 1
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i < n, F.concat(p, tag(i))).otherwise(p)), "")
+    return let(
+        F.split(text, pattern, -1),
+        lambda parts: F.array_join(
+            F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, tag(i))).otherwise(p)), ""
+        ),
+    )
 
 
 def normalize_citations(text: Column, context: Column) -> Column:
     """``[Chunk N]`` and ``[Document: d, Page n]`` to ``[d, Page n]``; cite chunk 1 if nothing is cited."""
     numbers, pages, tags = [F.regexp_extract_all(text, F.lit(CHUNK_TAG), F.lit(i)) for i in (1, 2, 0)]
 
-    def reference(i: Column) -> Column:
-        chunk = F.get(context, F.get(numbers, i).try_cast("int") - 1)
-        page = F.when(F.get(pages, i) != "", F.get(pages, i)).otherwise(F.coalesce(chunk["page_number"], F.lit(1)).cast("string"))
+    def reference(t: Column, i: Column) -> Column:
+        chunk = F.get(context, F.get(t["numbers"], i).try_cast("int") - 1)
+        stated = F.get(t["pages"], i)
+        page = F.when(stated != "", stated).otherwise(F.coalesce(chunk["page_number"], F.lit(1)).cast("string"))
         name = F.coalesce(chunk["document_name"], F.lit("Archive Record"))
-        return F.when(chunk.isNull(), F.get(tags, i)).otherwise(F.concat(F.lit("["), name, F.lit(", Page "), page, F.lit("]")))
+        return F.when(chunk.isNull(), F.get(t["tags"], i)).otherwise(F.concat(F.lit("["), name, F.lit(", Page "), page, F.lit("]")))
 
-    woven = weave(text, CHUNK_TAG, reference)
+    # The tags are listed once, outside the loop over the text's parts.
+    listed = F.struct(numbers.alias("numbers"), pages.alias("pages"), tags.alias("tags"))
+    woven = let(listed, lambda t: weave(text, CHUNK_TAG, lambda i: reference(t, i)))
     plain = F.translate(F.regexp_replace(woven, DOCUMENT_TAG, r"[$1, Page $2]"), "\u202f\u00a0", "  ")
-    cited = F.exists(
-        context,
-        lambda c: _filled(c["document_name"]) & F.contains(plain, F.concat(F.lit("["), c["document_name"], F.lit(", Page"))),
-    )
-    sourced = F.concat(F.regexp_replace(plain, r"(?U)\s+$", ""), F.lit("\n\nSource: "), cite(F.get(context, F.lit(0))))
+
+    def sourced(done: Column) -> Column:
+        cited = F.exists(
+            context,
+            lambda c: _filled(c["document_name"])
+            & F.contains(done, F.concat(F.lit("["), c["document_name"], F.lit(", Page"))),
+        )
+        added = F.concat(F.regexp_replace(done, r"(?U)\s+$", ""), F.lit("\n\nSource: "), cite(F.get(context, F.lit(0))))
+        return F.when(cited, done).otherwise(added)
+
     usable = _filled(text) & (F.coalesce(F.size(context), F.lit(0)) > 0)
-    return F.when(usable, F.when(cited, plain).otherwise(sourced)).otherwise(text)
+    return F.when(usable, let(plain, sourced)).otherwise(text)
 
 
 def fix_media(answers: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import rounded
-from folioscope.functions.text import lower_text, query_tokens, without
+from folioscope.functions.text import let, lower_text, query_tokens, without
 from folioscope.lexicon import DEFAULT, Lexicon
 
 
@@ -53,7 +53,7 @@ def retrieval_confidence(queries: DataFrame, ranked: DataFrame, threshold: float
         .join(best, "query_id", "left")
         .withColumn("_nouns", without(query_tokens(F.lower("question")), lex.confidence_stop))
         .withColumn("top_similarity", F.coalesce("_sim", F.lit(0.0)))
-        .withColumn("matched_entities", F.filter("_nouns", lambda w: F.coalesce(F.contains(F.col("_text"), w), F.lit(False))))
+        .withColumn("matched_entities", let(F.col("_text"), lambda t: F.filter("_nouns", lambda w: F.coalesce(F.contains(t, w), F.lit(False)))))
         .withColumn("_overlap", hits / F.greatest(n, F.lit(1)))
         .withColumn("confidence_score", rounded(sim * 0.6 + overlap * 0.4, 4))
         .withColumn("_verdict", F.split(verdict, r"\|"))

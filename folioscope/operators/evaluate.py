@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import rounded
 from folioscope import lexicon as L
-from folioscope.functions.text import LINE_BREAK, contains_any, in_list, lower_text, strip
+from folioscope.functions.text import LINE_BREAK, contains_any, in_list, let, lower_text, strip
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.media import IMAGE_TAG
 
@@ -28,10 +28,14 @@ def retrieval_precision(question: Column, context: Column, target: Column, lex:
         F.transform(F.regexp_extract_all(question, F.lit(r"(?U)\b[A-Za-z]{3,}\b"), F.lit(0)), F.lower),
         lambda w: ~in_list(w, lex.evaluation_stop),
     )
-    hit = F.exists(
-        context,
-        lambda c: F.exists(
-            asked, lambda w: F.contains(lower_text(c["content"], c["document_name"], c["caption"]), w)
+    hit = let(
+        asked,
+        lambda ws: F.exists(
+            context,
+            lambda c: let(
+                lower_text(c["content"], c["document_name"], c["caption"]),
+                lambda t: F.exists(ws, lambda w: F.contains(t, w)),
+            ),
         ),
     )
     figure = F.exists(
@@ -74,13 +78,18 @@ def hallucination(answer: Column, context: Column) -> Column:
             " ",
         )
     )
-    bare_facts = F.replace(facts, F.lit(","), F.lit(""))
     refused = contains_any(F.lower(answer), L.REFUSAL_MARKERS)
     years = F.regexp_extract_all(answer, F.lit(YEAR), F.lit(1))
     numbers = F.regexp_extract_all(answer, F.lit(GROUPED_NUMBER), F.lit(0))
-    bad_year = F.exists(years, lambda y: ~F.contains(facts, y))
-    bad_number = F.exists(
-        numbers, lambda n: ~F.contains(facts, n) & ~F.contains(bare_facts, F.replace(n, F.lit(","), F.lit("")))
+    bad_year = let(facts, lambda f: F.exists(years, lambda y: ~F.contains(f, y)))
+    bad_number = let(
+        facts,
+        lambda f: let(
+            F.replace(f, F.lit(","), F.lit("")),
+            lambda bare: F.exists(
+                numbers, lambda n: ~F.contains(f, n) & ~F.contains(bare, F.replace(n, F.lit(","), F.lit("")))
+            ),
+        ),
     )
     openers = F.array(*[F.lit(o) for o in L.EVALUATION_SKIPPED_OPENERS])
     prose = F.array_join(
@@ -93,13 +102,15 @@ def hallucination(answer: Column, context: Column) -> Column:
     names = F.filter(
         F.regexp_extract_all(prose, F.lit(PROPER_NOUN), F.lit(0)), lambda n: ~in_list(n, L.EVALUATION_STOP_ENTITIES)
     )
-    unsupported = F.filter(
-        names,
-        lambda n: ~F.exists(
-            F.split(n, r"(?U)\s+"), lambda t: (F.length(t) > 3) & F.contains(facts, F.lower(t))
-        ),
-    )
-    bad_names = (F.size(names) >= 3) & (F.size(unsupported) / F.greatest(F.size(names), F.lit(1)) > 0.35)
+
+    def mostly_unsupported(ns: Column, f: Column) -> Column:
+        unsupported = F.filter(
+            ns,
+            lambda n: ~F.exists(F.split(n, r"(?U)\s+"), lambda t: (F.length(t) > 3) & F.contains(f, F.lower(t))),
+        )
+        return (F.size(ns) >= 3) & (F.size(unsupported) / F.greatest(F.size(ns), F.lit(1)) > 0.35)
+
+    bad_names = let(facts, lambda f: let(names, lambda ns: mostly_unsupported(ns, f)))
     return (
         F.when(refused, False)
         .when(~_found(context) & (F.length(strip(answer)) > 30), True)

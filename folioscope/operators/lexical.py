@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import rounded
-from folioscope.functions.text import WORD_RUN, bounded, query_tokens, quoted_sql, without, words
+from folioscope.functions.text import WORD_RUN, bounded, let, query_tokens, quoted_sql, without, words
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.session import checkpointed
 from folioscope.sizing import block_of, blocks_needed
@@ -45,16 +45,21 @@ def _modality_code(c: Column, other: int) -> Column:
 
 def _word_terms(tokens: Column, kind: int) -> Column:
     """Explodable terms of a token list; repeats become a multiplicity."""
+    counted = let(tokens, lambda all_: F.transform(F.array_distinct(all_), lambda t: F.struct(t.alias("t"), F.size(F.filter(all_, lambda x: x == t)).alias("n"))))
     return F.transform(
-        F.array_distinct(tokens),
-        lambda t: F.struct(
-            # A hyphenated token is found through its first word, then checked.
-            F.when(F.contains(t, F.lit("-")), F.element_at(_runs(t), 1)).otherwise(t).alias("token"),
-            F.lit(kind).alias("kind"),
-            F.size(F.filter(tokens, lambda x: x == t)).alias("weight"),
-            F.when(F.contains(t, F.lit("-")), F.concat(F.lit(r"(?U)\b"), t, F.lit(r"\b"))).alias("pattern"),
-            F.lit(None).cast("string").alias("phrase"),
-        ),
+        counted,
+        lambda c: _word_term(c["t"], c["n"], kind),
+    )
+
+
+def _word_term(t: Column, n: Column, kind: int) -> Column:
+    return F.struct(
+        # A hyphenated token is found through its first word, then checked.
+        F.when(F.contains(t, F.lit("-")), F.element_at(_runs(t), 1)).otherwise(t).alias("token"),
+        F.lit(kind).alias("kind"),
+        n.alias("weight"),
+        F.when(F.contains(t, F.lit("-")), F.concat(F.lit(r"(?U)\b"), t, F.lit(r"\b"))).alias("pattern"),
+        F.lit(None).cast("string").alias("phrase"),
     )
 
 

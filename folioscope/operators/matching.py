@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import bounded, has_word, lower_text, query_tokens, strip
+from folioscope.functions.text import bounded, has_word, let, lower_text, query_tokens, strip
 from folioscope.lexicon import DEFAULT, Lexicon
 
 
@@ -28,11 +28,13 @@ def singular(c: Column) -> Column:
 def entity_matches(text: Column, text_words: Column, entity: Column) -> Column:
     """Phrase or its singular anywhere; else every token as a word, plural or not."""
     e = strip(F.lower(entity))
-    tokens = query_tokens(e)
-    by_tokens = (F.size(tokens) > 0) & F.forall(
-        tokens, lambda t: has_word(text, text_words, t) | has_word(text, text_words, singular(t))
-    )
-    return (entity == "") | F.contains(text, singular(e)) | by_tokens
+
+    def every(tokens: Column) -> Column:
+        return (F.size(tokens) > 0) & F.forall(
+            tokens, lambda t: has_word(text, text_words, t) | has_word(text, text_words, singular(t))
+        )
+
+    return (entity == "") | F.contains(text, singular(e)) | let(query_tokens(e), every)
 
 
 def matched_fields(text: Column, fields: Column, lex: Lexicon = DEFAULT) -> Column:

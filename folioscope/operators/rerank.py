@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import rounded
-from folioscope.functions.text import has_word, query_tokens, strip, without, words
+from folioscope.functions.text import has_word, let, query_tokens, strip, without, words
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.matching import full_text, matched_fields
 
@@ -20,8 +20,10 @@ def with_rerank_terms(rows: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     text, found = F.col("_text"), F.col("_words")
 
     def entity_points(e: Column) -> Column:
-        tokens = without(query_tokens(e), lex.rerank_stop)
-        every = (F.size(tokens) > 0) & F.forall(tokens, lambda t: has_word(text, found, t))
+        every = let(
+            without(query_tokens(e), lex.rerank_stop),
+            lambda tokens: (F.size(tokens) > 0) & F.forall(tokens, lambda t: has_word(text, found, t)),
+        )
         return F.when(F.contains(text, e), 0.5).when(every, 0.35).otherwise(0.0)
 
     def dashed(c: Column) -> Column:
@@ -44,7 +46,9 @@ def with_rerank_terms(rows: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
         )
         .withColumn(
             "t_dossier",
-            F.when(F.exists("entities", lambda e: F.contains(name, dashed(F.lower(e)))), 0.35).otherwise(0.0),
+            F.when(
+                let(name, lambda n: F.exists("entities", lambda e: F.contains(n, dashed(F.lower(e))))), 0.35
+            ).otherwise(0.0),
         )
         .withColumn("t_field", F.size(matched_fields(text, F.col("fields"), lex)) * 0.25)
         .withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import words
+from folioscope.functions.text import let, words
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.matching import entity_matches, evidence_text, field_text, matched_fields
 
@@ -16,16 +16,18 @@ def is_table_like() -> Column:
 
 def with_gate(rows: DataFrame, strict: bool = True, lex: Lexicon = DEFAULT) -> DataFrame:
     """Add verified_entities, verified_fields and the boolean ``kept``."""
-    text, found = F.col("_text"), F.col("_words")
+    verified = let(
+        evidence_text(),
+        lambda text: let(
+            words(text), lambda found: F.filter("entities", lambda e: entity_matches(text, found, e))
+        ),
+    )
     by_table = is_table_like() & (F.size("verified_fields") > 0)
     kept = (F.size("entities") == 0) | (F.size("verified_entities") > 0) | by_table
     return (
-        rows.withColumn("_text", evidence_text())
-        .withColumn("_words", words(text))
-        .withColumn("verified_entities", F.filter("entities", lambda e: entity_matches(text, found, e)))
+        rows.withColumn("verified_entities", verified)
         .withColumn("verified_fields", matched_fields(field_text(), F.col("fields"), lex))
         .withColumn("kept", kept if strict else F.lit(True))
-        .drop("_text", "_words")
     )
 
 

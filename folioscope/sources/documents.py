@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import LINE_BREAK, strip, title_case
+from folioscope.functions.text import LINE_BREAK, let, strip, title_case
 
 HEADER = r"^(#{1,6})(?U)\s+(.+)$"
 
@@ -20,56 +20,70 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     A header line closes the section before it; titles are breadcrumbs of the
     open headers.  A file of headers only becomes one section of its whole text.
     """
-    lines = F.col("_lines")
-
-    def level(line: Column) -> Column:
-        return F.length(F.regexp_extract(line, HEADER, 1))
-
-    heads = F.filter(
-        F.transform(
-            lines,
-            lambda l, i: F.struct(
-                (i + 1).alias("at"), level(l).alias("level"), strip(F.regexp_extract(l, HEADER, 2)).alias("title")
+    # Every shared part is bound by ``let``: a plain column used once inside a
+    # lambda would be inlined there and evaluated for every element.
+
+    def headers(lines: Column) -> Column:
+        marks = F.transform(lines, lambda l, i: F.when(F.startswith(l, F.lit("#")) & l.rlike(HEADER), i + 1))
+        return F.transform(
+            F.array_compact(marks),
+            lambda at: let(
+                F.get(lines, at - 1),
+                lambda l: F.struct(
+                    at.alias("at"),
+                    F.length(F.regexp_extract(l, HEADER, 1)).alias("level"),
+                    strip(F.regexp_extract(l, HEADER, 2)).alias("title"),
+                ),
             ),
+        )
+
+    def breadcrumbs(heads: Column) -> Column:
+        """The path of open headers after every header."""
+        start = F.struct(
+            F.filter(heads, lambda _: F.lit(False)).alias("open"), F.array().cast("array<string>").alias("crumbs")
+        )
+
+        def step(acc: Column, h: Column) -> Column:
+            still = F.concat(F.filter(acc["open"], lambda x: x["level"] < h["level"]), F.array(h))
+            return let(
+                still,
+                lambda open_: F.struct(
+                    open_.alias("open"),
+                    F.concat(
+                        acc["crumbs"], F.array(F.array_join(F.transform(open_, lambda x: x["title"]), " > "))
+                    ).alias("crumbs"),
+                ),
+            )
+
+        return F.aggregate(heads, start, step, lambda a: a["crumbs"])
+
+    def sections(lines: Column, heads: Column, crumbs: Column) -> Column:
+        def part(title: Column, first: Column, next_head: Column) -> Column:
+            last = F.coalesce(F.get(heads, next_head)["at"] - 1, F.size(lines))
+            body = F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+            return F.struct(title.alias("section_title"), strip(body).alias("section_text"))
+
+        title = stem_title(F.col("stem"))
+        found = F.concat(
+            F.array(part(title, F.lit(1), F.lit(0))),
+            F.transform(heads, lambda h, i: part(F.get(crumbs, i), h["at"] + 1, i + 1)),
+        )
+        last_title = F.coalesce(F.try_element_at(crumbs, F.lit(-1)), title)
+        whole = F.array(F.struct(last_title.alias("section_title"), strip(F.col("text")).alias("section_text")))
+
+        def filled(parts: Column) -> Column:
+            return F.filter(parts, lambda x: x["section_text"] != "")
+
+        return let(filled(found), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(filled(whole)))
+
+    parts = let(
+        F.split("text", LINE_BREAK),
+        lambda lines: let(
+            headers(lines), lambda heads: let(breadcrumbs(heads), lambda crumbs: sections(lines, heads, crumbs))
         ),
-        lambda h: h["level"] > 0,
-    )
-    # Stack of open headers after every header, and the breadcrumb it spells.
-    start = F.struct(
-        F.filter("_heads", lambda _: F.lit(False)).alias("open"), F.array().cast("array<string>").alias("crumbs")
-    )
-
-    def step(acc: Column, h: Column) -> Column:
-        open_ = F.concat(F.filter(acc["open"], lambda x: x["level"] < h["level"]), F.array(h))
-        crumb = F.array_join(F.transform(open_, lambda x: x["title"]), " > ")
-        return F.struct(open_.alias("open"), F.concat(acc["crumbs"], F.array(crumb)).alias("crumbs"))
-
-    def part(title: Column, first: Column, last: Column) -> Column:
-        body = F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
-        return F.struct(title.alias("section_title"), strip(body).alias("section_text"))
-
-    def until(i: Column) -> Column:
-        following = F.get("_heads", i)["at"] - 1
-        return F.coalesce(following, F.size(lines))
-
-    sections = F.concat(
-        F.array(part(F.col("_title"), F.lit(1), until(F.lit(0)))),
-        F.transform("_heads", lambda h, i: part(F.get("_crumbs", i), h["at"] + 1, until(i + 1))),
-    )
-    last_title = F.coalesce(F.try_element_at("_crumbs", F.lit(-1)), F.col("_title"))
-    whole = F.filter(
-        F.array(F.struct(last_title.alias("section_title"), strip(F.col("text")).alias("section_text"))),
-        lambda x: x["section_text"] != "",
     )
-    return (
-        files.withColumn("_lines", F.split("text", LINE_BREAK))
-        .withColumn("_title", stem_title(F.col("stem")))
-        .withColumn("_heads", heads)
-        .withColumn("_crumbs", F.aggregate("_heads", start, step, lambda a: a["crumbs"]))
-        .withColumn("_parts", F.filter(sections, lambda x: x["section_text"] != ""))
-        .withColumn("_parts", F.when(F.size("_parts") > 0, F.col("_parts")).otherwise(whole))
-        .select(*files.columns, F.posexplode("_parts").alias("_pos", "_part"))
-        .select(*files.columns, (F.col("_pos") + 1).alias("section_no"), "_part.section_title", "_part.section_text")
+    return files.select(*files.columns, F.posexplode(parts).alias("_pos", "_part")).select(
+        *files.columns, (F.col("_pos") + 1).alias("section_no"), "_part.section_title", "_part.section_text"
     )
 
 

@@ -9,36 +9,37 @@ from folioscope.operators import query_features as Q
 from registry import inputs as I
 from registry.sql import ASKED, ROUTED, alternation, any_hit, any_in, ascii_words, count_hits, entity_ctes, fields, hit, lst
 
-q = F.col("question")
+def q():
+    return F.col("question")
 
 
 def scope_guard(spark, sf):
-    g = Q.scope_guard(q)
+    g = Q.scope_guard(q())
     return I.routed(spark, sf).select("query_id", g["is_handled"].alias("is_handled"), g["category"].alias("category"))
 
 
 def query_intent(spark, sf):
-    i = Q.query_intent(q)
+    i = Q.query_intent(q())
     return I.routed(spark, sf).select("query_id", i["intent"].alias("intent"), i["target_modality"].alias("target_modality"), i["boost_weight"].alias("boost_weight"), F.size(i["matched_terms"]).alias("n_matched"))
 
 
 def modality_override(spark, sf):
     forced = F.when(F.col("query_id") % 3 == 0, F.lit("table")).when(F.col("query_id") % 3 == 1, F.lit("image-caption"))
-    t = Q.modality_target(q, forced)
+    t = Q.modality_target(q(), forced)
     return I.routed(spark, sf).select("query_id", t["target_modality"].alias("target_modality"), t["boost_weight"].alias("boost_weight"))
 
 
 def query_budget(spark, sf):
-    b = Q.query_budget(q, F.array_repeat(F.lit("e"), (F.col("query_id") % 4).cast("int")))
+    b = Q.query_budget(q(), F.array_repeat(F.lit("e"), (F.col("query_id") % 4).cast("int")))
     return I.routed(spark, sf).select("query_id", *[b[c].alias(c) for c in ("intent", "target_k", "min_k", "is_visual", "is_comparative", "is_quantitative")])
 
 
 def query_complexity(spark, sf):
-    return I.routed(spark, sf).select("query_id", Q.query_complexity(q).alias("complexity"))
+    return I.routed(spark, sf).select("query_id", Q.query_complexity(q()).alias("complexity"))
 
 
 def query_fields(spark, sf):
-    return I.routed(spark, sf).select("query_id", F.array_join(Q.requested_fields(q), ",").alias("fields"))
+    return I.routed(spark, sf).select("query_id", F.array_join(Q.requested_fields(q()), ",").alias("fields"))
 
 
 def query_entities(spark, sf):
