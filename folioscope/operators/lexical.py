@@ -93,7 +93,7 @@ def _phrase_terms(entity_rows: DataFrame) -> DataFrame:
         F.array_sort("runs", lambda a, b: F.length(b) - F.length(a)),
         1,
     )
-    by_part = F.col("whole").isNull() & (F.length("part") >= 3)
+    by_part = F.col("whole").isNull() & F.coalesce(F.length("part") >= 3, F.lit(False))
     return (
         entity_rows.withColumn("runs", _runs(F.col("entity")))
         .withColumn("whole", F.when(last >= first, F.element_at("runs", first)))
