@@ -120,6 +120,12 @@ def has_word(text: Column, text_words: Column, word: Column) -> Column:
     return F.when(F.contains(word, F.lit("-")), F.rlike(text, pattern)).otherwise(F.array_contains(text_words, word))
 
 
+def mentions_word(text: Column, word: Column) -> Column:
+    """Word-bounded occurrence for a few words: a plain search, then the boundaries."""
+    pattern = F.concat(F.lit(r"(?U)\b"), word, F.lit(r"\b"))
+    return F.contains(text, word) & F.rlike(text, pattern)
+
+
 def lower_text(*cols: Column) -> Column:
     """Lower-cased space-joined text; null parts count as empty."""
     return F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cols]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import bounded, has_word, let, lower_text, query_tokens, strip
+from folioscope.functions.text import bounded, let, lower_text, mentions_word, query_tokens, strip
 from folioscope.lexicon import DEFAULT, Lexicon
 
 
@@ -25,13 +25,13 @@ def singular(c: Column) -> Column:
     return F.when(F.endswith(c, F.lit("s")) & (F.length(c) > 3), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
 
 
-def entity_matches(text: Column, text_words: Column, entity: Column) -> Column:
+def entity_matches(text: Column, entity: Column) -> Column:
     """Phrase or its singular anywhere; else every token as a word, plural or not."""
     e = strip(F.lower(entity))
 
     def every(tokens: Column) -> Column:
         return (F.size(tokens) > 0) & F.forall(
-            tokens, lambda t: has_word(text, text_words, t) | has_word(text, text_words, singular(t))
+            tokens, lambda t: mentions_word(text, singular(t)) | mentions_word(text, t)
         )
 
     return (entity == "") | F.contains(text, singular(e)) | let(query_tokens(e), every)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import let, words
+from folioscope.functions.text import let
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.matching import entity_matches, evidence_text, field_text, matched_fields
 
@@ -16,12 +16,7 @@ def is_table_like() -> Column:
 
 def with_gate(rows: DataFrame, strict: bool = True, lex: Lexicon = DEFAULT) -> DataFrame:
     """Add verified_entities, verified_fields and the boolean ``kept``."""
-    verified = let(
-        evidence_text(),
-        lambda text: let(
-            words(text), lambda found: F.filter("entities", lambda e: entity_matches(text, found, e))
-        ),
-    )
+    verified = let(evidence_text(), lambda text: F.filter("entities", lambda e: entity_matches(text, e)))
     by_table = is_table_like() & (F.size("verified_fields") > 0)
     kept = (F.size("entities") == 0) | (F.size("verified_entities") > 0) | by_table
     return (

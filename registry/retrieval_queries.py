@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope import lexicon as L
-from folioscope.functions.text import words
+from folioscope.functions.text import let
 from folioscope.operators import query_features as Q
 from folioscope.operators.confidence import retrieval_confidence
 from folioscope.operators.fusion import fuse_hops
@@ -188,10 +188,8 @@ rr AS (SELECT *, round_even((CASE WHEN relevance_score = 0 THEN 0.5 ELSE relevan
 
 
 def matches(spark, sf):
-    c = I.candidates(spark, sf).withColumn("t", evidence_text()).withColumn("w", words(F.col("t")))
-    return c.select(
-        "query_id", "chunk_id", F.size(F.filter("entities", lambda e: entity_matches(F.col("t"), F.col("w"), e))).alias("n_matched"), F.size("entities").alias("n_asked")
-    )
+    found = let(evidence_text(), lambda t: F.filter("entities", lambda e: entity_matches(t, e)))
+    return I.candidates(spark, sf).select("query_id", "chunk_id", F.size(found).alias("n_matched"), F.size("entities").alias("n_asked"))
 
 
 def field_match(spark, sf):
