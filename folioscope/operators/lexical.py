@@ -176,13 +176,15 @@ def _postings(chunks: DataFrame) -> DataFrame:
         words(F.col("cap")).alias("cap_words"),
         words(F.col("sec")).alias("sec_words"),
         words(F.col("body")).alias("body_words"),
-        F.array_distinct(F.regexp_extract_all("whole", F.lit(WORD_TAIL), F.lit(1))).alias("tails"),
     )
     header = F.concat("name_words", "cap_words", "sec_words")
     # The empty word leads phrases without a usable word to every chunk.
     elsewhere = F.concat(F.array_except(header, F.col("body_words")), F.array(F.lit("")))
     return (
         listed.withColumn("else_words", elsewhere)
+        # Tails of the distinct words: repeated words are not walked again.
+        .withColumn("distinct_text", F.array_join(F.concat("body_words", "else_words"), " "))
+        .withColumn("tails", F.array_distinct(F.regexp_extract_all("distinct_text", F.lit(WORD_TAIL), F.lit(1))))
         .withColumn("to_body", F.size("body_words"))
         .withColumn("to_words", F.col("to_body") + F.size("else_words"))
         .withColumn("to_name", F.col("to_words") + F.size("name_words"))
