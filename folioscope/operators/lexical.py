@@ -24,6 +24,7 @@ from folioscope.sizing import block_of, blocks_needed
 QUERY_KEYS = ["query_id", "step"]
 WORD, FIELD, ENTITY_TOKEN, ENTITY_PHRASE, ENTITY_PART = range(5)
 TERM_BYTES = 160
+TOTAL_BYTES = 80
 WORD_TAIL = r"(?=([\p{L}\p{N}_]{3,}))"
 MODALITY_CODES = {"text": 0, "table": 1, "image-caption": 2}
 
@@ -311,7 +312,7 @@ def lexical_topk(
     """
     terms = checkpointed(search_terms(queries, lex))
     totals = query_totals(queries, lex)
-    blocks = blocks_needed(terms, TERM_BYTES)
+    blocks = max(blocks_needed(terms, TERM_BYTES), blocks_needed(queries.select("query_id"), TOTAL_BYTES))
     postings = _postings(chunks)
     parts = [
         _score_block(postings, block_of(terms, QUERY_KEYS, b, blocks), block_of(totals, QUERY_KEYS, b, blocks), max_k)

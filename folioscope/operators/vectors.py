@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import rounded
-from folioscope.session import BROADCAST_BYTES
+from folioscope.session import checkpointed
 from folioscope.sizing import fits_broadcast
 
 ITEM_BLOCK_ROWS = 200_000
+QUERY_BYTES = 8 << 20  # query vectors held by one task
+TILE_CELLS = 1 << 22  # similarities computed at a time
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -25,40 +27,59 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """Running best ``fetch`` neighbours of a block of query vectors."""
+    """Running best ``fetch`` neighbours of a block of query vectors.
+
+    Similarities are computed in tiles of bounded size; candidates below a query's
+    current worst kept neighbour are dropped at once, the rest merged in batches.
+    """
 
     def __init__(self, query_rows: np.ndarray, vectors: np.ndarray, fetch: int):
         self.vectors, self.fetch, self.query_rows = vectors, fetch, query_rows
-        self.held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.floor = np.full(len(vectors), -np.inf)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
     def add(self, ids: np.ndarray, items: np.ndarray) -> None:
+        step = max(1, TILE_CELLS // max(1, len(self.vectors)))
+        for at in range(0, len(items), step):
+            self._tile(ids[at : at + step], items[at : at + step])
+
+    def _tile(self, ids: np.ndarray, items: np.ndarray) -> None:
         sims = np.round(self.vectors @ items.T, 12)
+        floor = self.floor[:, None]
         if sims.shape[1] > self.fetch:
-            floor = np.partition(sims, -self.fetch, axis=1)[:, -self.fetch][:, None]
-            q, i = np.nonzero(sims >= floor)
-        else:
-            q, i = (a.ravel() for a in np.indices(sims.shape))
-        new = (q, ids[i], sims[q, i])
-        if self.held is not None:
-            new = tuple(np.concatenate(pair) for pair in zip(self.held, new))
-        q, found, s = new
+            floor = np.maximum(floor, np.partition(sims, -self.fetch, axis=1)[:, -self.fetch][:, None])
+        q, i = np.nonzero(sims >= floor)
+        if len(q):
+            self.pending.append((q, ids[i], sims[q, i]))
+            self.waiting += len(q)
+        if self.waiting > 4 * self.fetch * len(self.vectors):
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.pending:
+            return
+        q, found, s = (np.concatenate(parts) for parts in zip(*self.pending))
         order = np.lexsort((found, -s, q))
         q, found, s = q[order], found[order], s[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         keep = place < self.fetch
-        self.held = (q[keep], found[keep], s[keep])
+        last = place == self.fetch - 1
+        self.floor[q[last]] = s[last]
+        self.pending, self.waiting = [(q[keep], found[keep], s[keep])], 0
 
     def batch(self, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch | None:
-        if self.held is None:
+        self._merge()
+        if not self.pending:
             return None
-        q, found, s = self.held
+        q, found, s = self.pending[0]
         return pa.RecordBatch.from_arrays(
             [query_ids.take(pa.array(self.query_rows[q])), pa.array(found.tolist(), id_type), pa.array(s)],
             names=["qid", "item_id", "similarity"],
         )
 
 
-def knn(queries: DataFrame, items: DataFrame, fetch: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def knn(queries: DataFrame, items: DataFrame, fetch: int, limit: int = QUERY_BYTES) -> DataFrame:
     """``fetch`` most similar items per query: (qid, item_id, similarity).
 
     ``queries(qid, vector)`` and ``items(item_id, embedding)``.  Tasks keep only
@@ -149,6 +170,7 @@ def vector_topk(queries: DataFrame, index: DataFrame, max_k: int) -> DataFrame:
     modality, media_path, embedding)``.  Three times ``k`` (at least 15) nearest
     chunks are re-scored, read-me files being left out beforehand.
     """
+    queries = checkpointed(queries)  # a small table, read several times below
     usable = index.where(~F.startswith(F.lower("document_name"), F.lit("readme")))
     near = knn(
         queries.select(F.struct("query_id", "step").alias("qid"), "vector").select(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope import lexicon as L
-from folioscope.operators import lexical
+from folioscope.operators import lexical, vectors
 from folioscope.operators.confidence import retrieval_confidence
 from folioscope.operators.fusion import fuse_hops
 from folioscope.operators.prune import elbow, token_pack
@@ -98,7 +98,7 @@ def test_lexical_matches_brute_force(spark, chunks, term_bytes, monkeypatch):
         assert [v[1] for _, v in ranks] == sorted((v[1] for _, v in ranks), reverse=True)
 
 
-def test_knn_scan_and_grid_match_numpy(spark):
+def test_knn_scan_and_grid_match_numpy(spark, monkeypatch):
     rng = np.random.default_rng(3)
     items = [(f"i{n:03d}", [float(x) for x in rng.normal(size=8)]) for n in range(60)] + [("zero", [0.0] * 8), ("i000b", None)]
     items[-1] = ("i000b", items[0][1])  # an exact tie
@@ -108,7 +108,8 @@ def test_knn_scan_and_grid_match_numpy(spark):
     m = np.array([np.float32(v) for _, v in items], dtype=np.float64)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-    for limit in (64 << 20, 200):
+    for limit, cells in ((64 << 20, 1 << 22), (200, 1 << 22), (64 << 20, 70)):
+        monkeypatch.setattr(vectors, "TILE_CELLS", cells)
         got = {}
         for r in knn(q, i, 6, limit).collect():
             got.setdefault(r.qid, []).append((-r.similarity, r.item_id))
