@@ -225,6 +225,10 @@ def train(docs: DataFrame, text: str = "text", bound: int = 5_000, steps: int =
             slope = x.T @ ((softmax(x @ weight) - goal) * n[:, None]) + 1e-5 * weight
             moment += slope**2
             weight -= 0.5 * slope / np.sqrt(moment)
+    alone = np.full(len(LABELS), 0.5)
+    for r in words:
+        alone[r["b"]] += r["n"]
+    alone /= alone.sum()
     pairs = {}
     for what in ("chain", "skip"):
         joint = np.full((len(LABELS), len(LABELS)), 0.5)
@@ -232,12 +236,11 @@ def train(docs: DataFrame, text: str = "text", bound: int = 5_000, steps: int =
             if r["what"] == what:
                 joint[r["a"], r["b"]] += r["n"]
         joint = joint + joint.T if what == "skip" else joint
-        joint /= joint.sum()
-        pairs[what] = np.clip(np.log(joint / np.outer(joint.sum(1), joint.sum(0))), -4, 4)
+        pairs[what] = np.clip(np.log(joint / joint.sum() / np.outer(alone, alone)), -4, 4)
     return Field(weight, pairs["chain"], pairs["skip"])
 
 
-def find(field: Field, text: str | None, sure: float = 0.9) -> tuple[list[Span], list[Span]]:
+def find(field: Field, text: str | None, sure: float = 0.5) -> tuple[list[Span], list[Span]]:
     """(base spans, spans the random field adds) of a whole text. A word outside all
     base spans is added if its label has a probability of ``sure`` at least;
     neighbouring words of one kind make one span."""

@@ -7,14 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import jaccard, mixing, packing, privacy, quality
+from folioscope.llm import jaccard, mixing, packing, privacy, quality, rules, sharding, spans, tokens, vectors
 from folioscope.llm.common import table
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), 2048)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the separator is the vocabulary's end-of-text id
+    return tokens.document_tokens(table(spark, sf_dir, "documents"), packing.vocabulary(), separator=50256)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return privacy.personal_data(docs, privacy.train(docs))
@@ -28,6 +37,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "removed_chars", "text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -36,11 +49,24 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.host_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 1 << 20).select("doc_id", "bytes", "depth", "prefix", "page", "shard_bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_pack": op2_pack,
+    "op3_token_counts": op3_token_counts,
     "op4_pii": op4_pii,
     "op5_jaccard": op5_jaccard,
     "op6_mix": op6_mix,
+    "op7_span_dedup": op7_span_dedup,
     "op8_quality": op8_quality,
+    "op9_host_rules": op9_host_rules,
+    "op10_shards": op10_shards,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_host_rules": rules.SQL, "op10_shards": sharding.SQL}
