@@ -44,6 +44,11 @@ def index_records(chunks: DataFrame) -> DataFrame:
     )
 
 
+def searchable(records: DataFrame) -> DataFrame:
+    """Index rows in the shape that the retrievers read."""
+    return records.withColumnRenamed("document", "content")
+
+
 def index_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
     """Blank and repeated ids become ``chunk_{position}_{document[:10]}``.
 
@@ -60,12 +65,10 @@ def index_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
         F.lit("chunk_"), F.lpad(F.col("position").cast("string"), F.greatest(F.lit(5), F.length(F.col("position").cast("string"))), F.lit("0")),
         F.lit("_"), F.substring(F.coalesce("document_name", F.lit("doc")), 1, 10),
     )
-    return (
-        chunks.withColumn("_id", strip(F.coalesce("chunk_id", F.lit(""))))
-        .join(first, "_id", "left")
-        .withColumn("chunk_id", F.when(keeps, F.col("_id")).otherwise(made))
-        .drop("_id", "_first")
-    )
+    rows = chunks.withColumn("_id", strip(F.coalesce("chunk_id", F.lit(""))))
+    # blank ids share no key: they are named without meeting the others
+    named = rows.where("_id <> ''").join(first, "_id").withColumn("chunk_id", F.when(keeps, F.col("_id")).otherwise(made))
+    return named.select(*chunks.columns).unionByName(rows.where("_id = ''").withColumn("chunk_id", made).select(*chunks.columns))
 
 
 def embed(records: DataFrame, embedder: Callable[[DataFrame], DataFrame]) -> DataFrame:

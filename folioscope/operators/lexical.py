@@ -2,14 +2,15 @@
 
 No pair of question and chunk is ever enumerated: questions become weighted
 terms, chunks become postings of their distinct words, and both meet in an
-equi-join on the word.  Scores need all postings of a chunk, so chunks are hash
-partitioned by id once (free if the table is bucketed by it); scoring and the
-per-task cut to the best ``k`` need no further shuffle, and only those few
-candidates per task travel to the final ranking.
+equi-join on the word, in the task that reads the chunk.  Texts never move: only
+narrow hits are hash partitioned by chunk; scoring and the per-task cut to the best
+``k`` need no further shuffle, and only those few candidates per task travel to the
+final ranking.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,14 +19,14 @@ from pyspark.sql import functions as F
 from folioscope.functions.numbers import rounded
 from folioscope.functions.text import WORD_RUN, bounded, let, query_tokens, quoted_sql, without, words
 from folioscope.lexicon import DEFAULT, Lexicon
-from folioscope.session import checkpointed
+from folioscope.session import BROADCAST_BYTES, checkpointed
 from folioscope.sizing import block_of, blocks_needed
 
 QUERY_KEYS = ["query_id", "step"]
 WORD, FIELD, ENTITY_TOKEN, ENTITY_PHRASE, ENTITY_PART = range(5)
-TERM_BYTES = 160
+TERM_BYTES = 96  # of a term without its strings
 TOTAL_BYTES = 80
-WORD_TAIL = r"(?=([\p{L}\p{N}_]{3,}))"
+LETTERS = r"(?=([\p{L}\p{N}_]{3}))"
 MODALITY_CODES = {"text": 0, "table": 1, "image-caption": 2}
 
 
@@ -85,7 +86,7 @@ def _phrase_terms(entity_rows: DataFrame) -> DataFrame:
 
     A phrase may start or end inside a word of the chunk.  A word of the phrase
     with neighbours on both sides is a whole word of the chunk; failing that, its
-    longest word starts some tail of a word of the chunk, found by three letters.
+    longest word lies within some word of the chunk, found by its first three letters.
     Phrases too short for either are looked up in every chunk.
     """
     first = F.when(F.rlike("entity", F.lit(r"^[^\p{L}\p{N}_]")), 1).otherwise(2)
@@ -151,7 +152,7 @@ def _postings(chunks: DataFrame) -> DataFrame:
 
     Keys lie in four segments, told apart by position: distinct words of the
     content, words found only elsewhere (plus the empty word), word occurrences
-    in name, caption and section, and tails of words, keyed by three letters.
+    in name, caption and section, and the runs of three letters within words.
     The texts ride along unexploded: only rows that survive the probe touch them.
     """
     name, caption, section, content = [
@@ -159,7 +160,6 @@ def _postings(chunks: DataFrame) -> DataFrame:
     ]
     texts = (
         searchable(chunks)
-        .repartition("chunk_id")
         .select(
             "chunk_id",
             _modality_code(F.col("modality"), -1).alias("modality_code"),
@@ -183,9 +183,9 @@ def _postings(chunks: DataFrame) -> DataFrame:
     elsewhere = F.concat(F.array_except(header, F.col("body_words")), F.array(F.lit("")))
     return (
         listed.withColumn("else_words", elsewhere)
-        # Tails of the distinct words: repeated words are not walked again.
+        # Repeated words are not walked again; a long word has as many runs as letters.
         .withColumn("distinct_text", F.array_join(F.concat("body_words", "else_words"), " "))
-        .withColumn("tails", F.array_distinct(F.regexp_extract_all("distinct_text", F.lit(WORD_TAIL), F.lit(1))))
+        .withColumn("letters", F.array_distinct(F.regexp_extract_all("distinct_text", F.lit(LETTERS), F.lit(1))))
         .withColumn("to_body", F.size("body_words"))
         .withColumn("to_words", F.col("to_body") + F.size("else_words"))
         .withColumn("to_name", F.col("to_words") + F.size("name_words"))
@@ -195,11 +195,10 @@ def _postings(chunks: DataFrame) -> DataFrame:
             "chunk_id",
             (F.col("modality_code") * 2 + F.col("has_media")).alias("traits"),
             *["name", "cap", "sec", "body", "whole", "to_body", "to_words", "to_name", "to_cap", "to_sec"],
-            F.posexplode(F.concat("body_words", "else_words", "name_words", "cap_words", "sec_words", "tails")).alias(
-                "pos", "key"
+            F.posexplode(F.concat("body_words", "else_words", "name_words", "cap_words", "sec_words", "letters")).alias(
+                "pos", "token"
             ),
         )
-        .withColumn("token", F.when(F.col("pos") >= F.col("to_sec"), F.substring("key", 1, 3)).otherwise(F.col("key")))
     )
 
 
@@ -230,7 +229,7 @@ def _score_block(postings: DataFrame, terms: DataFrame, totals: DataFrame, max_k
         .where(in_segment)
         .where(
             F.col("pattern").isNull()
-            | F.when(kind == ENTITY_PART, F.startswith("key", F.col("pattern"))).otherwise(
+            | F.when(kind == ENTITY_PART, F.contains("whole", F.col("pattern"))).otherwise(
                 F.rlike(checked, F.col("pattern"))
             )
         )
@@ -247,7 +246,7 @@ def _score_block(postings: DataFrame, terms: DataFrame, totals: DataFrame, max_k
             F.when(kind >= ENTITY_PHRASE, 1).otherwise(0).alias("phrase_hit"),
         )
     )
-    per_entity = hits.groupBy(*QUERY_KEYS, "chunk_id", "ent", "n_tok").agg(
+    per_entity = hits.repartition("chunk_id").groupBy(*QUERY_KEYS, "chunk_id", "ent", "n_tok").agg(
         F.sum("words").alias("words"),
         F.bit_or("field_bits").alias("field_bits"),
         F.sum("token_hits").alias("token_hits"),
@@ -301,18 +300,21 @@ def _rank(scored: DataFrame, max_k: int) -> DataFrame:
 def lexical_topk(
     queries: DataFrame,
     chunks: DataFrame,
-    max_k: int,
+    max_k: int = 0,
     lex: Lexicon = DEFAULT,
 ) -> DataFrame:
     """Best ``k`` chunks per question: (query_id, step, chunk_id, scores, rank).
 
-    ``queries`` carries query_id, step, question, entities, fields, target and k
-    (k <= max_k).  Term tables beyond the broadcast bound are scored in blocks of
+    ``queries`` carries query_id, step, question, entities, fields, target and k.
+    ``max_k`` is a hint; the largest k asked counts if it is greater.  Term tables beyond the broadcast bound are scored in blocks of
     whole questions, one pass over the chunks each.
     """
+    max_k = max(max_k, queries.agg(F.max("k")).first()[0] or 0)
     terms = checkpointed(search_terms(queries, lex))
     totals = query_totals(queries, lex)
-    blocks = max(blocks_needed(terms, TERM_BYTES), blocks_needed(queries.select("query_id"), TOTAL_BYTES))
+    strings = sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in ("token", "pattern", "phrase")), F.lit(TERM_BYTES))
+    held = terms.agg(F.sum(strings)).first()[0] or 0
+    blocks = max(math.ceil(held / BROADCAST_BYTES), blocks_needed(queries.select("query_id"), TOTAL_BYTES))
     postings = _postings(chunks)
     parts = [
         _score_block(postings, block_of(terms, QUERY_KEYS, b, blocks), block_of(totals, QUERY_KEYS, b, blocks), max_k)

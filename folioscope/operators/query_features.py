@@ -15,9 +15,11 @@ from folioscope.functions.text import (
     query_tokens,
     strip,
 )
+from folioscope import lexicon as L
 from folioscope.lexicon import DEFAULT, Lexicon
 
 ANY_CASE = "(?Udi)"
+# Question shapes that decide entities and sub-questions.
 PAIR = ANY_CASE + r"(?:compare|difference between)\s+(.+?)\s+(?:and|with|to)\s+(.+?)(?:\?|$)"
 VERSUS = ANY_CASE + r"(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\?|$)"
 RELATION = ANY_CASE + r"(mentor|successor|founder|leader|commander)\s+of\s+(.+?)(?:\s+who|\s+and|\?|$)"
@@ -108,11 +110,9 @@ def clean_entity_phrase(phrase: Column, lex: Lexicon = DEFAULT) -> Column:
     """Drop punctuation, leading helper words, 'fields of' prefixes, prepositions."""
     aliases = "|".join(lex.aliases)
     text = F.btrim(strip(phrase), F.lit(",.?!\"'"))
-    lead = r"^(the|a|an|both|all|each|are|is|were|was|did|do|does|can|could|will|would|compare)\s+"
-    text = strip(F.regexp_replace(text, ANY_CASE + lead, ""))
-    prefix = r"^(?:the\s+)?(?:" + aliases + r"|\band\b|\bor\b|\bof\b|\bfor\b|\bbetween\b|\bin\b|\s|,)+\s+(?:of|for|in|at)\s+"
-    text = strip(F.regexp_replace(text, ANY_CASE + prefix, ""))
-    return strip(F.regexp_replace(text, ANY_CASE + r"^(?:of|for|in|at|on|with|regarding|about)\s+", ""))
+    for pattern in (L.PHRASE_LEAD, L.PHRASE_FIELDS.replace("ALIASES", aliases), L.PHRASE_PREPOSITION):
+        text = strip(F.regexp_replace(text, ANY_CASE + pattern, ""))
+    return text
 
 
 def with_entities(queries: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:

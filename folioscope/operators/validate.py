@@ -29,7 +29,10 @@ def validate_chunks(chunks: DataFrame, catalog: DataFrame | None = None) -> Data
         rows = chunks.select("chunk_id", F.explode(chunk_errors()).alias("error"))
     else:
         known = catalog.select(F.col("path").alias("media_path"), F.lit(True).alias("_known")).distinct()
-        rows = chunks.join(known, "media_path", "left").select("chunk_id", F.explode(chunk_errors(F.col("_known"))).alias("error"))
+        # rows without media stay out of the join, where they would all share a key
+        names = F.length(F.coalesce("media_path", F.lit(""))) > 0
+        checked = chunks.where(names).join(known, "media_path", "left").select("chunk_id", F.explode(chunk_errors(F.col("_known"))).alias("error"))
+        rows = checked.unionByName(chunks.where(~names).select("chunk_id", F.explode(chunk_errors()).alias("error")))
     return rows
 
 
@@ -52,33 +55,48 @@ def validate_table(chunks: DataFrame, catalog: DataFrame | None = None) -> DataF
     return validate_chunks(chunks, catalog).unionByName(duplicate_ids(chunks)).unionByName(none)
 
 
-def unique_ids(chunks: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
-    """Second and later rows of an id get ``_dup1``, ``_dup2``, ... in ``order``.
+# Keys that one task numbers.
+ROWS_PER_TASK = 1 << 20
 
-    Ordinals are counted in two levels (range partition, then within it),
-    so an id shared by a third of all rows is not numbered by a single task.
+
+def unique_ids(chunks: DataFrame, order: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Second and later rows of an id get ``_dup1``, ``_dup2``, ... in ``order``, passing
+    over names that are some row's own id.
+
+    Only ids and ``order`` columns (which must tell the rows of an id apart) are
+    numbered, in two levels (range partition, then within it), so that an id shared by a
+    third of all rows is not numbered by a single task and no text moves for it.
     """
-    repeated = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    base = chunks.join(repeated, "chunk_id", "left")
-    single = base.where(F.col("_n").isNull()).drop("_n")
-    shared = base.where(F.col("_n").isNotNull()).drop("_n")
+    ids = checkpointed(chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_n")))
+    repeated = ids.where(F.col("_n") > 1).select("chunk_id")
+    # own ids that look like a numbered one: the j-th of them takes numbers from its
+    # value less j on out of the row
+    looks = r"^((?s).*)_dup([1-9][0-9]{0,8})$"
+    taken = (
+        ids.where(F.rlike("chunk_id", F.lit(looks)))
+        .select(F.regexp_extract("chunk_id", looks, 1).alias("_base"), F.regexp_extract("chunk_id", looks, 2).cast("int").alias("_no"))
+        .groupBy("_base")
+        .agg(F.sort_array(F.collect_set("_no")).alias("_taken"))
+        .select(F.col("_base").alias("chunk_id"), F.transform("_taken", lambda n, j: n - j).alias("_shifts"))
+        .join(repeated, "chunk_id", "left_semi")
+    )
+    keys = checkpointed(chunks.select("chunk_id", *order).join(repeated, "chunk_id", "left_semi"))
+    parts = max(1, -(-keys.count() // rows_per_task))
     # Range partitioning by (id, order) splits a hot id over tasks, in order.  The
     # partition numbers are read twice below, so they are made permanent first.
-    placed = checkpointed(
-        shared.repartitionByRange(buckets, "chunk_id", *order).withColumn("_part", F.spark_partition_id())
-    )
+    placed = checkpointed(keys.repartitionByRange(parts, "chunk_id", *order).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy("_part", "chunk_id").orderBy(*order)
     local = placed.withColumn("_local", F.row_number().over(within))
     sizes = local.groupBy("chunk_id", "_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_size").over(Window.partitionBy("chunk_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).drop("_size")
-    ordinal = F.col("_before") + F.col("_local") - 1
-    numbered = local.join(before, ["chunk_id", "_part"]).withColumn(
-        "chunk_id", F.when(ordinal > 0, F.concat("chunk_id", F.lit("_dup"), ordinal.cast("string"))).otherwise(F.col("chunk_id"))
+    earlier = Window.partitionBy("chunk_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    later = local.join(before, ["chunk_id", "_part"]).withColumn("_k", F.col("_before") + F.col("_local") - 1).where(F.col("_k") > 0)
+    number = F.col("_k") + F.coalesce(F.size(F.filter("_shifts", lambda n: n <= F.col("_k"))), F.lit(0))
+    renamed = later.join(taken, "chunk_id", "left").select(
+        "chunk_id", *order, F.concat("chunk_id", F.lit("_dup"), number.cast("string")).alias("_new")
+    )
+    return (
+        chunks.join(renamed, ["chunk_id", *order], "left")
+        .withColumn("chunk_id", F.coalesce("_new", "chunk_id"))
+        .select(*chunks.columns)
     )
-    return single.unionByName(numbered.select(*single.columns))

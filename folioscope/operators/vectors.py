@@ -14,7 +14,7 @@ from folioscope.functions.numbers import rounded
 from folioscope.session import checkpointed
 from folioscope.sizing import fits_broadcast
 
-ITEM_BLOCK_ROWS = 200_000
+ITEM_BLOCK_BYTES = 64 << 20  # item vectors held by one cell of the grid
 QUERY_BYTES = 8 << 20  # query vectors held by one task
 TILE_CELLS = 1 << 22  # similarities computed at a time
 
@@ -83,11 +83,13 @@ def knn(queries: DataFrame, items: DataFrame, fetch: int, limit: int = QUERY_BYT
     """``fetch`` most similar items per query: (qid, item_id, similarity).
 
     ``queries(qid, vector)`` and ``items(item_id, embedding)``.  Tasks keep only
-    their own best ``fetch`` per query.  Query vectors within ``limit`` are shipped
+    their own best ``fetch`` per query.  Vectors that are null, hold a null or differ in
+    length from the queries' longest are left out.  Query vectors within ``limit`` are shipped
     to the scan of the items, which then needs no shuffle; larger sets meet the
     items in a grid of bounded blocks.
     """
     dims = queries.select(F.max(F.size("vector"))).first()[0] or 1
+    items, queries = items.where(comparable(F.col("embedding"), dims)), queries.where(comparable(F.col("vector"), dims))
     partial = (
         _scan(queries, items, fetch)
         if fits_broadcast(queries, 8 * dims + 64, limit)
@@ -97,6 +99,11 @@ def knn(queries: DataFrame, items: DataFrame, fetch: int, limit: int = QUERY_BYT
     return partial.withColumn("place", F.row_number().over(best)).where(F.col("place") <= fetch).drop("place")
 
 
+def comparable(vector: Column, dims: int) -> Column:
+    """A vector of ``dims`` finite or infinite numbers, none of them null."""
+    return F.coalesce((F.size(vector) == dims) & ~F.exists(vector, lambda v: v.isNull()), F.lit(False))
+
+
 def _out_schema(queries: DataFrame, items: DataFrame) -> str:
     q, i = queries.schema["qid"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     return f"qid {q}, item_id {i}, similarity double"
@@ -126,7 +133,8 @@ def _scan(queries: DataFrame, items: DataFrame, fetch: int) -> DataFrame:
 def _grid(queries: DataFrame, items: DataFrame, fetch: int, query_rows: int) -> DataFrame:
     """Block nested loop: every (query block, item block) cell is one bounded task."""
     q_blocks = math.ceil(queries.count() / query_rows)
-    i_blocks = max(1, math.ceil(items.count() / ITEM_BLOCK_ROWS))
+    dims = items.select(F.max(F.size("embedding"))).first()[0] or 1
+    i_blocks = max(1, math.ceil(items.count() * dims * 8 / ITEM_BLOCK_BYTES))
 
     def cells(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -17,7 +17,7 @@ from folioscope.operators.answer import (
     with_grounded_answer,
 )
 from folioscope.operators.confidence import retrieval_confidence
-from folioscope.operators.media import resolve_media
+from folioscope.operators.media import with_resolved
 from folioscope.operators.query_features import analyze_structure
 from folioscope.operators.tables import collected_aggregates, table_aggregates
 from folioscope.operators.verify import verification_report, with_gate
@@ -41,9 +41,7 @@ def generate_answers(
     """
     structure = checkpointed(analyze_structure(queries.select("query_id", "question"), lex))
     context = packed.select(*CONTEXT)
-    context = checkpointed(
-        context.join(resolve_media(context, media_catalog).withColumnRenamed("resolved", "resolved_media"), "media_path", "left")
-    )
+    context = checkpointed(with_resolved(context, media_catalog))
     confidence = retrieval_confidence(structure, context, lex=lex).select("query_id", "is_in_domain")
     gated = with_gate(context.join(structure, "query_id"), lex=lex)
     report = verification_report(structure, gated).select("query_id", "is_sufficient")

@@ -16,6 +16,9 @@ from folioscope.operators.evaluate import (
 )
 from folioscope.operators.media import IMAGE_TAG, resolve_media
 from folioscope.operators.query_features import detect_modality_intent
+from folioscope.plans.answer import generate_answers
+from folioscope.plans.retrieve import retrieve
+from folioscope.session import checkpointed
 
 
 def evaluate_answers(answers: DataFrame, media_catalog: DataFrame, latency: DataFrame | None = None, lex: Lexicon = DEFAULT) -> DataFrame:
@@ -51,5 +54,22 @@ def evaluate_answers(answers: DataFrame, media_catalog: DataFrame, latency: Data
     )
 
 
+def run_benchmark(
+    questions: DataFrame,
+    chunks: DataFrame,
+    media_catalog: DataFrame,
+    latency: DataFrame | None = None,
+    lex: Lexicon = DEFAULT,
+    **retrieval,
+) -> tuple[DataFrame, DataFrame]:
+    """(results, summary) of ``questions(query_id, qid, track, question)``: retrieve,
+    answer, evaluate, summarise.  Questions out of scope are answered without context."""
+    asked = questions.select("query_id", "question")
+    packed = checkpointed(retrieve(asked, chunks, lex=lex, **retrieval))
+    answers = generate_answers(asked, packed, media_catalog, lex=lex).join(questions.drop("question"), "query_id")
+    results = checkpointed(evaluate_answers(answers, media_catalog, latency, lex))
+    return results, evaluation_summary(results)
+
+
 def summarize(results: DataFrame) -> DataFrame:
     return evaluation_summary(results)

@@ -29,9 +29,19 @@ def lexical_retriever(chunks: DataFrame, lex: Lexicon = DEFAULT) -> Retriever:
     return lambda questions, max_k: lexical_topk(questions, chunks, max_k, lex)
 
 
-def vector_retriever(index: DataFrame, embedder: Callable[[DataFrame], DataFrame]) -> Retriever:
-    """``embedder`` adds a ``vector`` column to the sub-questions."""
-    return lambda questions, max_k: vector_topk(embedder(questions), index, max_k)
+def vector_retriever(index: DataFrame, embedder: Callable[[DataFrame], DataFrame], fallback: Retriever | None = None) -> Retriever:
+    """``embedder`` adds a ``vector`` column to the sub-questions; those that the vector
+    search finds nothing for (a null vector, say) go to ``fallback``."""
+
+    def search(questions: DataFrame, max_k: int) -> DataFrame:
+        hits = vector_topk(embedder(questions), index, max_k)
+        if fallback is None:
+            return hits
+        hits = checkpointed(hits)
+        missed = checkpointed(questions.join(hits.select("query_id", "step").distinct(), ["query_id", "step"], "left_anti"))
+        return hits.unionByName(fallback(missed, max_k).select(hits.columns))
+
+    return search
 
 
 def retrieve_candidates(features: DataFrame, retriever: Retriever, max_k: int, override: Column | None = None, lex: Lexicon = DEFAULT) -> DataFrame:

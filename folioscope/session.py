@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +30,36 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever they were started.
+
+    A cluster that installs the package doesn't need it; done once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_folioscope_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="folioscope-", dir=os.environ.get("TMPDIR", "/tmp"))) / "folioscope.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))  # Spark copies it to every executor
+    context._folioscope_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; only a local session may lack
+    the setting, and gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="folioscope-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the cluster's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        # Only a single-machine test session lacks the setting.
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folioscope-", dir=os.environ.get("TMPDIR", "/tmp")))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

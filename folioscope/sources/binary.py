@@ -1,41 +1,62 @@
-"""Small per-file decoders used inside tasks (files arrive as Arrow batches).
-
-PDF and OCR support need optional packages; without them PDFs are reported as
-unreadable and everything else still works.
-"""
+"""Small per-file decoders used inside tasks (files arrive as Arrow batches)."""
 
 from __future__ import annotations
 
 import io
-import shutil
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 
 DOCX_SCHEMA = "path string, document_name string, stem string, section_no int, heading string, page_number int, section_text string"
-PDF_SCHEMA = "path string, document_name string, stem string, page_number int, text string, n_images int, is_ocr boolean, error string"
 IMAGE_SCHEMA = "path string, document_name string, stem string, suffix string, width int, height int"
 PAGE_CHARS = 2500  # estimated characters of a DOCX page
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def _plain(node: ET.Element) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
+# What a file that is no sound DOCX can raise on the way.
+BROKEN = (zipfile.BadZipFile, zlib.error, ET.ParseError, EOFError, OSError, KeyError, AttributeError, NotImplementedError, RuntimeError, ValueError)
+
+
+def _plain(paragraph: ET.Element) -> str:
+    """Text of a paragraph with its tabs and line breaks."""
+    marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    skip = {id(t) for tabs in paragraph.iter(f"{_W}tabs") for t in tabs}  # tab stops aren't tabs
+    parts = [(n.text or "") if n.tag == f"{_W}t" else marks.get(n.tag, "") for n in paragraph.iter() if id(n) not in skip]
+    return "".join(parts).strip()
+
+
+def _cell(node: ET.Element) -> str:
+    return "\n".join(_plain(p) for p in node.findall(f"{_W}p")).strip()
+
+
+def _style_names(archive: zipfile.ZipFile) -> dict[str, str]:
+    """Style names by id; localised files keep the English name of built-in styles."""
+    if "word/styles.xml" not in archive.namelist():
+        return {}
+    found = {}
+    for style in ET.fromstring(archive.read("word/styles.xml")).findall(f"{_W}style"):
+        name = style.find(f"{_W}name")
+        if name is not None:
+            found[style.get(f"{_W}styleId")] = name.get(f"{_W}val") or ""
+    return found
 
 
 def _docx_blocks(data: bytes) -> Iterator[tuple[str, str]]:
     """('heading' | 'text' | 'table', text) in reading order, tables last."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         body = ET.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
+        names = _style_names(archive)
     for p in body.findall(f"{_W}p"):
         style = p.find(f"{_W}pPr/{_W}pStyle")
-        name = (style.get(f"{_W}val") or "").lower() if style is not None else ""
+        ident = (style.get(f"{_W}val") or "") if style is not None else ""
+        name = names.get(ident, ident).lower()
         yield ("heading" if "heading" in name or "title" in name else "text"), _plain(p)
     for table in body.findall(f"{_W}tbl"):
-        rows = [[_plain(c) for c in r.findall(f"{_W}tc")] for r in table.findall(f"{_W}tr")]
+        rows = [[_cell(c) for c in r.findall(f"{_W}tc")] for r in table.findall(f"{_W}tr")]
         yield "table", "\n".join(" | ".join(r) for r in rows if any(r))
 
 
@@ -71,7 +92,7 @@ def docx_sections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, name, stem, data in zip(pdf.path, pdf.document_name, pdf.stem, pdf.content):
             try:
                 found = _docx_rows(data)
-            except (zipfile.BadZipFile, KeyError, ET.ParseError, AttributeError):
+            except BROKEN:
                 continue  # listed by ``docx_errors``
             rows += [(path, name, stem, i, h, p, t) for i, (h, p, t) in enumerate(found, 1)]
         yield pd.DataFrame(rows, columns=columns)
@@ -83,85 +104,15 @@ def docx_errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, data in zip(pdf.path, pdf.content):
             try:
                 _docx_rows(data)
-            except (zipfile.BadZipFile, KeyError, ET.ParseError, AttributeError) as e:
+            except BROKEN as e:
                 rows.append((path, f"docx: {e}"))
         yield pd.DataFrame(rows, columns=["path", "error"])
 
 
-def _pdf_library():
-    try:
-        import pymupdf
-
-        return pymupdf
-    except ImportError:
-        return None
-
-
-def ocr_engine() -> str | None:
-    """Path of the OCR program if it and its binding are installed."""
-    try:
-        import pytesseract  # noqa: F401
-        from PIL import Image  # noqa: F401
-    except ImportError:
-        return None
-    return shutil.which("tesseract")
-
-
-def prepare_for_ocr(image, contrast: float = 1.8, min_width: int = 1000, threshold: int = 140):
-    """Grey, enlarge, raise contrast, sharpen, two tones (needs the image package)."""
-    from PIL import Image, ImageEnhance, ImageFilter
-
-    grey = image.convert("L")
-    if grey.width < min_width:
-        factor = min_width / max(grey.width, 1)
-        grey = grey.resize((int(grey.width * factor), int(grey.height * factor)), Image.Resampling.BILINEAR)
-    sharp = ImageEnhance.Contrast(grey).enhance(contrast).filter(ImageFilter.SHARPEN)
-    return sharp.point(lambda v: 255 if v >= threshold else 0, "1")
-
-
-def recognise(image, psm: int = 3, prepare: bool = True) -> str:
-    """OCR text of an image; '' without an engine or on failure."""
-    if ocr_engine() is None:
-        return ""
-    import pytesseract
-
-    try:
-        return pytesseract.image_to_string(prepare_for_ocr(image) if prepare else image, config=f"--oem 3 --psm {psm}").strip()
-    except (pytesseract.TesseractError, OSError):
-        return ""
-
-
-def pdf_pages(batches: Iterator[pd.DataFrame], dpi: int = 150) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in PDF_SCHEMA.split(", ")]
-    library, engine = _pdf_library(), ocr_engine()
-    for pdf in batches:
-        rows = []
-        for path, name, stem, data in zip(pdf.path, pdf.document_name, pdf.stem, pdf.content):
-            head = (path, name, stem)
-            if library is None:
-                rows.append((*head, 0, None, 0, None, "pdf: no reader installed"))
-                continue
-            try:
-                with library.open(stream=data, filetype="pdf") as doc:
-                    for number, page in enumerate(doc, 1):
-                        text, images = page.get_text("text").strip(), len(page.get_images())
-                        scanned = "scan" in name.lower() or (len(text) < 40 and (images > 0 or not text))
-                        use_ocr = engine is not None and scanned
-                        if use_ocr:
-                            from PIL import Image
-
-                            pix = page.get_pixmap(dpi=dpi)
-                            text = recognise(Image.frombytes("RGB", [pix.width, pix.height], pix.samples)) or text
-                        rows.append((*head, number, text, images, use_ocr, None))
-            except (RuntimeError, ValueError) as e:
-                rows.append((*head, 0, None, 0, None, f"pdf: {e}"))
-        yield pd.DataFrame(rows, columns=columns)
-
-
 def _image_size(data: bytes) -> tuple[int, int]:
-    """Width and height from a PNG or JPEG header; (0, 0) if it is neither."""
+    """Width and height from a PNG or JPEG header; (0, 0) if it is neither or cut off."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return struct.unpack(">II", data[16:24])
+        return struct.unpack(">II", data[16:24]) if len(data) >= 24 else (0, 0)
     at = 2
     while data[:2] == b"\xff\xd8" and at + 9 < len(data) and data[at] == 0xFF:
         marker, length = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
@@ -174,5 +125,5 @@ def _image_size(data: bytes) -> tuple[int, int]:
 
 def image_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sizes = [_image_size(d) for d in pdf.content]
+        sizes = [_image_size(d or b"") for d in pdf.content]
         yield pdf.drop(columns="content").assign(width=[w for w, _ in sizes], height=[h for _, h in sizes])

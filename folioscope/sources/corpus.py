@@ -9,19 +9,23 @@ from folioscope.functions.chunking import chunk_texts
 from folioscope.functions.paths import document_type, file_name, source_category, source_reliability, stem, suffix
 from folioscope.functions.text import LINE_BREAK, slug, strip, word_count
 from folioscope.operators.media import Plate, describe_figure, match_plate
-from folioscope.operators.validate import unique_ids
-from folioscope.schema import METADATA
+from folioscope.operators.pdf_extras import embedded_figures, table_chunks
+from folioscope.operators.validate import unique_ids, validate_table
+from folioscope.schema import CHUNK, METADATA
+from folioscope.session import checkpointed
 from folioscope.sources import binary
 from folioscope.sources.documents import markdown_sections, stem_title, text_title
 
-DOCUMENT_SUFFIXES = [".pdf", ".docx", ".md", ".markdown", ".txt"]
 IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg"]
 MARKDOWN_SUFFIXES = [".md", ".markdown"]
 
 
 def scan_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
-    """(path, document_name, stem, suffix, content) of files below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(path, document_name, stem, suffix, content) of files below ``root``; other
+    files are left out by name, before anything is read."""
+    letters = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", "*{" + ",".join(map(letters, suffixes)) + "}").load(root)
     named = files.select("path", "content", file_name(F.col("path")).alias("document_name"))
     return (
         named.withColumn("suffix", suffix(F.col("document_name")))
@@ -56,20 +60,16 @@ def docx_parts(files: DataFrame) -> DataFrame:
     return _parts(titled, F.lit("docx"), source_category(F.col("path")), F.col("page_number"))
 
 
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """(path, document_name, stem, page_number, text, n_images, is_ocr, error) of PDFs."""
-    rows = files.where(F.col("suffix") == ".pdf").select("path", "document_name", "stem", "content")
-    return rows.mapInPandas(binary.pdf_pages, binary.PDF_SCHEMA)
-
-
 def is_scanned_page(text: Column, n_images: Column, min_chars: int = 40) -> Column:
     length = F.length(strip(F.coalesce(text, F.lit(""))))
     return (length < min_chars) & ((n_images > 0) | (length == 0))
 
 
 def pdf_parts(pages: DataFrame) -> DataFrame:
-    """One part per page; a heading-like first line titles it and the pages after."""
-    filled = pages.where(F.col("error").isNull() & (strip(F.col("text")) != ""))
+    """One part per page of ``pages(path, page_number, text, is_ocr)``; a heading-like
+    first line titles it and the pages after."""
+    named = pages.withColumn("document_name", file_name(F.col("path"))).withColumn("stem", stem(F.col("document_name")))
+    filled = named.where(strip(F.col("text")) != "")
     first = strip(F.element_at(F.split(strip(F.col("text")), LINE_BREAK), 1))
     heading = F.when((F.length(first) > 3) & (F.length(first) < 80) & ~F.endswith(first, F.lit(".")), first)
     carried = F.last(heading, ignorenulls=True).over(Window.partitionBy("path").orderBy("page_number"))
@@ -153,24 +153,59 @@ def figure_chunks(files: DataFrame, plates: list[Plate] = (), media_root: str =
     )
 
 
-def read_corpus(spark: SparkSession, root: str, plates: list[Plate] = ()) -> DataFrame:
-    """All chunks below ``root``: figures first, then documents by path, ids made unique."""
-    docs = scan_files(spark, root, DOCUMENT_SUFFIXES)
-    parts = (
-        markdown_parts(docs)
-        .unionByName(text_parts(docs))
-        .unionByName(docx_parts(docs))
-        .unionByName(pdf_parts(pdf_pages(docs)))
-    )
-    figures = figure_chunks(scan_files(spark, root, IMAGE_SUFFIXES), plates).withColumn("kind", F.lit(0))
-    texts = chunk_parts(parts).withColumn("kind", F.lit(1))
-    return unique_ids(figures.unionByName(texts), ["kind", "path", "ordinal"]).drop("kind", "path", "ordinal")
-
-
-def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, error) of files that no reader could open."""
-    docs = scan_files(spark, root, DOCUMENT_SUFFIXES)
-    broken = docs.where(F.col("suffix") == ".docx").select("path", "document_name", "stem", "content")
+def _extras(chunks: DataFrame, kind: int) -> DataFrame:
+    """Chunks of PDF extras in the shape of ``chunk_parts``."""
+    rest = {c: F.col(c) for c in ("dimensions", "table_dimensions", "related_entities") if c in chunks.columns}
+    path = F.col("document_name")
+    return chunks.select(
+        path.alias("path"), F.lit(kind).cast("long").alias("ordinal"),
+        *[F.col(f.name) for f in CHUNK if f.name != "metadata"],
+        _metadata(source_reliability=source_reliability(path), source_category=source_category(path), file_path=path, **rest),
+    )
+
+
+def read_corpus(
+    spark: SparkSession,
+    root: str,
+    plates: list[Plate] = (),
+    pages: DataFrame | None = None,
+    images: DataFrame | None = None,
+    grids: DataFrame | None = None,
+) -> DataFrame:
+    """All chunks below ``root``: figures first, then documents by path, ids made unique.
+
+    What a caller's PDF reader found joins as rows: ``pages(path, page_number, text,
+    is_ocr)``, and the ``images`` and ``grids`` of ``pdf_extras``.  Every file is read
+    once; the union is stored before ids are compared."""
+    parts = markdown_parts(scan_files(spark, root, MARKDOWN_SUFFIXES))
+    parts = parts.unionByName(text_parts(scan_files(spark, root, [".txt"])))
+    parts = parts.unionByName(docx_parts(scan_files(spark, root, [".docx"])))
+    if pages is not None:
+        parts = parts.unionByName(pdf_parts(pages))
+    found = figure_chunks(scan_files(spark, root, IMAGE_SUFFIXES), plates).withColumn("kind", F.lit(0))
+    found = found.unionByName(chunk_parts(parts).withColumn("kind", F.lit(1)))
+    if images is not None:
+        found = found.unionByName(_extras(embedded_figures(images, plates), 0).withColumn("kind", F.lit(2)))
+    if grids is not None:
+        found = found.unionByName(_extras(table_chunks(grids), 0).withColumn("kind", F.lit(3)))
+    # rows of one file that share an id are told apart by title and content
+    rows = checkpointed(found.withColumn("digest", F.xxhash64("section_title", "content", "caption")))
+    row = Window.partitionBy("chunk_id", "kind", "path", "ordinal", "digest").orderBy("document_name")
+    rows = rows.withColumn("copy", F.row_number().over(row))
+    return unique_ids(rows, ["kind", "path", "ordinal", "digest", "copy"]).drop("kind", "path", "ordinal", "digest", "copy")
+
+
+def ingest(spark: SparkSession, root: str, catalog: DataFrame | None = None, **given) -> tuple[DataFrame, DataFrame]:
+    """(chunks, violations) of ``read_corpus`` on ``root``, the chunks stored once."""
+    chunks = checkpointed(read_corpus(spark, root, **given))
+    return chunks, validate_table(chunks, catalog)
+
+
+def unreadable_files(spark: SparkSession, root: str, pages: DataFrame | None = None) -> DataFrame:
+    """(path, error) of files that no reader could open, and of PDFs without ``pages``."""
+    broken = scan_files(spark, root, [".docx"]).select("path", "document_name", "stem", "content")
     docx = broken.mapInPandas(binary.docx_errors, "path string, error string")
-    pdf = pdf_pages(docs).where(F.col("error").isNotNull()).select("path", "error")
-    return docx.unionByName(pdf)
+    pdf = scan_files(spark, root, [".pdf"]).select("path")
+    if pages is not None:
+        pdf = pdf.join(pages.select("path").distinct(), "path", "left_anti")
+    return docx.unionByName(pdf.withColumn("error", F.lit("pdf: no pages given")))

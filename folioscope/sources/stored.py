@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.evaluate import report_rows
-from folioscope.operators.index import upsert
+from folioscope.operators.index import searchable, upsert
 from folioscope.schema import CHUNK, QUESTION
 
 
@@ -26,8 +26,18 @@ def export_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
+def write_index(records: DataFrame, path: str) -> None:
+    records.write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index in the shape that the retrievers read."""
+    return searchable(spark.read.parquet(path))
+
+
 def save_index(records: DataFrame, table: str, buckets: int) -> None:
-    """Index bucketed by chunk id, so that scoring by chunk needs no shuffle."""
+    """Index bucketed by chunk id.  A search reads it without a shuffle if ``buckets``
+    equals its spark.sql.shuffle.partitions."""
     records.write.mode("overwrite").bucketBy(buckets, "chunk_id").sortBy("chunk_id").saveAsTable(table)
 
 
@@ -72,18 +82,23 @@ def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
 
 
 def write_media(files: DataFrame, folder: str) -> None:
-    """Copy figure files (target, content) into a shared folder unless present."""
+    """Copy figure files (target, content) into ``folder`` unless present.
+
+    ``folder`` is a URI (or absolute path) of a file system that all executors share."""
 
     def copy(rows) -> None:
-        import os
+        import uuid
+
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
         for r in rows:
-            target = os.path.join(folder, r["target"])
-            if not os.path.exists(target):
-                partial = f"{target}.{os.getpid()}.part"
-                with open(partial, "wb") as f:
-                    f.write(r["content"])
-                os.replace(partial, target)
+            target = f"{root}/{r['target']}"
+            if system.get_file_info(target).type == fs.FileType.NotFound:
+                partial = f"{target}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(partial) as out:
+                    out.write(r["content"])
+                system.move(partial, target)
 
     files.select("target", "content").foreachPartition(copy)

@@ -9,9 +9,11 @@ from folioscope.operators import evaluate as E
 from folioscope.operators.answer import (
     answer_gate, context_prompt, fix_media, normalize_citations, with_context, with_grounded_answer,
 )
-from folioscope.operators.media import message_parts, resolve_media
+from folioscope.operators.media import message_parts, with_resolved
 from folioscope.operators.query_features import detect_modality_intent
-from folioscope.plans.benchmark import evaluate_answers
+from folioscope.plans.answer import generate_answers
+from folioscope.plans.benchmark import evaluate_answers, run_benchmark
+from folioscope.plans.retrieve import retrieve
 from folioscope.session import checkpointed
 from registry import inputs as I
 from registry.question_queries import SCOPE
@@ -19,11 +21,10 @@ from registry.sql import ASKED, CANDIDATES, CHUNKS, ROUTED, any_in, ascii_words,
 from registry.text_queries import _catalog
 
 
-def contexts(spark, sf, budget: int = 4):
-    """Asked questions with the four best candidates (the usual budget) as context."""
-    packed = I.candidates(spark, sf).where(F.col("rank") <= budget)
-    files = resolve_media(packed, _catalog(spark, sf)).withColumnRenamed("resolved", "resolved_media")
-    return with_context(I.asked(spark, sf), packed.join(files, "media_path", "left")).drop("conv_id", "turn")
+def contexts(spark, sf):
+    """Asked questions with all their candidates as context."""
+    packed = I.candidates(spark, sf)
+    return with_context(I.asked(spark, sf), with_resolved(packed, _catalog(spark, sf))).drop("conv_id", "turn")
 
 
 def prompt(spark, sf):
@@ -38,7 +39,7 @@ def grounded(spark, sf):
 
 
 CTX = f"""{CANDIDATES}, x AS (SELECT *, CASE WHEN doc_id IN (SELECT doc_id FROM labels) AND media_path IS NOT NULL THEN 'data/' || media_path END AS resolved,
-  '[' || document_name || ', Page 1]' AS cite, trim(content, ' ' || chr(10)) AS body FROM cand WHERE rank <= 4)"""
+  '[' || document_name || ', Page 1]' AS cite, trim(content, ' ' || chr(10)) AS body FROM cand)"""
 PROMPT_SQL = f"""WITH {CTX}, b AS (SELECT query_id, rank, question, chr(10) || '--- [Chunk ' || rank || '] Source: ' || document_name || ' (Page 1) | Modality: ' || modality
   || ' | Reliability: ' || source_reliability || ' | Section: ' || section_title || coalesce(chr(10) || 'Media Path: ' || media_path, '') || coalesce(chr(10) || 'Caption: ' || caption, '')
   || chr(10) || 'Content:' || chr(10) || CASE WHEN length(body) > 450 THEN left(body, 450) || '... [trimmed]' ELSE body END AS blk FROM x)
@@ -61,30 +62,29 @@ def gate(spark, sf):
     return q.select("query_id", early.alias("reply"))
 
 
-def _three(spark, sf):
-    """First three chunks of every conversation's block of documents, as context."""
+def _block(spark, sf):
+    """All chunks of every conversation's block of documents, as context."""
     i = F.regexp_extract("chunk_id", r"\d+", 0).cast("long")
-    c = I.chunks(spark, sf).withColumn("conv_id", F.floor(i / 10)).withColumn("rank", (i % 10 + 1).cast("int")).where("rank <= 3")
-    files = resolve_media(c, _catalog(spark, sf)).withColumnRenamed("resolved", "resolved_media")
-    c = c.join(files, "media_path", "left")
+    c = I.chunks(spark, sf).withColumn("conv_id", F.floor(i / 10)).withColumn("rank", (i % 10 + 1).cast("int"))
+    c = with_resolved(c, _catalog(spark, sf))
     fields = ["rank", "document_name", "page_number", "section_title", "modality", "content", "media_path", "caption", "resolved_media"]
     return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("context"))
 
 
 def _replies(spark, sf, suffixes):
-    """All turns with a suffix by key, next to their three context chunks."""
+    """All turns with a suffix by key, next to their context chunks."""
     k = (F.col("conv_id") + F.col("turn")) % len(suffixes)
     t = I.table(spark, sf, "conversations").withColumn("answer", F.concat("text", I.pick(suffixes, k)))
     t = t.withColumn("answer", F.replace("answer", F.lit("{x}"), (F.col("conv_id") * 10).cast("string")))
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "turn", "role", "answer").join(_three(spark, sf), "conv_id")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "turn", "role", "answer").join(_block(spark, sf), "conv_id")
 
 
-CITES = ["", " [Chunk 1]", " [chunk 9] 【Chunk 2, Page 7】", " [Document: x y, Page 3] ok"]
+CITES = ["", " [Chunk 1]", " [chunk 99] 【Chunk 9, Page 7】", " [Document: x y, Page 3] ok"]
 IMAGES = ["", " ![a](media/fig_{x}.png) end", " ![](other/fig_{x}.png)", " ![cut](media/fi"]
 CLAIMS = [" [src{n}", " in 1873 as [Unknown_ledger, Page 2] says", " The garrison had 3,107 men.", " The archive does not specify it.", " | a | b |\n|---|---|\n| 1 | 2 |"]
-THREE = f"""{CHUNKS}, ctx AS (SELECT doc_id // 10 AS conv_id, list({{'name': document_name, 'caption': caption, 'section': section_title, 'content': content, 'modality': modality, 'media': media_path,
+BLOCK = f"""{CHUNKS}, ctx AS (SELECT doc_id // 10 AS conv_id, list({{'name': document_name, 'caption': caption, 'section': section_title, 'content': content, 'modality': modality, 'media': media_path,
   'resolved': CASE WHEN media_path IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels) THEN 'data/' || media_path END}} ORDER BY doc_id) AS c
-  FROM ch WHERE doc_id % 10 < 3 GROUP BY ALL), t AS (SELECT conv_id * 1000 + turn AS query_id, role, text, (conv_id + turn) % 4 AS k, c FROM conversations JOIN ctx USING (conv_id))"""
+  FROM ch GROUP BY ALL), t AS (SELECT conv_id * 1000 + turn AS query_id, role, text, (conv_id + turn) % 4 AS k, c FROM conversations JOIN ctx USING (conv_id))"""
 
 
 def cite_normalize(spark, sf):
@@ -92,8 +92,8 @@ def cite_normalize(spark, sf):
     return r.select("query_id", F.md5(normalize_citations(F.col("answer"), F.col("context"))).alias("answer_md5"))
 
 
-CITE_SQL = f"""WITH {THREE} SELECT query_id, md5(CASE k WHEN 0 THEN rtrim(text, ' ' || chr(10)) || chr(10) || chr(10) || 'Source: [' || c[1].name || ', Page 1]'
-  WHEN 1 THEN text || ' [' || c[1].name || ', Page 1]' WHEN 2 THEN text || ' [chunk 9] [' || c[2].name || ', Page 7]'
+CITE_SQL = f"""WITH {BLOCK} SELECT query_id, md5(CASE k WHEN 0 THEN rtrim(text, ' ' || chr(10)) || chr(10) || chr(10) || 'Source: [' || c[1].name || ', Page 1]'
+  WHEN 1 THEN text || ' [' || c[1].name || ', Page 1]' WHEN 2 THEN text || ' [chunk 99] [' || c[9].name || ', Page 7]'
   ELSE text || ' [x y, Page 3] ok' || chr(10) || chr(10) || 'Source: [' || c[1].name || ', Page 1]' END) AS answer_md5 FROM t"""
 
 
@@ -102,8 +102,8 @@ def media_fix(spark, sf):
     return out.select("query_id", F.md5("answer").alias("answer_md5"))
 
 
-MEDIA_SQL = f"""WITH {THREE}, u AS (SELECT *, trim(text, ' ' || chr(10)) AS b, c[1].resolved AS res, chr(10) || chr(10) || '![' || c[1].caption || '](' || c[1].resolved || ')' || chr(10)
-    || '*Figure: ' || c[1].caption || ' — [' || c[1].name || ', Page 1]*' AS added FROM t)
+MEDIA_SQL = f"""WITH {BLOCK}, u AS (SELECT *, trim(text, ' ' || chr(10)) AS b, c[1].resolved AS res, list_filter(c, lambda y: y.resolved IS NOT NULL)[1] AS f, chr(10) || chr(10) || '![' || f['caption'] || '](' || f['resolved'] || ')' || chr(10)
+    || '*Figure: ' || f['caption'] || ' — [' || f['name'] || ', Page 1]*' AS added FROM t)
 SELECT query_id, md5(CASE k WHEN 0 THEN b || coalesce(added, '') WHEN 1 THEN trim(text || ' ![a](' || coalesce(res, c[1].media) || ') end', ' ' || chr(10))
   WHEN 2 THEN trim(text || CASE WHEN res IS NULL THEN ' ![](other/' || split_part(c[1].media, '/', 2) || ')' ELSE ' ![' || c[1].caption || '](' || res || ')' END, ' ' || chr(10))
   ELSE b || coalesce(added, '') END) AS answer_md5 FROM u"""
@@ -116,7 +116,7 @@ def message_split(spark, sf):
     )
 
 
-SPLIT_SQL = f"""WITH {THREE}, u AS (SELECT query_id, k, c[1].media AS m, trim(text, ' ' || chr(10)) AS b, trim(text || ' ![cut](media/fi', ' ' || chr(10)) AS broken FROM t)
+SPLIT_SQL = f"""WITH {BLOCK}, u AS (SELECT query_id, k, c[1].media AS m, trim(text, ' ' || chr(10)) AS b, trim(text || ' ![cut](media/fi', ' ' || chr(10)) AS broken FROM t)
 SELECT query_id, 1 AS part, 'prose' AS kind, md5(CASE WHEN k = 3 THEN broken ELSE b END) AS text_md5, '' AS path FROM u
 UNION ALL SELECT query_id, 2, 'image', md5(CASE WHEN k = 1 THEN 'a' ELSE '' END), CASE WHEN k = 1 THEN m ELSE 'other/' || split_part(m, '/', 2) END FROM u WHERE k IN (1, 2)
 UNION ALL SELECT query_id, 3, 'prose', md5('end'), '' FROM u WHERE k = 1"""
@@ -128,7 +128,7 @@ def qa(spark, sf):
     t = I.table(spark, sf, "conversations")
     k = (F.col("conv_id") + F.col("turn")) % len(CLAIMS)
     reply = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    asked = I.asked(spark, sf).join(reply, ["conv_id", "turn"]).join(_three(spark, sf), "conv_id")
+    asked = I.asked(spark, sf).join(reply, ["conv_id", "turn"]).join(_block(spark, sf), "conv_id")
     first = F.get("context", F.lit(0))["document_name"]
     claim = F.when(k == 0, F.concat(F.lit(" ["), first, F.lit(", Page 1]"))).otherwise(I.pick(CLAIMS, k))
     return checkpointed(
@@ -176,10 +176,36 @@ def report(spark, sf):
     return E.report_rows(checkpointed(_results(spark, sf)).withColumn("latency_sec", F.format_number("latency_sec", 2)))
 
 
+def _benchmark(spark, sf):
+    """Benchmark texts as questions: plain ones, comparisons of two of their words, and
+    openers that ask for totals or a figure."""
+    words = F.regexp_extract_all("question", F.lit("[A-Za-z]{4,}"), F.lit(0))
+    pair = F.concat(F.lit('Compare the cost of "'), F.get(words, F.lit(0)), F.lit('" and "'), F.get(words, F.lit(1)), F.lit('"'))
+    kind = F.col("query_id") % 4
+    text = F.when(kind == 1, pair).when(kind == 2, F.concat(F.lit("total sum of "), "question")).when(kind == 3, F.concat(F.lit("Show me the figure of "), "question"))
+    return I.questions(spark, sf).select(
+        "query_id", F.concat(I.pick(["1a_", "1b_"], F.col("query_id")), "query_id").alias("qid"), F.lit("1A: benchmark").alias("track"),
+        F.coalesce(text, "question").alias("question"),
+    )
+
+
+def answer_e2e(spark, sf):
+    """Retrieve, gate and answer every benchmark question."""
+    asked = _benchmark(spark, sf).select("query_id", "question")
+    packed = checkpointed(retrieve(asked, I.chunks(spark, sf)))
+    return generate_answers(asked, packed, _catalog(spark, sf)).select("query_id", "question", "answer", F.size("context").alias("n_chunks"))
+
+
+def benchmark_e2e(spark, sf):
+    """Retrieve, answer, evaluate: one row of metrics per benchmark question."""
+    latency = I.table(spark, sf, "events").select(F.col("event_id").alias("query_id"), F.col("value").alias("latency_sec"))
+    return run_benchmark(_benchmark(spark, sf), I.chunks(spark, sf), _catalog(spark, sf), latency)[0]
+
+
 V, T = count_hits("ml", L.VISUAL_PATTERNS), count_hits("ml", L.TABULAR_PATTERNS)
 CLAIM_SQL = "CASE k5 WHEN 0 THEN ' [' || c[1].name || ', Page 1]' ELSE " + lst([x.replace("\n", "~") for x in CLAIMS]) + "[k5 + 1] END"
 PN = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}\b"
-EVAL = f"""WITH {ASKED}, {THREE}, e0 AS (SELECT a.query_id, a.question, {ascii_words('lower(a.question)')} AS ml, ctx.c, (a.conv_id + a.turn) % 5 AS k5, a.conv_id * 10 + a.turn AS event_id,
+EVAL = f"""WITH {ASKED}, {BLOCK}, e0 AS (SELECT a.query_id, a.question, {ascii_words('lower(a.question)')} AS ml, ctx.c, (a.conv_id + a.turn) % 5 AS k5, a.conv_id * 10 + a.turn AS event_id,
     ['1a_', '1b_'][a.conv_id % 2 + 1] || a.query_id AS qid, r.text AS reply
   FROM asked a JOIN conversations r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1 AND r.role = 'assistant' JOIN ctx ON ctx.conv_id = a.conv_id),
 e1 AS (SELECT *, reply || replace({CLAIM_SQL}, '~', chr(10)) AS answer, {V} AS v, {T} AS tb,
@@ -215,7 +241,7 @@ SELECT query_id, CASE {' '.join(f"WHEN category = {s(k)} THEN {s(v)}" for k, v i
 QUERIES = {
     "context_prompt": prompt, "grounded_answer": grounded, "answer_gate": gate, "cite_normalize": cite_normalize, "media_fix": media_fix,
     "message_split": message_split, "eval_precision": precision, "eval_citation": citation, "eval_hallucination": halluc,
-    "eval_modality": modality, "eval_summary": summary, "metrics_report": report,
+    "eval_modality": modality, "eval_summary": summary, "metrics_report": report, "answer_e2e": answer_e2e, "benchmark_e2e": benchmark_e2e,
 }
 SQL = {
     "context_prompt": PROMPT_SQL, "grounded_answer": GROUNDED_SQL, "answer_gate": GATE_SQL, "cite_normalize": CITE_SQL, "media_fix": MEDIA_SQL, "message_split": SPLIT_SQL,

@@ -70,11 +70,13 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns that quote the start of a document."""
+    """User turns that quote the longest word of a document."""
     opener = pick(TRIGGERS, F.col("conv_id") * 7 + F.col("turn"))
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("conv_id"), F.concat(F.lit('"'), F.substring("text", 1, 12), F.lit('" ')).alias("quote")
+        F.col("doc_id").alias("conv_id"), F.concat(F.lit('"'), longest["word"], F.lit('" ')).alias("quote")
     )
     return turns.join(docs, "conv_id").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope import lexicon as L
@@ -15,8 +17,10 @@ from folioscope.operators.prune import elbow, token_pack
 from folioscope.operators.rerank import cross_relevance, rerank, with_rerank_terms
 from folioscope.operators.vectors import vector_topk
 from folioscope.operators.verify import entity_coverage, field_coverage, verification_report, with_gate
-from folioscope.plans.retrieve import lexical_retriever, retrieve, retrieve_candidates
-from folioscope.session import checkpointed
+from folioscope.operators.index import index_records
+from folioscope.plans.retrieve import lexical_retriever, retrieve, retrieve_candidates, vector_retriever
+from folioscope.session import checkpointed, shared_folder
+from folioscope.sources import stored
 from registry import inputs as I
 from registry.question_queries import SCOPE
 from registry.sql import (
@@ -150,7 +154,7 @@ SELECT query_id, step, chunk_id, raw_similarity, relevance_score, rank FROM (
 # ------------------------------------------------- candidates of asked turns
 def hop_fusion(spark, sf):
     """The user turns of a conversation as hops over the same documents."""
-    c = I.candidates(spark, sf).where("rank <= 5")
+    c = I.candidates(spark, sf)
     hits = c.select(F.floor(F.col("query_id") / 1000).alias("query_id"), (F.col("query_id") % 1000).alias("step"), "rank", "chunk_id", "raw_similarity", "relevance_score")
     return fuse_hops(hits, 8).select("query_id", "chunk_id", "raw_similarity", "relevance_score", "first_step", "corroborated", "rank")
 
@@ -281,7 +285,37 @@ ek AS (SELECT * FROM el WHERE place <= CASE WHEN effective_k = 2 THEN 1 ELSE 2 E
 tk AS (SELECT *, sum({EST}) OVER (PARTITION BY query_id ORDER BY place) AS used FROM ek)
 SELECT query_id, place AS rank, chunk_id, raw_similarity, relevance_score, used AS tokens_used FROM tk WHERE place = 1 OR used <= 2500"""
 
+def index_roundtrip(spark, sf):
+    """Search in an index that was written with stale rows, upserted and read again."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    records = index_records(I.chunks(spark, sf))
+    number = F.regexp_extract("chunk_id", r"\d+", 0).cast("long")
+    stale = records.where(number % 3 != 0).withColumn("document", F.when(number % 3 == 1, F.reverse("document")).otherwise(F.col("document")))
+    stored.write_index(stale, f"{folder}/old")
+    stored.upsert_index(spark, f"{folder}/old", records.where(number % 3 != 2), f"{folder}/new")
+    f = checkpointed(Q.with_features(I.questions(spark, sf)))
+    asked = f.withColumn("step", F.lit(1)).withColumn("k", F.col("candidate_k"))
+    return lexical_topk(asked, stored.read_index(spark, f"{folder}/new")).select(*HIT_COLUMNS)
+
+
+def vector_e2e(spark, sf):
+    """Documents with the vector of their number as index; every question looks from the
+    vector of its number, each third one without a vector falls back to words."""
+    given = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), "embedding")
+    number = F.regexp_extract("chunk_id", r"\d+", 0).cast("long")
+    chunks = I.chunks(spark, sf)
+    index = chunks.withColumn("n", number).join(given, "n").select("chunk_id", "document_name", "modality", "media_path", "embedding")
+
+    def embedder(questions):
+        near = given.select(F.col("n").alias("query_id"), F.when(F.col("n") % 3 != 0, F.col("embedding")).alias("vector"))
+        return questions.join(near, "query_id", "left")
+
+    out = retrieve(I.questions(spark, sf), chunks, vector_retriever(index, embedder, lexical_retriever(chunks)))
+    return out.select("query_id", "rank", "chunk_id", "raw_similarity", "relevance_score", "tokens_used")
+
+
 QUERIES = {
+    "index_roundtrip": index_roundtrip, "vector_retrieve_e2e": vector_e2e,
     "lexical_topk": lexical, "agentic_retrieve": agentic, "vector_topk": vector, "modality_boost": vector_figures, "hop_fusion": hop_fusion,
     "rerank_score": rerank_score, "rerank_topk": rerank_topk, "entity_match": matches, "field_match": field_match, "verify_gate": gate,
     "entity_coverage": cover_entities, "field_coverage": cover_fields, "sufficiency": sufficiency, "crag_confidence": confidence,
@@ -291,9 +325,10 @@ _GATED = f"WITH {CANDIDATES}, {gate_ctes('cand')}"
 SQL = {
     "lexical_topk": f"WITH {CHUNKS}, {BENCH}, {lexical_ctes('bk')} SELECT * FROM hits",
     "agentic_retrieve": AGENTIC_SQL,
+    "index_roundtrip": f"WITH {CHUNKS}, {BENCH}, {lexical_ctes('bk')} SELECT * FROM hits",
     "vector_topk": vector_sql("text", 1.0, 10),
     "modality_boost": vector_sql("image-caption", 1.6, 10),
-    "hop_fusion": f"""WITH {CANDIDATES}, hits AS (SELECT query_id // 1000 AS query_id, query_id % 1000 AS step, rank, chunk_id, raw_similarity, relevance_score FROM cand WHERE rank <= 5), {FUSED}
+    "hop_fusion": f"""WITH {CANDIDATES}, hits AS (SELECT query_id // 1000 AS query_id, query_id % 1000 AS step, rank, chunk_id, raw_similarity, relevance_score FROM cand), {FUSED}
       SELECT query_id, chunk_id, raw_similarity, relevance_score, first_step, corroborated, rank FROM fr WHERE rank <= 8""",
     "rerank_score": f"WITH {CANDIDATES}, {rerank_ctes('cand')} SELECT query_id, chunk_id, {', '.join(TERMS)}, rerank_score FROM rr",
     "rerank_topk": f"""WITH {CANDIDATES}, {rerank_ctes('cand')} SELECT query_id, chunk_id, rerank_score AS relevance_score,

@@ -71,14 +71,12 @@ def first_of_each(values: str) -> str:
 
 
 _ALIASES = "|".join(a for aliases in L.FIELD_ALIASES.values() for a in aliases)
-_LEAD = r"^(the|a|an|both|all|each|are|is|were|was|did|do|does|can|could|will|would|compare)\s+"
-_PREFIX = r"^(?:the\s+)?(?:" + _ALIASES + r"|\band\b|\bor\b|\bof\b|\bfor\b|\bbetween\b|\bin\b|\s|,)+\s+(?:of|for|in|at)\s+"
-_PREP = r"^(?:of|for|in|at|on|with|regarding|about)\s+"
+_CUTS = (L.PHRASE_LEAD, L.PHRASE_FIELDS.replace("ALIASES", _ALIASES), L.PHRASE_PREPOSITION)
 
 
 def clean(p: str) -> str:
     out = f"trim(trim({p}), {s(',.?!' + chr(34) + chr(39))})"
-    for pattern in (_LEAD, _PREFIX, _PREP):
+    for pattern in _CUTS:
         out = f"trim(regexp_replace({out}, {s(pattern)}, '', 'i'))"
     return out
 
@@ -136,9 +134,9 @@ PATHS = f"""paths AS (
 ROUTED = f"""routed AS (
   SELECT conv_id * 1000 + turn AS query_id, {pick(TRIGGERS, 'conv_id * 7 + turn')} || text AS question FROM conversations
 )"""
-ASKED = f"""asked AS (
+ASKED = rf"""asked AS (
   SELECT conv_id * 1000 + turn AS query_id, conv_id, turn,
-    {pick(TRIGGERS, 'conv_id * 7 + turn')} || '"' || substring(d.text, 1, 12) || '" ' || c.text AS question
+    {pick(TRIGGERS, 'conv_id * 7 + turn')} || '"' || (list_max(list_transform(regexp_extract_all(d.text, '\p{{L}}+'), lambda w: {{'n': length(w), 'word': w}}))).word || '" ' || c.text AS question
   FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE role = 'user'
 )"""
 # Every question meets the ten chunks of its conversation's block of documents.

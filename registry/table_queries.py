@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.tables import format_markdown_table, parse_markdown_table
@@ -74,10 +73,8 @@ def aggregates(spark, sf):
 
 
 def matrix(spark, sf):
-    """Stacked sources of the eight first tables (the retrieval budget) of every customer."""
-    first = Window.partitionBy("query_id").orderBy("rank")
-    top = _ranked(spark, sf).withColumn("_n", F.row_number().over(first)).where("_n <= 8").drop("_n")
-    out = table_summary(_questions(spark, sf), top)
+    """Stacked sources of all tables of every customer."""
+    out = table_summary(_questions(spark, sf), _ranked(spark, sf))
     return out.select("query_id", "has_tables", "tables_found", "total_rows", F.md5("matrix_markdown").alias("matrix_md5"))
 
 
@@ -96,8 +93,7 @@ SQL = {
     "table_aggregates": """WITH b AS (SELECT o_custkey AS query_id, unnest(['Line', 'Quantity', 'Price']) AS "column", unnest([l_linenumber::DECIMAL(12,2), l_quantity::INT::DECIMAL(12,2), l_extendedprice::DECIMAL(12,2)]) AS v
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 3 <> 1)
       SELECT query_id, "column", count(*) AS n_values, sum(v)::DOUBLE AS sum_value, round_even(sum(v)::DOUBLE / count(*), 2) AS avg_value, min(v)::DOUBLE AS min_value, max(v)::DOUBLE AS max_value FROM b GROUP BY ALL""",
-    "table_matrix": f"""WITH {TABLES}, r AS (SELECT o_custkey, l_orderkey, page, n, content FROM t JOIN orders ON o_orderkey = l_orderkey
-        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey * 1000 + page) <= 8),
+    "table_matrix": f"""WITH {TABLES}, r AS (SELECT o_custkey, l_orderkey, page, n, content FROM t JOIN orders ON o_orderkey = l_orderkey),
       g AS (SELECT o_custkey, count(*) AS c, sum(n) AS n, string_agg('**Source: [order_' || l_orderkey || '.pdf, Page ' || (page + 1) || ']**' || chr(10) || content, chr(10) || chr(10) ORDER BY l_orderkey, page) AS m FROM r GROUP BY o_custkey)
       SELECT c_custkey AS query_id, c IS NOT NULL AS has_tables, coalesce(c, 0) AS tables_found, coalesce(n, 0) AS total_rows, md5(coalesce(m, '')) AS matrix_md5 FROM customer LEFT JOIN g ON o_custkey = c_custkey""",
 }

@@ -24,7 +24,7 @@ def slug_sql(x: str) -> str:
 
 def slug_ids(spark, sf):
     d = I.table(spark, sf, "documents")
-    return d.select("doc_id", slug(F.concat("source", F.lit(" / "), F.substring("text", 1, 90))).alias("slug"))
+    return d.select("doc_id", slug(F.concat("source", F.lit(" / "), "text")).alias("slug"))
 
 
 def reliability(spark, sf):
@@ -138,7 +138,7 @@ FROM secs s LEFT JOIN crumbs c USING (doc_id, sec)
 
 def txt_titles(spark, sf):
     d = I.table(spark, sf, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda l, i: F.when(i == F.col("doc_id") % 7, F.upper(F.replace(F.substring(l, 1, 40), F.lit("ß"), F.lit("ss")))).otherwise(l))
+    lines = F.transform(F.split("text", "\n"), lambda l, i: F.when(i == F.col("doc_id") % 7, F.upper(F.replace(l, F.lit("ß"), F.lit("ss")))).otherwise(l))
     rows = d.select("doc_id", F.concat("source", F.lit("_"), "doc_id").alias("stem"), F.array_join(lines, "\n").alias("text"))
     return rows.select("doc_id", text_title(F.col("stem"), F.col("text")).alias("section_title"))
 
@@ -148,7 +148,7 @@ WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents
 ), shout AS (
   SELECT doc_id, min_by(t, i) AS t FROM (
-    SELECT doc_id, i, trim(CASE WHEN i = doc_id % 7 THEN upper(replace(substring(l, 1, 40), 'ß', 'ss')) ELSE l END) AS t FROM lines WHERE i < 5)
+    SELECT doc_id, i, trim(CASE WHEN i = doc_id % 7 THEN upper(replace(l, 'ß', 'ss')) ELSE l END) AS t FROM lines WHERE i < 5)
   WHERE length(t) > 3 AND length(t) < 70 AND upper(t) = t AND lower(t) <> t GROUP BY doc_id
 )
 SELECT doc_id, 'Src' || substring(source, 4) || ' ' || doc_id || CASE WHEN t IS NULL THEN '' ELSE ' > ' || t END AS section_title
@@ -157,8 +157,10 @@ FROM documents LEFT JOIN shout USING (doc_id)
 
 
 def dup_ids(spark, sf):
-    d = I.table(spark, sf, "documents").select("doc_id", slug(F.col("source")).alias("chunk_id"))
-    return unique_ids(d, ["doc_id"])
+    """Sources as ids, some of which already look like numbered ones."""
+    i, name = F.col("doc_id"), slug(F.col("source"))
+    given = F.when(i % 9 == 4, F.concat(name, F.lit("_dup"), (i % 6 + 1).cast("string"))).otherwise(name)
+    return unique_ids(I.table(spark, sf, "documents").select("doc_id", given.alias("chunk_id")), ["doc_id"])
 
 
 def index_projection(spark, sf):
@@ -266,7 +268,7 @@ FIG_SQL = f"""
 SELECT doc_id,
   {lst(['Heraldry Banner — ', 'Portrait — ', 'Relic Illustration — ', 'Bestiary Illustration — ', 'Landscape View — ', 'Historical Battle Painting — ', ''])}[k + 1] || n AS title,
   {lst(['Heraldic Banner of ', 'Portrait of ', 'Relic Plate: ', 'Bestiary Plate: ', 'Landscape Painting of ', 'Battle Painting: ', 'Visual Plate: '])}[k + 1] || n AS caption,
-  {lst(['Heraldic banner and standard of ', 'Portrait depicting ', 'Illustration of the artifact ', 'Illustration of the creature ', 'Landscape depicting ', 'Painting of the battle ', 'Visual illustration representing '])}[k + 1] || n || '.' AS content,
+  {lst(['A standard that bears the arms of ', 'The sitter of this picture is ', 'An object of the collection: ', 'An animal study: ', 'The view takes in ', 'The fighting as a painter saw it: ', 'Picture file about '])}[k + 1] || n || '.' AS content,
   n || {lst([',Heraldry,Banner', ',Character Portrait', ',Artifact,Relic', ',Bestiary,Creature', ',Location,Landscape', ',Conflict,Battle Painting', ''])}[k + 1] AS entities
 FROM (SELECT doc_id, doc_id % 7 AS k, CASE WHEN doc_id % 7 = 6 THEN 'Misc ' ELSE '' END || 'Lady Src' || substring(source, 4) || ' ' || upper(lang[1]) || lang[2:] AS n FROM documents)
 """
@@ -305,8 +307,11 @@ SQL = {
     "token_estimate": f"""WITH {CHUNKS} SELECT chunk_id, len(regexp_extract_all(content, '\\S+')) AS n_words,
       greatest(trunc(len(regexp_extract_all(concat_ws(' ', content, caption), '\\S+')) * 1.33::DOUBLE)::INT, 10) AS est_tokens FROM ch""",
     "hier_chunk": HIER_SQL, "md_sections": MD_SQL, "txt_titles": TXT_SQL,
-    "dup_ids": """SELECT doc_id, CASE WHEN n = 0 THEN source ELSE source || '_dup' || n END AS chunk_id
-      FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)""",
+    "dup_ids": """WITH d AS (SELECT doc_id, source || CASE WHEN doc_id % 9 = 4 THEN '_dup' || (doc_id % 6 + 1) ELSE '' END AS id FROM documents),
+      r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) - 1 AS k FROM d),
+      free AS (SELECT id, n, row_number() OVER (PARTITION BY id ORDER BY n) AS k
+        FROM (SELECT id, unnest(range(1, (SELECT count(*) FROM documents))) AS n FROM (SELECT DISTINCT id FROM d)) WHERE id || '_dup' || n NOT IN (SELECT id FROM d))
+      SELECT doc_id, CASE WHEN k = 0 THEN id ELSE id || '_dup' || n END AS chunk_id FROM r LEFT JOIN free USING (id, k)""",
     "index_projection": f"""WITH {CHUNKS} SELECT chunk_id, document_name, 'txt' AS document_type, 1 AS page_number, section_title, modality,
       coalesce(media_path, '') AS media_path, coalesce(caption, '') AS caption, source_reliability,
       md5(CASE WHEN doc_id % 7 <> 0 AND trim(content, ' ' || chr(10)) <> '' THEN trim(content, ' ' || chr(10))

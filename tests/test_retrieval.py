@@ -222,3 +222,25 @@ def test_retrieve_end_to_end(spark, chunks):
     assert {r.query_id for r in rows} == {1, 2}
     assert rows[0].chunk_id == "c001" and "readme.txt" not in {r.document_name for r in rows}
     assert {"c001", "c002"} <= {r.chunk_id for r in rows if r.query_id == 2}
+
+
+def test_odd_vectors_are_left_out(spark):
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [None, 1.0]), ("e", [0.0, 0.0]), ("f", [0.0, 2.0])], "item_id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [1.0, None])], "qid int, vector array<double>")
+    for limit in (1 << 20, 1):
+        got = sorted((r.qid, r.item_id) for r in knn(queries, items, 5, limit).collect())
+        assert got == [(1, "a"), (1, "e"), (1, "f")]
+
+
+def test_k_above_the_hint_is_honoured(spark):
+    chunks = spark.createDataFrame([chunk(i, f"d{i}.txt", f"garrison number {i}") for i in range(40)], CHUNK_DDL)
+    asked = with_features(spark.createDataFrame([(1, "garrison number")], "query_id int, question string"))
+    asked = asked.withColumn("step", F.lit(1)).withColumn("k", F.lit(30))
+    assert lexical.lexical_topk(asked, chunks, 16).count() == 30
+
+
+def test_a_long_word_takes_linear_space(spark):
+    letters = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(60_000))
+    chunks = spark.createDataFrame([chunk(1, "d.txt", letters)], CHUNK_DDL)
+    size = lexical._postings(chunks).agg(F.sum(F.length("token"))).first()[0]
+    assert size < 3 * len(letters)
