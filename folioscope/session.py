@@ -57,6 +57,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="folioscope-", dir=os.environ.get("TMPDIR", "/tmp"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for costly row-local work: as it is scanned, unless the scan has fewer
+    partitions than the session has cores (one small file, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the cluster's shared checkpoint folder."""
     context = df.sparkSession.sparkContext

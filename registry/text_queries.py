@@ -11,6 +11,7 @@ from folioscope.operators.index import corpus_stats, index_ids, index_records, m
 from folioscope.operators.media import Plate, describe_figure, match_plate, resolve_media
 from folioscope.operators.validate import chunk_errors, duplicate_ids, unique_ids, validate_chunks
 from folioscope.sources.documents import markdown_sections, text_title
+from folioscope.session import spread
 from registry import inputs as I
 from registry.sql import CHUNKS, PATHS, lst, s
 
@@ -45,7 +46,7 @@ def hier_chunk(spark, sf):
     d = I.table(spark, sf, "documents")
     body = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     return (
-        d.repartition("doc_id").select("doc_id", "source", F.posexplode(chunk_texts(body)).alias("pos", "content"))
+        spread(d).select("doc_id", "source", F.posexplode(chunk_texts(body)).alias("pos", "content"))
         .select(
             F.concat(slug(F.concat("source", F.lit("_"), "doc_id")), F.lit("_p1_c"), F.lpad((F.col("pos") + 1).cast("string"), F.greatest(F.lit(2), F.length((F.col("pos") + 1).cast("string"))), F.lit("0"))).alias("chunk_id"),
             F.md5(F.btrim("content")).alias("content_md5"),
@@ -107,7 +108,7 @@ def _headed(spark, sf):
 
 def md_sections(spark, sf):
     return (
-        markdown_sections(_headed(spark, sf).repartition("doc_id"))
+        markdown_sections(spread(_headed(spark, sf)))
         .select("doc_id", "section_no", F.md5("section_title").alias("title_md5"), F.md5("section_text").alias("text_md5"))
     )
 
@@ -136,6 +137,28 @@ FROM secs s LEFT JOIN crumbs c USING (doc_id, sec)
 """
 
 
+def page_sections(spark, sf):
+    """Headings and paragraphs of web pages as Markdown sections."""
+    found = F.regexp_extract_all("html", F.lit(r"<(?:h1|p)>[^<\n\r]+"), F.lit(0))
+    lines = F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(p, "^<h1>", "# "), "^<p>", ""))
+    pages = I.table(spark, sf, "pages").select("page_id", F.concat(F.lit("page_"), "page_id").alias("stem"), F.array_join(lines, "\n").alias("text"))
+    return markdown_sections(spread(pages)).select("page_id", "section_no", F.md5("section_title").alias("title_md5"), F.md5("section_text").alias("text_md5"))
+
+
+PAGE_SQL = r"""
+WITH found AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|p)>[^<\n\r]+') AS p FROM pages
+), lines AS (SELECT page_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM found
+), marked AS (SELECT page_id, i, starts_with(p, '<h1>') AND trim(p[5:]) <> '' AS is_head, CASE WHEN starts_with(p, '<h1>') THEN '# ' || p[5:] ELSE p[4:] END AS line, trim(p[5:]) AS title FROM lines
+), numbered AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY page_id ORDER BY i) AS sec FROM marked
+), heads AS (SELECT page_id, sec, title FROM numbered WHERE is_head
+), secs AS (SELECT page_id, sec, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)) AS body FROM numbered WHERE NOT is_head GROUP BY ALL HAVING body <> '')
+SELECT s.page_id, (row_number() OVER (PARTITION BY s.page_id ORDER BY s.sec))::INT AS section_no, md5(coalesce(h.title, 'Page ' || s.page_id)) AS title_md5, md5(body) AS text_md5
+FROM secs s LEFT JOIN heads h USING (page_id, sec)
+UNION ALL SELECT page_id, 1, md5(max_by(title, i)), md5(trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)))
+FROM numbered WHERE page_id NOT IN (SELECT page_id FROM secs) GROUP BY page_id HAVING bool_or(is_head)
+"""
+
+
 def txt_titles(spark, sf):
     d = I.table(spark, sf, "documents")
     lines = F.transform(F.split("text", "\n"), lambda l, i: F.when(i == F.col("doc_id") % 7, F.upper(F.replace(l, F.lit("ß"), F.lit("ss")))).otherwise(l))
@@ -293,7 +316,7 @@ FROM (SELECT doc_id, source || '_' || lang AS k FROM documents) WHERE contains(k
 
 QUERIES = {
     "slug_ids": slug_ids, "source_reliability": reliability, "document_type": doc_type, "token_estimate": tokens,
-    "hier_chunk": hier_chunk, "md_sections": md_sections, "txt_titles": txt_titles, "dup_ids": dup_ids,
+    "hier_chunk": hier_chunk, "md_sections": md_sections, "txt_titles": txt_titles, "page_sections": page_sections, "dup_ids": dup_ids,
     "index_projection": index_projection, "index_ids": index_unique, "validate_chunks": validate,
     "validate_duplicates": duplicates, "corpus_stats": stats, "modality_counts": by_modality, "chunk_upsert": chunk_upsert,
     "media_resolve": media_resolve, "figure_captions": figure_captions, "plate_match": plate_match,
@@ -306,7 +329,7 @@ SQL = {
     "document_type": "SELECT doc_id, ['md', 'pdf', 'docx', 'scan', 'md', 'txt', 'txt'][doc_id % 7 + 1] AS document_type FROM documents",
     "token_estimate": f"""WITH {CHUNKS} SELECT chunk_id, len(regexp_extract_all(content, '\\S+')) AS n_words,
       greatest(trunc(len(regexp_extract_all(concat_ws(' ', content, caption), '\\S+')) * 1.33::DOUBLE)::INT, 10) AS est_tokens FROM ch""",
-    "hier_chunk": HIER_SQL, "md_sections": MD_SQL, "txt_titles": TXT_SQL,
+    "hier_chunk": HIER_SQL, "md_sections": MD_SQL, "txt_titles": TXT_SQL, "page_sections": PAGE_SQL,
     "dup_ids": """WITH d AS (SELECT doc_id, source || CASE WHEN doc_id % 9 = 4 THEN '_dup' || (doc_id % 6 + 1) ELSE '' END AS id FROM documents),
       r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) - 1 AS k FROM d),
       free AS (SELECT id, n, row_number() OVER (PARTITION BY id ORDER BY n) AS k
