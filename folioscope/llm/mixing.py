@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import column, spare_name, stored, word_array
+from folioscope.llm.common import column, small_ids, spare_name, stored, word_array
 
 # A hash is read 12 bits at a time: 4096 buckets, 5 levels use 60 bits.
 BITS, LEVELS = 12, 5
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     plan = thresholds(light, weights, share, most)
     rows = rows.withColumn(group, by)
     low, hashed = F.col("low"), F.shiftrightunsigned(F.col(place), 64 - BITS * LEVELS)
-    joined = rows.join(F.broadcast(plan), F.col(group).eqNullSafe(F.col("plan_source")))
+    joined = rows.join(small_ids(plan), F.col(group).eqNullSafe(F.col("plan_source")))
     extra = F.when(hashed < low, 1.0).when(hashed == low, F.col("part")).otherwise(0.0)
     copies = F.when(F.col(size) == 0, F.col("whole").cast("double")).otherwise(F.col("whole") + extra)
     return joined.select(
@@ -81,7 +81,7 @@ def thresholds(light: DataFrame, weights: tuple, share: Fraction, most: int) ->
         # buckets of this level inside the boundary bucket of the level before
         now = spark.createDataFrame([(s, v["whole"], float(v["rest"]), v["low"]) for s, v in state.items()], kind)
         bucket = F.shiftrightunsigned("hash", 64 - BITS * level)
-        inside = light.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("plan_source"))).where(F.shiftrightunsigned(bucket, BITS) == F.col("low"))
+        inside = light.join(small_ids(now), F.col("source").eqNullSafe(F.col("plan_source"))).where(F.shiftrightunsigned(bucket, BITS) == F.col("low"))
         sums = inside.groupBy("source", "rest", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
         running = sums.withColumn("upto", F.sum("n").over(window)).where("upto > rest").groupBy("source", "rest").agg(F.min(F.struct("bucket", "n", "upto")).alias("b"))
         found = {r["source"]: r["b"] for r in running.collect()}
@@ -93,7 +93,7 @@ def thresholds(light: DataFrame, weights: tuple, share: Fraction, most: int) ->
                 v["low"], v["n"], v["rest"] = b["bucket"], b["n"], v["rest"] - (b["upto"] - b["n"])
     edge = {}
     now = spark.createDataFrame([(s, v["whole"], float(v["rest"]), v["low"]) for s, v in state.items()], kind)
-    at = light.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("plan_source"))).where(F.shiftrightunsigned("hash", 64 - BITS * LEVELS) == F.col("low"))
+    at = light.join(small_ids(now), F.col("source").eqNullSafe(F.col("plan_source"))).where(F.shiftrightunsigned("hash", 64 - BITS * LEVELS) == F.col("low"))
     for r in at.groupBy("source").agg(F.count(F.when(F.col("size") > 0, 1)).alias("rows")).collect():
         edge[r["source"]] = r["rows"]
     out = []

@@ -16,7 +16,7 @@ from folioscope.llm.common import column, spare_name, stored
 # A sentence or clause with the marks that end it; text without marks is one.
 SENTENCE = re.compile(r"[^.!?;:,|\n]*[.!?;:,|\n]+|[^.!?;:,|\n]+")
 # A span has so many sentences and words at least.
-SENTENCES, WORDS = 3, 10
+SENTENCES, WORDS = 3, 20
 BROADCAST_BYTES = 16 << 20
 
 
