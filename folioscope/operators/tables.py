@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import rounded
@@ -12,8 +12,9 @@ from folioscope.lexicon import TABLE_AGGREGATE_TRIGGERS
 from folioscope.operators.verify import is_table_like
 
 
-def column_stats(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
-    """count, sum, avg, min, max of the numbers in ``cell``; zeros when none."""
+def column_stats(cells: DataFrame, keys: list[str], cell: str = "cell", *more: Column) -> DataFrame:
+    """count, sum, avg, min, max of the numbers in ``cell``; zeros when none.  ``more``
+    aggregates ride along."""
     value = F.col("_value")
     zero = F.lit(0.0)
     # Noise of the addition order is cut off before the two-digit rounding.
@@ -27,6 +28,7 @@ def column_stats(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataF
             F.coalesce(rounded(total / F.count(value), 2), zero).alias("avg_value"),
             F.coalesce(F.min(value), zero).alias("min_value"),
             F.coalesce(F.max(value), zero).alias("max_value"),
+            *more,
         )
     )
 
@@ -43,24 +45,25 @@ def wants_aggregates(question: Column) -> Column:
 def table_aggregates(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     """Stats of every numeric column, all tables of a query pooled.
 
-    Which columns are numeric is read off the first row of the first table.  The
-    cells are aggregated before they meet that choice, so a query with very many
-    rows is combined on the map side.
+    Which columns are numeric is read off the first row of the first table.  Tables are
+    parsed once: the first cell of every column is kept next to its stats, so a query
+    with very many rows is combined on the map side.
     """
     asking = queries.where(wants_aggregates(F.col("question"))).select("query_id")
     tables = parsed_tables(ranked.join(asking, "query_id", "left_semi"))
-    sample = (
-        tables.where(F.size("rows") > 0)
-        .groupBy("query_id")
-        .agg(F.min_by(F.get("rows", F.lit(0)), "rank").alias("first"))
-    )
-    chosen = sample.select("query_id", F.posexplode("first").alias("column_no", "column", "_cell")).where(
-        F.rlike("_cell", F.lit(r"\d+"))
+    cells = tables.select("query_id", "rank", F.posexplode("rows").alias("row_no", "row")).select(
+        "query_id", "rank", "row_no", F.posexplode("row").alias("column_no", "column", "cell")
     )
-    cells = tables.select("query_id", F.explode("rows").alias("row")).select(
-        "query_id", F.explode("row").alias("column", "cell")
+    first = F.min(F.struct("rank", "row_no", "column_no", "cell")).alias("_first")
+    stats = column_stats(cells, ["query_id", "column"], "cell", first)
+    place = F.struct("_first.rank", "_first.row_no")
+    top = F.min(place).over(Window.partitionBy("query_id"))  # one row per column
+    return (
+        stats.withColumn("_top", top)
+        .where((place == F.col("_top")) & F.rlike(F.col("_first.cell"), F.lit(r"\d+")))
+        .withColumn("column_no", F.col("_first.column_no"))
+        .drop("_first", "_top")
     )
-    return column_stats(cells, ["query_id", "column"]).join(chosen.drop("_cell"), ["query_id", "column"])
 
 
 def table_summary(queries: DataFrame, ranked: DataFrame) -> DataFrame:
