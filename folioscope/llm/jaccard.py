@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import column, components, forest, small_ids, stored
+from folioscope.llm.common import BROADCAST_ROWS, column, components, small_ids, stored
 
 # Lists that are ordered last: at most so many of the most frequent shingles.
 FREQUENT = 1 << 17
@@ -81,132 +81,213 @@ def listed(found: np.ndarray, frequent: np.ndarray, times: np.ndarray, percent:
     return np.concatenate([rare, found[common][last][: take - len(rare)]]), len(rare)
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, linked: list[tuple[int, int]] = (), mu: float = 0.01) -> list[tuple[int, int]]:
-    """Links that connect the sets: a spanning part of all pairs with a Jaccard index
-    of at least ``percent`` / 100, beyond the pairs already ``linked``.
+class Parts:
+    """Disjoint parts of n elements, as the part of each; the smaller part moves."""
 
-    T-occurrence search: every set in turn asks for sets that hold T of its
-    shingles. Its long lists are set aside (L of them by the DivideSkip rule), the
-    short ones are merged, and whoever occurs T - L times there is looked up in the
-    long lists by binary search."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members = [[k] for k in range(n)]
+
+    def unite(self, a: int, b: int) -> bool:
+        a, b = int(self.of[a]), int(self.of[b])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        return True
+
+
+def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, percent: int, parts: Parts, mu: float = 0.01) -> list[tuple[int, int]]:
+    """Links that connect the sets exactly as all pairs with a Jaccard index of at least
+    ``percent`` / 100 do, beyond what ``parts`` unites already. ``sizes`` also counts
+    elements that no other set has and that ``sets`` may leave out.
+
+    T-occurrence search: every set in turn asks for sets that hold T of its elements.
+    Its long lists are set aside (L of them by the DivideSkip rule), the short ones are
+    merged, and whoever occurs T - L times there is looked up in the long lists by
+    binary search."""
     flat = np.concatenate([np.zeros(0, np.int64), *sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     keys, starts, counts = np.unique(flat, return_index=True, return_counts=True)
-    root = list(range(len(sets)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in linked:
-        root[max(top(a), top(b))] = min(top(a), top(b))
     out = []
     for q, own in enumerate(sets):
         at = np.searchsorted(keys, own)
         at = at[counts[at] > 1]
-        need = int(least_overlap(len(own), percent))
+        need = int(least_overlap(sizes[q], percent))
         if len(at) < max(1, need):
             continue
         at = at[np.argsort(counts[at], kind="stable")]
-        longest = int(counts[at[-1]])
-        skip = min(need - 1, int(need / (mu * np.log2(max(2, longest)) + 1)))
+        skip = min(need - 1, int(need / (mu * np.log2(max(2, int(counts[at[-1]]))) + 1)))
         short, long = at[: len(at) - skip], at[len(at) - skip :]
         # a stable sort of sorted runs is their merge
         merged = np.sort(np.concatenate([owner[starts[i] : starts[i] + counts[i]] for i in short]), kind="stable")
-        found, times = np.unique(merged, return_counts=True)
-        for d, seen in zip(found[times >= need - skip].tolist(), times[times >= need - skip].tolist()):
-            if d == q or top(d) == top(q) or 100 * min(sizes[d], sizes[q]) < percent * max(sizes[d], sizes[q]):
-                continue
-            for left, i in enumerate(long):
-                if seen + len(long) - left < need:
-                    break
-                part = owner[starts[i] : starts[i] + counts[i]]
-                place = np.searchsorted(part, d)
-                seen += int(place < len(part) and part[place] == d)
-            if 100 * seen >= percent * (sizes[d] + sizes[q] - seen):
-                root[max(top(d), top(q))] = min(top(d), top(q))
+        found, seen = np.unique(merged, return_counts=True)
+        fit = (found > q) & (seen >= need - skip) & (parts.of[found] != parts.of[q]) & (100 * np.minimum(sizes[found], sizes[q]) >= percent * np.maximum(sizes[found], sizes[q]))
+        found, seen = found[fit], seen[fit]
+        for left, i in enumerate(long):
+            alive = seen + len(long) - left >= need
+            found, seen = found[alive], seen[alive]
+            if not len(found):
+                break
+            run = owner[starts[i] : starts[i] + counts[i]]
+            seen = seen + (run[np.minimum(np.searchsorted(run, found), len(run) - 1)] == found)
+        for d in found[100 * seen >= percent * (sizes[found] + sizes[q] - seen)].tolist():
+            if parts.unite(q, d):
                 out.append((q, d))
     return out
 
 
+def search_group(sets: list[np.ndarray], percent: int, united: list[int]) -> list[tuple[int, int]]:
+    """Links (by position) that connect the sets of a group; those at ``united`` are
+    connected already.
+
+    Elements of one set alone can't be shared. Sets that agree in the rest and in size
+    have the same links, so one of them asks for all; among themselves they link or
+    none does."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+    shared = keys[counts > 1]
+    kinds: dict[tuple[int, bytes], int] = {}
+    kind_of, cores = np.zeros(len(sets), np.int64), []
+    for k, own in enumerate(sets):
+        core = own[shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own] if len(shared) else own[:0]
+        key = (len(own), core.tobytes())
+        if key not in kinds:
+            kinds[key] = len(kinds)
+            cores.append(core)
+        kind_of[k] = kinds[key]
+    first = np.zeros(len(cores), np.int64)
+    first[kind_of[::-1]] = np.arange(len(sets))[::-1]
+    n = sizes[first]
+    common = np.array([len(c) for c in cores], np.int64)
+    whole = (common > 0) & (100 * common >= percent * (2 * n - common))
+    parts = Parts(len(cores))
+    inner = [k for k in united if whole[kind_of[k]]]
+    for k in inner[1:]:
+        parts.unite(kind_of[inner[0]], kind_of[k])
+    links = divide_skip(cores, n, percent, parts)
+    touched = whole.copy()
+    touched[[k for link in links for k in link]] = True
+    out = [(int(first[a]), int(first[b])) for a, b in links]
+    return out + [(int(first[kind_of[k]]), k) for k in np.flatnonzero(touched[kind_of]).tolist() if first[kind_of[k]] != k]
+
+
 def listed_rows(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """(named, id, n, rare, s) for every row of ``rows`` (named, id, text)."""
+    """(named, id, n, rare, digest, s) for every row of ``rows`` (named, id, text)."""
     frequent, times = frequent_shingles(rows, k)
 
     def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sizes, rare, lists = [], [], []
+            sizes, rare, digests, lists = [], [], [], []
             for text in frame["text"]:
                 found = shingles(text, k)
                 own, seldom = listed(found, frequent, times, percent)
                 sizes.append(len(found)), rare.append(seldom), lists.append(own)
-            yield pd.DataFrame({"named": frame["named"], "id": frame["id"], "n": sizes, "rare": rare, "s": lists})
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+            yield pd.DataFrame({"named": frame["named"], "id": frame["id"], "n": sizes, "rare": rare, "digest": digests, "s": lists})
 
-    return rows.mapInPandas(lists, "named boolean, id long, n long, rare long, s array<long>")
+    return rows.mapInPandas(lists, "named boolean, id long, n long, rare long, digest binary, s array<long>")
 
 
-def jaccard_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect ``docs`` (id, text; no null id) exactly as all pairs
-    with 100 * intersection >= percent * union do. ``rows``: their listed_rows."""
+def with_sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``asked`` (id, keys: array of structs) with the shingle set of each id as ``own``,
+    one row per key. Texts move only if there are more keys
+    than may be sent to every task."""
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "own": [shingles(t, k).tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"id": frame["id"], "own": [shingles(t, k).tobytes() for t in frame["text"]], "keys": frame["keys"]})
 
-    by_list = Window.partitionBy("s").orderBy("rare", "id")
-    # 1. occurrences: who shares enough of the listed shingles with anyone
-    postings = rows.where("named").select("id", "n", "rare", F.explode("s").alias("s"))
-    shared = stored(postings.withColumn("first", F.first("id").over(by_list)).withColumn("next", F.lead("id").over(by_list)).where("next is not null or first <> id").select("s", "id", "n", "rare"))
+    rows = asked.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    asked = F.broadcast(asked) if rows <= BROADCAST_ROWS else asked
+    kind = dict(asked.dtypes)["keys"]
+    found = docs.select("id", "text").join(asked, "id").mapInPandas(sets, f"id long, own binary, keys {kind}")
+    return found.select("id", "own", F.explode("keys").alias("key")).select("id", "own", "key.*")
+
+
+def grouped(rows: DataFrame, *keys: str) -> DataFrame:
+    return stored(rows.groupBy("id").agg(F.collect_set(F.struct(*keys)).alias("keys")))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted sets, by binary search in the larger one."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+def jaccard_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect ``docs`` (id, text; no null id) exactly as all pairs
+    with 100 * intersection >= percent * union do. ``rows``: their listed_rows."""
+    # 1. occurrences: who shares enough of the listed shingles with documents whose size
+    # admits a link; in a list by size, the nearest one tells whether there is any
+    by_size = Window.partitionBy("s").orderBy("n", "id")
+    # equal sets are linked to the smallest id, which alone goes on
+    some = rows.where("named and n > 0")
+    first = stored(some.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+    copies = stored(some.select("id", "digest").join(first, "digest").where("id <> first").select("id", "digest", "first"))
+    copied = copies.select("id", "digest").distinct()
+    copied = F.broadcast(copied) if copies.count() <= BROADCAST_ROWS else copied
+    postings = some.join(copied, ["id", "digest"], "left_anti").select("id", "n", "rare", F.explode("s").alias("s"))
+    same = copies.select(F.col("id").alias("a"), F.col("first").alias("b"))
+    below, above = F.col("below") * 100 >= F.col("n") * percent, F.col("n") * 100 >= F.col("above") * percent
+    beside = lambda df: df.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+    shared = stored(beside(postings).where(below | above).select("s", "id", "n", "rare"))
     need = F.lit(1) + F.floor(F.lit(SLACK) * F.ceil(F.col("n") * percent / 100))
-    hits = shared.groupBy("id").agg(F.count_distinct("s").alias("hits"), F.min("n").alias("n")).where(F.col("hits") >= need)
-    able = stored(hits.select("id"))
-    kept = shared.join(small_ids(able), "id", "left_semi")
-    # 2. each list names a pivot; members meet it, and later only each other where needed
-    star = stored(kept.withColumn("pivot", F.first("id").over(by_list)).where("pivot <> id").select("id", "pivot").distinct())
-    ids = stored(star.select("id").union(star.select("pivot")).distinct())
-    own = stored(docs.select("id", "text").join(small_ids(ids), "id", "left_semi").mapInPandas(sets, "id long, own binary"))
-    member = star.join(own, "id").join(own.select(F.col("id").alias("pivot"), F.col("own").alias("other")), "pivot")
-
-    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, p, x, y in zip(frame["id"], frame["pivot"], frame["own"], frame["other"]):
-                a, b = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                inside = int((b[at] == a).sum())
-                rows.append((i, p, inside, len(a) + len(b) - inside))
-            yield pd.DataFrame(rows, columns=["id", "pivot", "inside", "whole"])
-
-    met = stored(member.mapInPandas(compared, "id long, pivot long, inside long, whole long"))
-    met = met.withColumn("linked", F.col("inside") * 100 >= F.col("whole") * percent).withColumn("far", 1 - F.col("inside") / F.col("whole"))
-    direct = met.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    # 3. Jaccard distance is a metric: an unlinked member can link a linked one only if
-    # their distances to the pivot differ by no more than the largest linked distance
+    able = shared.groupBy("id").agg(F.count_distinct("s").alias("hits"), F.min("n").alias("n")).where(F.col("hits") >= need)
+    kept = shared.join(small_ids(stored(able.select("id"))), "id", "left_semi")
+    # 2. a list falls into runs of fitting sizes; every run names a pivot, and the members
+    # of all runs of a pivot form a group
+    run = F.sum(F.coalesce(~below, F.lit(True)).cast("int")).over(by_size)
+    by_run = Window.partitionBy("s", "run").orderBy("rare", "id")
+    placed = beside(kept).where(below | above).withColumn("run", run).withColumn("pivot", F.first("id").over(by_run))
+    star = stored(placed.where("pivot <> id").groupBy("id", "pivot").agg(F.max("n").alias("n")))
+    parts = F.ceil(F.sum("n") / TASK_SHINGLES).cast("int")
+    groups = stored(star.groupBy("pivot").agg(parts.alias("parts")))
+    members = star.join(groups, "pivot").select("id", "pivot", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    heads = groups.select(F.col("pivot").alias("id"), "pivot", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = with_sets(docs, grouped(members.union(heads), "pivot", "parts", "part"), k)
+
+    def searched(frame: pd.DataFrame) -> pd.DataFrame:
+        """All links of a group of one part; a part of a larger group meets the pivot."""
+        sets, ids = [np.frombuffer(x, np.int64) for x in frame["own"]], frame["id"].to_numpy(np.int64)
+        if frame["parts"].iloc[0] == 1:
+            links = search_group(sets, percent, [])
+            return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links], "inside": None, "whole": None}, columns=["a", "b", "inside", "whole"])
+        head = int(np.flatnonzero(ids == frame["pivot"].iloc[0])[0])
+        inside = [overlap(sets[head], own) for own in sets]
+        out = pd.DataFrame({"a": ids, "b": ids[head], "inside": inside, "whole": [len(own) + len(sets[head]) - n for own, n in zip(sets, inside)]})
+        return out[out["a"] != out["b"]]
+
+    found = stored(dealt.groupBy("pivot", "part").applyInPandas(searched, "a long, b long, inside long, whole long"))
+    linked = F.col("inside") * 100 >= F.col("whole") * percent
+    links = same.union(found.where(F.col("inside").isNull() | linked).select("a", "b"))
+    large = found.where("inside is not null").select(F.col("a").alias("id"), F.col("b").alias("pivot"), "whole", linked.alias("linked"), (1 - F.col("inside") / F.col("whole")).alias("far"))
+    if large.isEmpty():
+        return links
+    # 3. Jaccard distance is a metric: in a large group an unlinked member can link a linked
+    # one only if their distances to the pivot differ by no more than a link allows
     reach = 1 - percent / 100 + 1e-9
-    open_groups = met.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest"))
-    left = met.join(open_groups.where("nearest is not null"), "pivot").where(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach)).select("pivot", "id", "linked").distinct()
-    sizes = left.join(own.groupBy("id").agg(F.max(F.length("own") / 8).alias("n")), "id").groupBy("pivot").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("parts"))
-    groups = left.join(stored(sizes.where("members > 1")), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiled = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+    open_groups = large.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest")).where("nearest is not null")
+    left = stored(large.join(open_groups, "pivot").where(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach)).select("pivot", "id", "linked", "whole"))
+    tiles = stored(left.groupBy("pivot").agg(F.ceil(F.sum("whole") / TASK_SHINGLES).cast("int").alias("parts")))
+    placed = left.join(tiles, "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "pivot", "id", "linked", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
     )
 
-    def searched(frame: pd.DataFrame) -> pd.DataFrame:
-        there = [np.frombuffer(x, np.int64) for x in frame["own"]]
-        ball = np.flatnonzero(frame["linked"].to_numpy(bool)).tolist()
-        links = divide_skip(there, percent, [(ball[0], b) for b in ball[1:]])
-        ids = frame["id"].to_numpy()
-        return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}, columns=["a", "b"])
-
-    rest = tiled.join(own, "id").groupBy("pivot", "i", "j").applyInPandas(searched, "a long, b long")
-    return direct.union(rest)
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = frame["id"].to_numpy(np.int64)
+        pairs = search_group([np.frombuffer(x, np.int64) for x in frame["own"]], percent, np.flatnonzero(frame["linked"].to_numpy(bool)).tolist())
+        return pd.DataFrame({"a": [ids[x] for x, _ in pairs], "b": [ids[y] for _, y in pairs]}, columns=["a", "b"])
+
+    rest = with_sets(docs, grouped(tiled, "pivot", "linked", "i", "j"), k)
+    return links.union(rest.groupBy("pivot", "i", "j").applyInPandas(tile, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
