@@ -36,9 +36,10 @@ def mask_privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (parts of a document round)."""
-    mixed = mixing.mix(docs)
+    # the row goes along whole, so that no column of it meets one of the operator's
+    whole = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), "doc_id", "text", "source")
     copies = F.round("copies").cast("int")
-    return mixed.where(copies > 0).withColumn("copies", F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
+    return mixing.mix(whole).where(copies > 0).select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -618,6 +618,23 @@ def test_pipeline(spark):
     assert total == Counter(r["doc_id"] for r in made.collect()) and max(total.values()) <= 2
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none):
+    import corpus_pipeline as p
+
+    for given in (odd, none):
+        made = given
+        for _, stage in p.STAGES[:-1]:
+            made = stage(spark, made, SF).cache()
+            assert made.dtypes == given.dtypes
+        assert p.pack_sequences(spark, made, SF).where("piece = 0").count() == made.count()
+    near = p.one_of_group(spark, odd, SF).collect()
+    # one of the long copies, one of the equal words; texts without words and unnamed rows stay
+    assert Counter(r["doc_id"] for r in near) == Counter([1, 2, 3, 4, None, 5, 8])
+    assert all((r["score"], r["id"], r["size"]) == (0.5, "x", "y") for r in near)
+    mixed = p.mix_sources(spark, odd, SF).collect()
+    assert all((r["score"], r["id"], r["size"]) == (0.5, "x", "y") for r in mixed) and len(mixed) > 5
+
+
 def test_heap_merge_equals_stable_sort():
     runs = [np.sort(np.random.default_rng(k).integers(0, 99, 20)) for k in range(6)]
     assert np.sort(np.concatenate(runs), kind="stable").tolist() == list(heapq.merge(*map(list, runs)))
