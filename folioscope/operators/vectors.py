@@ -16,6 +16,7 @@ from folioscope.sizing import fits_broadcast
 
 ITEM_BLOCK_BYTES = 64 << 20  # item vectors held by one cell of the grid
 QUERY_BYTES = 8 << 20  # query vectors held by one task
+TASKS_PER_LANE = 256  # tasks whose findings for a query are cut together
 TILE_CELLS = 1 << 22  # similarities computed at a time
 
 
@@ -95,8 +96,16 @@ def knn(queries: DataFrame, items: DataFrame, fetch: int, limit: int = QUERY_BYT
         if fits_broadcast(queries, 8 * dims + 64, limit)
         else _grid(queries, items, fetch, max(1, limit // (8 * dims + 64)))
     )
-    best = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
-    return partial.withColumn("place", F.row_number().over(best)).where(F.col("place") <= fetch).drop("place")
+    # What very many tasks found for a query is cut in lanes before it meets in one place.
+    lanes = items.rdd.getNumPartitions() // TASKS_PER_LANE
+    if lanes > 1:
+        partial = _nearest(partial, fetch, F.pmod(F.xxhash64("item_id"), F.lit(lanes)))
+    return _nearest(partial, fetch)
+
+
+def _nearest(found: DataFrame, fetch: int, *lane: Column) -> DataFrame:
+    best = Window.partitionBy("qid", *lane).orderBy(F.desc("similarity"), "item_id")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= fetch).drop("place")
 
 
 def comparable(vector: Column, dims: int) -> Column:

@@ -124,16 +124,16 @@ UNION ALL SELECT query_id, 3, 'prose', md5('end'), '' FROM u WHERE k = 1"""
 
 # --------------------------------------------------------------- evaluation
 def qa(spark, sf):
-    """Every user turn with the assistant turn that follows it, plus a claim by key."""
+    """Every user turn with the assistant turn that follows it (or none), plus a claim by key."""
     t = I.table(spark, sf, "conversations")
     k = (F.col("conv_id") + F.col("turn")) % len(CLAIMS)
     reply = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    asked = I.asked(spark, sf).join(reply, ["conv_id", "turn"]).join(_block(spark, sf), "conv_id")
+    asked = I.asked(spark, sf).join(reply, ["conv_id", "turn"], "left").join(_block(spark, sf), "conv_id")
     first = F.get("context", F.lit(0))["document_name"]
     claim = F.when(k == 0, F.concat(F.lit(" ["), first, F.lit(", Page 1]"))).otherwise(I.pick(CLAIMS, k))
     return checkpointed(
         asked.select(
-            "query_id", "question", F.concat("reply", claim).alias("answer"), "context",
+            "query_id", "question", F.concat(F.coalesce("reply", F.lit("")), claim).alias("answer"), "context",
             F.concat(I.pick(["1a_", "1b_"], F.col("conv_id")), "query_id").alias("qid"),
             F.lit("1A: turns").alias("track"), (F.col("conv_id") * 10 + F.col("turn")).alias("event_id"),
         )
@@ -206,8 +206,8 @@ V, T = count_hits("ml", L.VISUAL_PATTERNS), count_hits("ml", L.TABULAR_PATTERNS)
 CLAIM_SQL = "CASE k5 WHEN 0 THEN ' [' || c[1].name || ', Page 1]' ELSE " + lst([x.replace("\n", "~") for x in CLAIMS]) + "[k5 + 1] END"
 PN = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}\b"
 EVAL = f"""WITH {ASKED}, {BLOCK}, e0 AS (SELECT a.query_id, a.question, {ascii_words('lower(a.question)')} AS ml, ctx.c, (a.conv_id + a.turn) % 5 AS k5, a.conv_id * 10 + a.turn AS event_id,
-    ['1a_', '1b_'][a.conv_id % 2 + 1] || a.query_id AS qid, r.text AS reply
-  FROM asked a JOIN conversations r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1 AND r.role = 'assistant' JOIN ctx ON ctx.conv_id = a.conv_id),
+    ['1a_', '1b_'][a.conv_id % 2 + 1] || a.query_id AS qid, coalesce(r.text, '') AS reply
+  FROM asked a LEFT JOIN conversations r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1 AND r.role = 'assistant' JOIN ctx ON ctx.conv_id = a.conv_id),
 e1 AS (SELECT *, reply || replace({CLAIM_SQL}, '~', chr(10)) AS answer, {V} AS v, {T} AS tb,
   lower(array_to_string(list_transform(c, lambda x: x.name || ' ' || coalesce(x.caption, '') || ' ' || x.section || ' ' || x.content), ' ')) AS facts FROM e0),
 e2 AS (SELECT *, CASE WHEN v > 0 AND v >= tb THEN 'image-caption' WHEN tb > 0 THEN 'table' ELSE 'text' END AS target,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope import lexicon as L
 from folioscope.functions.chunking import chunk_texts
 from folioscope.functions.paths import document_type, source_category, source_reliability
 from folioscope.functions.text import slug, token_estimate, word_count
@@ -322,11 +323,13 @@ QUERIES = {
     "media_resolve": media_resolve, "figure_captions": figure_captions, "plate_match": plate_match,
 }
 SQL = {
-    "slug_ids": f"SELECT doc_id, {slug_sql(chr(40) + 'source || ' + s(' / ') + ' || substring(text, 1, 90))')} AS slug FROM documents",
-    "source_reliability": f"""WITH {PATHS} SELECT doc_id,
-      {lst(['official_codex', 'wiki', 'novel', 'ephemera_trial', 'ephemera_tavern', 'ephemera_ledger', 'ephemera_letter', 'ephemera_catalogue', 'unknown'])}[doc_id % 9 + 1] AS reliability,
-      CASE doc_id % 9 WHEN 2 THEN 'chronicles' WHEN 0 THEN 'codex' ELSE 'ephemera' END AS category FROM paths""",
-    "document_type": "SELECT doc_id, ['md', 'pdf', 'docx', 'scan', 'md', 'txt', 'txt'][doc_id % 7 + 1] AS document_type FROM documents",
+    "slug_ids": f"SELECT doc_id, {slug_sql(chr(40) + 'source || ' + s(' / ') + ' || text)')} AS slug FROM documents",
+    # the rules again, read off the path; documents of one kind of path follow from it only
+    "source_reliability": f"""WITH {PATHS}, p AS (SELECT doc_id, lower(path) AS whole, regexp_replace(lower(split_part(path, '/', -1)), '(.)[.][^.]+$', '\\1') AS short FROM paths)
+      SELECT doc_id, CASE {' '.join(f"WHEN contains({'whole' if scope == 'path' else 'short'}, {s(needle)}) THEN {s(tier)}" for scope, needle, tier in L.RELIABILITY_CUES)} ELSE 'unknown' END AS reliability,
+      CASE WHEN contains(whole, 'chronicles') THEN 'chronicles' WHEN contains(whole, 'codex') THEN 'codex' ELSE 'ephemera' END AS category FROM p""",
+    "document_type": f"""WITH {PATHS}, p AS (SELECT doc_id, lower(split_part(path, '/', -1)) AS name FROM paths)
+      SELECT doc_id, CASE WHEN contains(name, 'scan') THEN 'scan' WHEN name LIKE '%.pdf' THEN 'pdf' WHEN name LIKE '%.docx' THEN 'docx' WHEN name LIKE '%.md' OR name LIKE '%.markdown' THEN 'md' ELSE 'txt' END AS document_type FROM p""",
     "token_estimate": f"""WITH {CHUNKS} SELECT chunk_id, len(regexp_extract_all(content, '\\S+')) AS n_words,
       greatest(trunc(len(regexp_extract_all(concat_ws(' ', content, caption), '\\S+')) * 1.33::DOUBLE)::INT, 10) AS est_tokens FROM ch""",
     "hier_chunk": HIER_SQL, "md_sections": MD_SQL, "txt_titles": TXT_SQL, "page_sections": PAGE_SQL,

@@ -224,11 +224,12 @@ def test_retrieve_end_to_end(spark, chunks):
     assert {"c001", "c002"} <= {r.chunk_id for r in rows if r.query_id == 2}
 
 
-def test_odd_vectors_are_left_out(spark):
+def test_odd_vectors_are_left_out(spark, monkeypatch):
     items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [None, 1.0]), ("e", [0.0, 0.0]), ("f", [0.0, 2.0])], "item_id string, embedding array<double>")
     queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [1.0, None])], "qid int, vector array<double>")
-    for limit in (1 << 20, 1):
-        got = sorted((r.qid, r.item_id) for r in knn(queries, items, 5, limit).collect())
+    for limit, tasks in ((1 << 20, 256), (1, 256), (1 << 20, 1)):
+        monkeypatch.setattr(vectors, "TASKS_PER_LANE", tasks)
+        got = sorted((r.qid, r.item_id) for r in knn(queries, items.repartition(3), 5, limit).collect())
         assert got == [(1, "a"), (1, "e"), (1, "f")]
 
 
