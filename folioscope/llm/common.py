@@ -5,8 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 # Largest id list that is sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+# Rows that a Python worker gets at a time.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def small_ids(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def small_batches() -> None:
+    """Batches of at most BATCH_ROWS rows for Python workers, unless the session asks
+    for a number of its own: texts are long, and workers hold whole batches."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def word_array(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; null text has none."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -110,10 +118,3 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if np.array_equal(new, root):
             return root
         root = new
-
-
-def split_frame(frames: Iterable, rows: int) -> Iterable:
-    """Frames of at most ``rows`` rows each."""
-    for frame in frames:
-        for at in range(0, len(frame), rows):
-            yield frame.iloc[at : at + rows]

@@ -10,12 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BROADCAST_ROWS, column, components, small_ids, stored
+from folioscope.llm.common import BROADCAST_ROWS, column, components, small_batches, small_ids, stored
 
 # Lists that are ordered last: at most so many of the most frequent shingles.
 FREQUENT = 1 << 17
 # Slack of the occurrence test: documents must share 1 + SLACK * size listed shingles.
 SLACK = 0.05
+# Shingles that a task holds to count them.
+HELD_SHINGLES = 3_000_000
 # Shingles that one search task holds of either side.
 TASK_SHINGLES = 4_000_000
 
@@ -41,18 +43,29 @@ def least_overlap(n, percent: int):
 
 
 def frequent_shingles(docs: DataFrame, k: int, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, their counts): those met at least three times in some batch
-    of documents, at most ``limit`` with the largest sums.
+    """(sorted shingles, their counts): those met at least three times among the
+    documents that a task holds at once, at most ``limit`` with the largest sums.
 
     They only decide the order in which lists are taken, so neither the limit nor
-    what a batch misses can change a result; ``limit`` bounds what the driver and
+    what a task misses can change a result; ``limit`` bounds what the driver and
     the workers hold."""
 
+    def repeated(sets: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        for part in range(4):  # a quarter of all hashes at a time
+            found, times = np.unique(np.concatenate([own[own & 3 == part] for own in sets]), return_counts=True)
+            yield pd.DataFrame({"s": found[times > 2], "times": times[times > 2]})
+
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for frame in frames:
-            sets = [shingles(t, k) for t in frame["text"]]
-            found, times = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
-            yield pd.DataFrame({"s": found[times > 2], "times": times[times > 2]})
+            for text in frame["text"]:
+                held.append(shingles(text, k))
+                size += len(held[-1])
+                if size > HELD_SHINGLES:
+                    yield from repeated(held)
+                    held, size = [], 0
+        if held:
+            yield from repeated(held)
 
     top = docs.select("text").mapInPandas(counted, "s long, times long").groupBy("s").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "s").limit(limit)
     frame = top.toPandas()
@@ -299,6 +312,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     id are one node, linked by any of their texts; a null id is never linked and has
     a null component. Other columns are ignored; an empty table gives no row. Sets are
     compared by 64-bit shingle hashes. Ids are integers."""
+    small_batches()
     given = column(docs, doc_id).cast("long")
     texts = docs.select(given.isNotNull().alias("named"), F.coalesce(given, F.lit(0)).alias("id"), column(docs, text).alias("text"))
     rows = stored(listed_rows(texts, k, percent))

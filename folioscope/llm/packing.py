@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import column, stored
+from folioscope.llm.common import column, small_batches, stored
 
 # Pieces that one task packs: more only save a part of one sequence per group.
 GROUP_PIECES = 20_000
@@ -226,6 +226,7 @@ def pack_documents(docs: DataFrame, limit: int = 2048, vocab: dict | None = None
     Null and empty texts are the end id alone. Every row is a document of its own, also
     when rows repeat; a null id stays null. Other columns are ignored; an empty table
     gives no row. Documents longer than ``limit`` end on whole pieces."""
+    small_batches()
     given = column(docs, doc_id)
     rows = docs.select(given.isNotNull().alias("named"), F.coalesce(given.cast("long"), F.lit(0)).alias("doc_id"), column(docs, text).alias("text"))
     out = packed(pieces(rows, limit, vocab or vocabulary()), limit)

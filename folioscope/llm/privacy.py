@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import column
+from folioscope.llm.common import column, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
@@ -196,6 +196,7 @@ def train(docs: DataFrame, text: str = "text", bound: int = 5_000, steps: int =
     """Piecewise training on the base matches of all texts: words are counted by
     feature pattern and label, neighbours and repeats by label pair. The driver gets
     the ``bound`` most frequent counts of patterns and the 50 counts of pairs."""
+    small_batches()
     given = docs.select(column(docs, text).alias("text")).where(F.col("text").rlike("[0-9@]"))
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,6 +275,7 @@ def personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: s
     Spans are kind:start:end in code points, end exclusive, by start and kind. Null and
     empty texts have none. A null id stays null, repeated rows repeat, other columns
     are ignored, an empty table gives no row."""
+    small_batches()
     given, content = column(docs, doc_id), column(docs, text)
     rows = docs.select(given.isNotNull().alias("named"), F.coalesce(given.cast("long"), F.lit(0)).alias("doc_id"), F.when(content.rlike("[0-9@]"), content).alias("text"))
 
@@ -293,6 +295,7 @@ def personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: s
 
 def masked(field: Field, text: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; null stays null."""
+    small_batches()
 
     @F.pandas_udf("string")
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import column
+from folioscope.llm.common import column, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 STATISTICS = [
@@ -109,6 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     Labels other than 0 and 1 and null ids are passed over; an id labelled twice
     counts as 0 if any label is 0; of several rows with one id the smallest
     statistics count. The driver receives at most ``bound`` short rows."""
+    small_batches()
     known = (
         labels.select(column(labels, label_id).alias("id"), column(labels, label).cast("int").alias("y"))
         .where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(bound)
@@ -128,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def scored(forest: Forest, text: Column) -> Column:
     """Score from 0 to 1 of a text column; null and empty texts are scored as empty."""
+    small_batches()
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

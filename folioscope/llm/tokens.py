@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import column, stored
+from folioscope.llm.common import column, small_batches, stored
 from folioscope.llm.packing import token_ids
 
 # Tokens of a block, and blocks of a stretch that is scanned by itself first.
@@ -31,6 +31,7 @@ def flat_tokens(docs: DataFrame, vocab: dict, separator: int, width: int = 2, do
     """Documents as flat token streams, one per partition, each document followed by
     ``separator``: rows (file, number, ids) for the blocks, and rows (file, number,
     doc_id, named) that say which document came when, without its length."""
+    small_batches()
     given = column(docs, doc_id)
     rows = docs.select(given.isNotNull().alias("named"), F.coalesce(given.cast("long"), F.lit(0)).alias("doc_id"), column(docs, text).alias("text"))
     kind = f"<u{width}"
