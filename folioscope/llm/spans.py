@@ -11,13 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import column, spare_name, stored
+from folioscope.llm.common import column, small_batches, spare_name, stored
 
 # A sentence or clause with the marks that end it; text without marks is one.
 SENTENCE = re.compile(r"[^.!?;:,|\n]*[.!?;:,|\n]+|[^.!?;:,|\n]+")
 # A span has so many sentences and words at least.
 SENTENCES, WORDS = 3, 20
-BROADCAST_BYTES = 16 << 20
 
 
 def sentences(text: str | None) -> list[tuple[int, int, bytes]]:
@@ -87,13 +86,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     first by smallest id and place stays. Null and empty texts stay as they are; rows
     without an id aren't compared; rows that share an id are one document, from which
     the same sentences go. An empty table stays empty."""
+    small_batches()
     ident, at = spare_name(docs, "id"), spare_name(docs, "at")
     given = docs.select(column(docs, doc_id).cast("long").alias("id"), column(docs, text).alias("text")).where("id is not null")
     repeats = stored(repeated_spans(given, least, words).groupBy("id").agg(F.collect_set("at").alias("at")))
-    rows, places = repeats.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
     repeats = repeats.select(F.col("id").alias(ident), F.col("at").alias(at))
-    if 64 * rows + 8 * places <= BROADCAST_BYTES:
-        repeats = F.broadcast(repeats)
 
     @F.pandas_udf("text string, n_sentences long, n_removed long, removed_chars long")
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -122,5 +119,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     new = spare_name(docs, "new")
     added = ["n_sentences", "n_removed", "removed_chars"]
     kept = [c for c in docs.columns if c.lower() not in added]
-    joined = docs.join(repeats, column(docs, doc_id).cast("long") == F.col(ident), "left").withColumn(new, clean(column(docs, text), F.col(at)))
+    key = column(docs, doc_id).cast("long")
+    met = docs.where(key.isNotNull()).join(repeats, key == F.col(ident), "left").select(*[column(docs, c) for c in docs.columns], F.col(at))
+    # rows without an id don't meet in one place
+    whole = met.union(docs.where(key.isNull()).withColumn(at, F.lit(None).cast("array<int>")))
+    joined = whole.withColumn(new, clean(column(docs, text), F.col(at)))
     return joined.select(*[F.col(f"{new}.text").alias(c) if c == text else column(docs, c) for c in kept], *[F.col(f"{new}.{c}").alias(c) for c in added])
