@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.numbers import rounded
 from folioscope.functions.text import WORD_RUN, bounded, let, query_tokens, quoted_sql, without, words
 from folioscope.lexicon import DEFAULT, Lexicon
-from folioscope.session import BROADCAST_BYTES, checkpointed
+from folioscope.session import BROADCAST_BYTES, checkpointed, spread
 from folioscope.sizing import block_of, blocks_needed
 
 QUERY_KEYS = ["query_id", "step"]
@@ -159,7 +159,7 @@ def _postings(chunks: DataFrame) -> DataFrame:
         F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("document_name", "caption", "section_title", "content")
     ]
     texts = (
-        searchable(chunks)
+        spread(searchable(chunks))
         .select(
             "chunk_id",
             _modality_code(F.col("modality"), -1).alias("modality_code"),
