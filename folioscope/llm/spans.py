@@ -1,4 +1,4 @@
-"""Substring dedup: sliding spans of consecutive sentences."""
+"""Substring dedup: sliding spans of consecutive sentences, clauses and parts of long clauses."""
 
 from __future__ import annotations
 
@@ -17,17 +17,60 @@ from folioscope.llm.common import column, small_batches, spare_name, stored
 SENTENCE = re.compile(r"[^.!?;:,|\n]*[.!?;:,|\n]+|[^.!?;:,|\n]+")
 # A span has so many sentences and words at least.
 SENTENCES, WORDS = 3, 20
+# Longer sentences and clauses are cut into parts of at most so many words. A repeated
+# passage loses fewer than 2 * CUT words at either end before its cuts agree with those
+# of the other copy, and a span may end CUT - 1 words late: 8 leaves a span in 49 words.
+CUT = 8
+WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+
+
+def borders(words: list[bytes], clause: np.ndarray) -> np.ndarray:
+    """Places of ``words`` before which their clause is cut: the last smallest hash of any
+    CUT words in a row, the first of a clause aside. Whether a place is one depends on the
+    CUT - 1 words on either side only, and no part has more than CUT words."""
+    value = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    if len(value) <= CUT:
+        return np.zeros(0, np.int64)
+    lowest = np.lib.stride_tricks.sliding_window_view(value, CUT)[:, ::-1].argmin(1)
+    at = np.arange(len(lowest))
+    # windows inside one clause and behind its first word
+    inside = (clause[CUT - 1 :] == clause[: len(at)]) & np.concatenate([[False], clause[1 : len(at)] == clause[: len(at) - 1]])
+    return np.unique((at + CUT - 1 - lowest)[inside])
 
 
 def sentences(text: str | None) -> list[tuple[int, int, bytes]]:
     """(start, end, words) of the sentences and clauses of a whole text that hold a
-    word; what lies between two belongs to the one before."""
-    out = []
+    word; those of more than CUT words are cut into parts at ``borders``. What lies
+    between two belongs to the one before."""
+    out, words, clause, places = [], [], [], []
     for m in SENTENCE.finditer(text or ""):
-        words = m[0].encode("utf-8", "replace").split()
-        if words and any(c.isalnum() for c in m[0]):
-            out.append((m.start(), m.end(), b" ".join(words)))
-    return out
+        own = m[0].encode("utf-8", "replace").split()
+        if own and any(c.isalnum() for c in m[0]):
+            if len(own) > CUT:
+                starts = [w.start() + m.start() for w in WORD.finditer(m[0])]
+                clause += [len(out)] * len(own)
+                words += own
+                places += starts
+            out.append((m.start(), m.end(), b" ".join(own)))
+    if not words:
+        return out
+    numbers = np.array(clause)
+    cuts: dict[int, list[int]] = {}
+    for at in borders(words, numbers).tolist():
+        cuts.setdefault(clause[at], []).append(at)
+    first = np.searchsorted(numbers, np.arange(len(out) + 1)).tolist()
+    parts = []
+    for k, whole in enumerate(out):
+        if k not in cuts:
+            parts.append(whole)
+            continue
+        ends = [*cuts[k], first[k + 1]]
+        start, at = whole[0], first[k]
+        for end in ends:
+            stop = places[end] if end < first[k + 1] else whole[1]
+            parts.append((start, stop, b" ".join(words[at:end])))
+            start, at = stop, end
+    return parts
 
 
 def span_ends(found: list[tuple[int, int, bytes]], least: int = SENTENCES, words: int = WORDS) -> np.ndarray:
@@ -79,7 +122,8 @@ def repeated_spans(rows: DataFrame, least: int = SENTENCES, words: int = WORDS)
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``docs`` with every sentence removed that some non-first repeated span covers.
+    """``docs`` with every sentence removed that some non-first repeated span covers,
+    where sentences are those of ``sentences``: also clauses and parts of long ones.
 
     Adds n_sentences, n_removed and removed_chars (like-named columns are replaced).
     Spans repeat if their words and marks agree, whatever white space parts them; the

@@ -479,6 +479,25 @@ def test_spans_match_brute_force(spark, odd, none):
     assert spans.drop_repeats(odd).count() == odd.count()
 
 
+def test_passages_pasted_inside_clauses(spark):
+    """Every repeated run of over 50 words loses its middle, with or without marks."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(120):
+        body, n = prose(rng, 500).split(), rng.randrange(51, 79)
+        if k % 3:
+            body = [w + rng.choice(["", "", "", "", "", "", "", "", "", ",", "."]) if k % 3 == 1 else w for w in body]
+        at = rng.randrange(100, 300)
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, f"{prose(rng, 90)} {' '.join(body[at : at + n])} {prose(rng, 90)}")]
+    out = {r["doc_id"]: r for r in spans.drop_repeats(docs(spark, [(*r, "a") for r in rows])).collect()}
+    for k in range(120):
+        assert out[2 * k]["text"] == rows[2 * k][1]
+        gone = len(rows[2 * k + 1][1].split()) - len(out[2 * k + 1]["text"].split())
+        assert spans.WORDS <= gone <= len(rows[2 * k + 1][1].split()) - 180
+    assert all(len(w.split()) <= spans.CUT for _, t in rows for _, _, w in spans.sentences(t))
+    assert all(b"".join(w.split()) == b"".join(t.encode().split()) for _, t in rows for w in [b" ".join(x for _, _, x in spans.sentences(t))])
+
+
 def test_spans_of_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     out = queries.op7_span_dedup(spark, SF).collect()
