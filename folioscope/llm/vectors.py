@@ -63,8 +63,9 @@ class Quantiser:
         return np.maximum(total, 0)
 
     def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for every later list whose border with the row's own lies within
-        ``reach`` of the row: a neighbour in that list is at least as far as the border."""
+        """(row, list) for every other list whose border with the row's own lies within
+        ``reach`` of the row. The distances of two neighbours in two lists from the border
+        sum to their own distance at most, so one of them asks if ``reach`` is half of it."""
         rows, lists = [], []
         for at in range(0, len(x), 1024):
             block, own = x[at : at + 1024], cell[at : at + 1024]
@@ -72,7 +73,7 @@ class Quantiser:
             norm = (self.coarse**2).sum(1)
             apart = np.sqrt(np.maximum(norm[own][:, None] + norm - 2 * self.coarse[own] @ self.coarse.T, 1e-18))
             border = (d - d[np.arange(len(block)), own][:, None]) / (2 * apart)
-            r, c = np.nonzero((border <= reach + 1e-9) & (np.arange(len(self.coarse)) > own[:, None]))
+            r, c = np.nonzero((border <= reach + 1e-9) & (np.arange(len(self.coarse)) != own[:, None]))
             rows.append(r + at), lists.append(c)
         return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(lists or [np.zeros(0, int)])
 
@@ -102,7 +103,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     ``least`` or more. Equal vectors of a label are searched once and count as links of
     each other. Every vector is listed under its nearest coarse centre with the codes of
     its residual; it asks its own list and those whose border lies within ``reach``
-    (``reach`` = sqrt(2 - 2 * least) finds every pair; less trades recall for probes).
+    (half of sqrt(2 - 2 * least) finds every pair, as either end may ask; less trades
+    recall for probes). Of pairs whose ends both ask, the one from the earlier list counts.
     Table distances, widened by what the code of a vector loses, choose the pairs whose
     cosine is computed. Lists of any length are cut into tiles of bounded size.
 
@@ -146,13 +148,15 @@ def search(same: DataFrame, least: float, reach: float, bound: int) -> DataFrame
             codes, lost = coder.encode(x, cell)
             plain = [v.tobytes() for v in raw]
             base = pd.DataFrame({"label": frame["label"], "id": frame["id"], "copies": frame["copies"], "raw": plain})
-            yield base.assign(cell=cell, own=True, codes=[c.tobytes() for c in codes], lost=lost)
             row, other = coder.probes(x, cell, reach)
+            probed = np.zeros((len(x), len(coder.coarse)), bool)
+            probed[row, other] = True
+            yield base.assign(cell=cell, home=cell, own=True, codes=[c.tobytes() for c in codes], lost=lost, probed=[p.tobytes() for p in np.packbits(probed, axis=1)])
             for at in range(0, len(row), 20_000):
                 part = base.iloc[row[at : at + 20_000]].reset_index(drop=True)
-                yield part.assign(cell=other[at : at + 20_000], own=False, codes=None, lost=0.0)
+                yield part.assign(cell=other[at : at + 20_000], home=cell[row[at : at + 20_000]], own=False, codes=None, lost=0.0, probed=None)
 
-    fields = f"label {kind}, id long, copies long, raw binary, cell int, own boolean, codes binary, lost double"
+    fields = f"label {kind}, id long, copies long, raw binary, cell int, home int, own boolean, codes binary, lost double, probed binary"
     lists = stored(same.mapInPandas(placed, fields))
     sizes = lists.groupBy("label", "cell").agg(F.ceil(F.count(F.when(F.col("own"), 1)) / TILE_ROWS).cast("int").alias("down"), F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("across"))
     dealt = lists.join(sizes.where("down > 0"), ["label", "cell"])
@@ -171,7 +175,8 @@ def search(same: DataFrame, least: float, reach: float, bound: int) -> DataFrame
         b = np.stack([np.frombuffer(v, float) for v in there["raw"]])
         long_a, long_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         codes, lost = np.stack([np.frombuffer(c, np.uint8) for c in there["codes"]]), there["lost"].to_numpy(float)
-        foreign = ~ask["own"].to_numpy(bool)
+        foreign, home = ~ask["own"].to_numpy(bool), ask["home"].to_numpy(int)
+        probed = np.stack([np.frombuffer(p, np.uint8) for p in there["probed"]])
         tally, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for at in range(0, len(a), 256):
             unit = a[at : at + 256] / long_a[at : at + 256, None]
@@ -181,6 +186,8 @@ def search(same: DataFrame, least: float, reach: float, bound: int) -> DataFrame
             for k in range(0, len(q), 50_000):
                 x, y = q[k : k + 50_000] + at, m[k : k + 50_000]
                 near = (np.einsum("ij,ij->i", a[x], b[y]) / (long_a[x] * long_b[y]) >= least) & (ids[x] != ids[len(a) + y])
+                # the other end, in an earlier list, asks as well
+                near &= (home[x] <= cell) | (probed[y, home[x] // 8] >> (7 - home[x] % 8) & 1 == 0)
                 links.append((x[near], len(a) + y[near]))
             if links:
                 x, y = (np.concatenate(v) for v in zip(*links))

@@ -106,6 +106,25 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_default_reach_finds_every_pair(spark, monkeypatch):
+    """Several lists over vectors with a decaying spectrum, pairs just above the limit."""
+    monkeypatch.setattr(vectors, "LIST_ROWS", 40)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 64)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(500, 32)) / np.arange(1, 33)
+    away = rng.normal(size=base.shape) / np.arange(1, 33)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9801, 0.985, (500, 1))
+    pairs = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * away])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(pairs)]
+    links = brute_vectors(rows, 0.98)
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in out} == {k: len(links[k]) for k, _, _ in rows}
+    assert {r["vec_id"]: r["component_id"] for r in out} == components_of(range(1000), [(i, j) for i, js in links.items() for j in js])
+
+
 def test_vector_recall(spark):
     rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in table(spark, SF, "embeddings").collect()]
     links = brute_vectors(rows, 0.98)
