@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,6 +18,8 @@ from folioscope.llm.common import column, small_batches, stored
 
 # Pieces that one task packs: more only save a part of one sequence per group.
 GROUP_PIECES = 20_000
+# Token ids that a Python worker hands over at a time.
+FRAME_IDS = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -54,23 +55,27 @@ def token_ids(text: str | None, path: str, ranks: str, pattern: str, special: st
 
 
 def pieces(rows: DataFrame, limit: int, vocab: dict) -> DataFrame:
-    """(named, doc_id, piece, start, length, ids_crc32) of ``rows`` (named, doc_id,
-    text): every document with its end id 0. Longer ones are cut into pieces of
-    ``limit``, of which the first may be shorter."""
+    """(named, doc_id, piece, start, length, ids) of ``rows`` (named, doc_id, text):
+    every document with its end id 0, as little-endian ids of four bytes. Longer ones are
+    cut into pieces of ``limit``, of which the first may be shorter."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            out, held = [], 0
             for known, i, text in zip(frame["named"], frame["doc_id"], frame["text"]):
                 ids = np.append(token_ids(text, **vocab), np.uint32(0)).astype("<u4")
                 start, number = 0, 0
                 while start < len(ids):
                     length = (len(ids) - start) % limit or limit
-                    out.append((known, i, number, start, length, zlib.crc32(ids[start : start + length].tobytes())))
-                    start, number = start + length, number + 1
-            yield pd.DataFrame(out, columns=["named", "doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((known, i, number, start, length, ids[start : start + length].tobytes()))
+                    start, number, held = start + length, number + 1, held + length
+                if held >= FRAME_IDS:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(cut, "named boolean, doc_id long, piece int, start long, length long, ids_crc32 long")
+    names = ["named", "doc_id", "piece", "start", "length", "ids"]
+    return rows.mapInPandas(cut, "named boolean, doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(counts: np.ndarray, limit: int) -> list[list[int]]:
@@ -213,15 +218,19 @@ def packed(cuts: DataFrame, limit: int, group: int = GROUP_PIECES) -> DataFrame:
                 row = by_length[length].pop()
                 sequence[row], offset[row] = base + number, at
                 at += length
-        yield frame.assign(sequence_id=sequence, offset=offset)
+        frame = frame.assign(sequence_id=sequence, offset=offset)
+        step = max(1, FRAME_IDS // limit)
+        for at in range(0, len(frame), step):
+            yield frame.iloc[at : at + step]
 
     kind = ", ".join(f"`{c}` {t}" for c, t in cuts.dtypes)
     return cuts.repartition(groups).mapInPandas(packs, f"{kind}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, limit: int = 2048, vocab: dict | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): all ``docs`` as
-    token pieces, packed into sequences of at most ``limit`` tokens.
+    """(doc_id, piece, start, length, ids, sequence_id, offset, ids_crc32): all ``docs``
+    as token pieces with their ids, packed into sequences of at most ``limit`` tokens.
+    ``sequences`` puts them together; ids_crc32 is computed from ids where it is read.
 
     Null and empty texts are the end id alone. Every row is a document of its own, also
     when rows repeat; a null id stays null. Other columns are ignored; an empty table
@@ -230,4 +239,16 @@ def pack_documents(docs: DataFrame, limit: int = 2048, vocab: dict | None = None
     given = column(docs, doc_id)
     rows = docs.select(given.isNotNull().alias("named"), F.coalesce(given.cast("long"), F.lit(0)).alias("doc_id"), column(docs, text).alias("text"))
     out = packed(pieces(rows, limit, vocab or vocabulary()), limit)
-    return out.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
+    return out.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).withColumn("ids_crc32", F.crc32("ids")).drop("named")
+
+
+def sequences(packed_pieces: DataFrame) -> DataFrame:
+    """(sequence_id, ids, n_tokens, doc_ids, starts) of the pieces of ``pack_documents``:
+    the ids of each sequence in order (little-endian, four bytes each), and the document
+    and first token of each of its pieces. An empty table gives no row."""
+    parts = F.collect_list(F.struct("offset", "length", "doc_id", "ids"))
+    whole = packed_pieces.groupBy("sequence_id").agg(F.sort_array(parts).alias("p"))
+    # binary has no linear join of many parts, text does
+    flat = F.unhex(F.array_join(F.transform("p", lambda p: F.hex(p["ids"])), ""))
+    out = whole.select("sequence_id", flat.alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("starts"))
+    return out.select("sequence_id", "ids", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "doc_ids", "starts")

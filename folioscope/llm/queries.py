@@ -16,7 +16,8 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), 2048)
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), 2048)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

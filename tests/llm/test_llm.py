@@ -208,6 +208,21 @@ def test_packing_of_documents(spark):
     assert used <= 1.03 * sum(r["length"] for r in out) / 2048 + 1
 
 
+def test_sequences_hold_the_ids(spark, odd, none):
+    out = packing.pack_documents(odd, 64)
+    rows, made = out.collect(), {r["sequence_id"]: r for r in packing.sequences(out).collect()}
+    want = Counter(packing.token_ids(r["text"], **packing.vocabulary()).astype("<u4").tobytes() + bytes(4) for r in odd.collect())
+    assert set(made) == {r["sequence_id"] for r in rows} and sum(r["n_tokens"] for r in made.values()) == sum(len(k) // 4 * n for k, n in want.items())
+    for r in rows:
+        whole = made[r["sequence_id"]]
+        assert whole["n_tokens"] <= 64 and len(whole["ids"]) == 4 * whole["n_tokens"]
+        assert bytes(whole["ids"][4 * r["offset"] :][: 4 * r["length"]]) == bytes(r["ids"]) and len(r["ids"]) == 4 * r["length"]
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and whole["doc_ids"][whole["starts"].index(r["offset"])] == r["doc_id"]
+    short = [r for r in rows if r["piece"] == 0 and r["doc_id"] in (1, 2, 4)]
+    assert all(bytes(r["ids"]) in want for r in short) and len(short) == 3
+    assert packing.sequences(packing.pack_documents(none)).count() == 0
+
+
 # 3: token counts
 
 
