@@ -150,6 +150,10 @@ def covered(found: list[tuple[int, int, int]], base: list[Span]) -> np.ndarray:
     return label
 
 
+# A message that would change by less stays as it is.
+SETTLED = 1e-5
+
+
 @dataclass(frozen=True)
 class Field:
     """Log potentials: weights of word features by label, and of label pairs."""
@@ -158,28 +162,38 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def beliefs(self, codes: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 10) -> np.ndarray:
-        """Label probabilities by loopy sum-product message passing."""
+    def beliefs(self, codes: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int | None = None) -> np.ndarray:
+        """Label probabilities by loopy sum-product message passing, until all messages
+        settle. ``rounds`` bounds it; by default four for each word, as no path is longer
+        than the words. A round only works on messages whose input has changed."""
         node = bits(codes) @ self.weight
         ends = np.concatenate([chain, chain[:, ::-1], skip, skip[:, ::-1]])
         if not len(ends):
             return softmax(node)
-        pair = np.concatenate([np.repeat(m[None], len(e), 0) for m, e in ((self.chain, chain), (self.chain.T, chain), (self.skip, skip), (self.skip.T, skip))])
+        potentials = np.stack([self.chain, self.chain.T, self.skip, self.skip.T])
+        kind = np.repeat(np.arange(4), [len(chain), len(chain), len(skip), len(skip)])
         half = np.concatenate([np.arange(len(chain)) + len(chain), np.arange(len(chain)), 2 * len(chain) + len(skip) + np.arange(len(skip)), 2 * len(chain) + np.arange(len(skip))])
-        message = np.zeros((len(ends), len(LABELS)))
-        for _ in range(rounds):
-            total = node.copy()
-            np.add.at(total, ends[:, 1], message)
-            out = (total[ends[:, 0]] - message[half])[:, :, None] + pair
+        # the messages that leave each word
+        leaving = np.argsort(ends[:, 0], kind="stable")
+        first = np.searchsorted(ends[leaving, 0], np.arange(len(node) + 1))
+        message, total = np.zeros((len(ends), len(LABELS))), node.copy()
+        live = np.arange(len(ends))
+        for _ in range(rounds or 10 + 4 * len(node)):
+            out = (total[ends[live, 0]] - message[half[live]])[:, :, None] + potentials[kind[live]]
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
-            done = np.abs(new - message).max() < 1e-4
-            message = 0.5 * message + 0.5 * new
-            if done:
+            step = 0.5 * (new - message[live])
+            moved = np.abs(step).max(1) >= SETTLED
+            live, step = live[moved], step[moved]
+            if not len(live):
                 break
-        total = node.copy()
-        np.add.at(total, ends[:, 1], message)
+            message[live] += step
+            np.add.at(total, ends[live, 1], step)
+            touched = np.unique(ends[live, 1])
+            size = first[touched + 1] - first[touched]
+            onward = leaving[np.repeat(first[touched] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            live = np.union1d(live, onward)
         return softmax(total)
 
 
@@ -192,10 +206,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, text: str = "text", bound: int = 5_000, steps: int = 300) -> Field:
+def train(docs: DataFrame, text: str = "text", bound: int | None = None, steps: int = 300) -> Field:
     """Piecewise training on the base matches of all texts: words are counted by
     feature pattern and label, neighbours and repeats by label pair. The driver gets
-    the ``bound`` most frequent counts of patterns and the 50 counts of pairs."""
+    the counts of all patterns that occur, whose number the tests of ``pattern`` limit
+    and not the rows (``bound``: the most frequent only), and the 50 counts of pairs."""
     small_batches()
     given = docs.select(column(docs, text).alias("text")).where(F.col("text").rlike("[0-9@]"))
 
@@ -214,7 +229,8 @@ def train(docs: DataFrame, text: str = "text", bound: int = 5_000, steps: int =
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["what", "a", "b", "n"])
 
     counts = given.mapInPandas(counted, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("what") == "word", F.desc("n"), "a", "b").limit(bound).collect()
+    rows = counts.orderBy(F.col("what") == "word", F.desc("n"), "a", "b")
+    rows = (rows if bound is None else rows.limit(bound)).collect()
     words = [r for r in rows if r["what"] == "word"]
     weight = np.zeros((FEATURES, len(LABELS)))
     if words:

@@ -313,6 +313,30 @@ def test_message_passing_is_exact_on_trees():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_evidence_travels_over_any_number_of_mentions():
+    weight = np.zeros((privacy.FEATURES, 5))
+    weight[1] = [-3, 0, 0, 0, 6]
+    weight[0] = [0.3, 0, 0, 0, 0]
+    skip = np.full((5, 5), -1.0) + 4 * np.eye(5)
+    field = privacy.Field(weight, np.zeros((5, 5)), skip)
+    for n in (15, 60, 400):
+        codes, chain, near = np.array([3] + [1] * (n - 1)), np.zeros((0, 2), int), np.array([[k, k + 1] for k in range(n - 1)])
+        # exact on a chain, by passing sums forth and back
+        node, pair = np.exp(privacy.bits(codes) @ weight), np.exp(skip)
+        forth, back = np.ones((n, 5)), np.ones((n, 5))
+        for k in range(1, n):
+            forth[k] = (forth[k - 1] * node[k - 1]) @ pair
+            forth[k] /= forth[k].sum()
+        for k in range(n - 2, -1, -1):
+            back[k] = pair @ (back[k + 1] * node[k + 1])
+            back[k] /= back[k].sum()
+        want = forth * node * back
+        want /= want.sum(1, keepdims=True)
+        assert np.allclose(field.beliefs(codes, chain, near), want, atol=2e-3)
+        short = field.beliefs(codes, chain, near, rounds=10)
+        assert np.abs(short - want).max() > 0.05
+
+
 def test_repeats_share_their_label(spark):
     """A number written without its mark is found where the document marks it elsewhere."""
     rng = random.Random(6)
