@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import jaccard, mixing, packing, privacy, quality, rules, sharding, spans, tokens, vectors
+from folioscope.llm import dedup, jaccard, mixing, negatives, packing, privacy, quality, rules, sharding, spans, spelling, tokens, vectors
 from folioscope.llm.common import table
 
 
@@ -58,6 +58,28 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 1 << 20).select("doc_id", "bytes", "depth", "prefix", "page", "shard_bytes")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def mistyped(doc_id: Column, run: Column) -> Column:
+        """The run without one code point, in one of 97 cases that depend on id and run."""
+        h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+        at = (h % F.length(run)).cast("int")
+        return F.when(h % 97 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), change=mistyped)
+    found = spelling.variants(words.where((F.length("word") >= 5) & (F.col("n") >= 3)))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_pack": op2_pack,
@@ -69,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_host_rules": op9_host_rules,
     "op10_shards": op10_shards,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling": op13_spelling,
 }
-SQL: dict[str, str] = {"op9_host_rules": rules.SQL, "op10_shards": sharding.SQL}
+SQL: dict[str, str] = {"op9_host_rules": rules.SQL, "op10_shards": sharding.SQL, "op11_exact_dedup": dedup.SQL, "op12_hard_negatives": negatives.SQL}
