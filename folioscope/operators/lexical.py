@@ -1,8 +1,9 @@
 """Lexical scoring of many questions against a whole chunk table.
 
-No pair of question and chunk is ever enumerated: questions become weighted
-terms, chunks become postings of their distinct words, and both meet in an
-equi-join on the word, in the task that reads the chunk.  Texts never move: only
+Questions become weighted terms, chunks become postings of their distinct words,
+and both meet in an equi-join on the word, in the task that reads the chunk; pairs
+of question and chunk without a common word never meet.  ``postings`` searches a stored
+index instead, and leaves out most of the others.  Texts never move: only
 narrow hits are hash partitioned by chunk; scoring and the per-task cut to the best
 ``k`` need no further shuffle, and only those few candidates per task travel to the
 final ranking.
@@ -45,6 +46,11 @@ def _modality_code(c: Column, other: int) -> Column:
     return code.otherwise(other)
 
 
+def traits_of() -> Column:
+    """Twice a chunk's modality code, plus one if it has media."""
+    return _modality_code(F.col("modality"), -1) * 2 + (F.length(F.coalesce("media_path", F.lit(""))) > 0).cast("int")
+
+
 def _word_terms(tokens: Column, kind: int) -> Column:
     """Explodable terms of a token list; repeats become a multiplicity."""
     counted = let(tokens, lambda all_: F.transform(F.array_distinct(all_), lambda t: F.struct(t.alias("t"), F.size(F.filter(all_, lambda x: x == t)).alias("n"))))
@@ -162,8 +168,7 @@ def _postings(chunks: DataFrame) -> DataFrame:
         spread(searchable(chunks))
         .select(
             "chunk_id",
-            _modality_code(F.col("modality"), -1).alias("modality_code"),
-            (F.length(F.coalesce("media_path", F.lit(""))) > 0).cast("int").alias("has_media"),
+            traits_of().alias("traits"),
             name.alias("name"),
             caption.alias("cap"),
             section.alias("sec"),
@@ -193,8 +198,7 @@ def _postings(chunks: DataFrame) -> DataFrame:
         .withColumn("to_sec", F.col("to_cap") + F.size("sec_words"))
         .select(
             "chunk_id",
-            (F.col("modality_code") * 2 + F.col("has_media")).alias("traits"),
-            *["name", "cap", "sec", "body", "whole", "to_body", "to_words", "to_name", "to_cap", "to_sec"],
+            *["traits", "name", "cap", "sec", "body", "whole", "to_body", "to_words", "to_name", "to_cap", "to_sec"],
             F.posexplode(F.concat("body_words", "else_words", "name_words", "cap_words", "sec_words", "letters")).alias(
                 "pos", "token"
             ),
@@ -253,23 +257,24 @@ def _score_block(postings: DataFrame, terms: DataFrame, totals: DataFrame, max_k
         F.max("phrase_hit").alias("phrase_hit"),
         F.max("traits").alias("traits"),
     )
+    scored = sum_points(per_entity, "chunk_id", F.max("traits").alias("traits"))
+    return rank_scored(scored.join(F.broadcast(totals), QUERY_KEYS), max_k)
+
+
+def sum_points(per_entity: DataFrame, chunk: str, *more: Column) -> DataFrame:
+    """Points of question and ``chunk`` from the hits of each entity."""
     phrase = F.col("phrase_hit") == 1
     complete = (F.col("n_tok") > 0) & (F.col("token_hits") == F.col("n_tok"))
-    scored = (
-        per_entity.groupBy(*QUERY_KEYS, "chunk_id")
-        .agg(
-            F.sum("words").alias("words"),
-            F.bit_or("field_bits").alias("field_bits"),
-            F.sum(F.when(phrase, 8.0).when(complete, 5.0).otherwise(F.col("token_hits") * 1.5)).alias("entity_points"),
-            F.sum(F.when(phrase | complete, 1).otherwise(0)).alias("entities_matched"),
-            F.max("traits").alias("traits"),
-        )
-        .join(F.broadcast(totals), QUERY_KEYS)
+    return per_entity.groupBy(*QUERY_KEYS, chunk).agg(
+        F.sum("words").alias("words"),
+        F.bit_or("field_bits").alias("field_bits"),
+        F.sum(F.when(phrase, 8.0).when(complete, 5.0).otherwise(F.col("token_hits") * 1.5)).alias("entity_points"),
+        F.sum(F.when(phrase | complete, 1).otherwise(0)).alias("entities_matched"),
+        *more,
     )
-    return _rank(scored, max_k)
 
 
-def _rank(scored: DataFrame, max_k: int) -> DataFrame:
+def rank_scored(scored: DataFrame, max_k: int) -> DataFrame:
     total = F.col("entity_points") + 3.0 * F.bit_count("field_bits") + F.col("words")
     missed = (F.col("n_entities") > 0) & (F.col("entities_matched") == 0) & (F.col("n_words") > 0)
     ceiling = F.greatest(F.col("n_entities") * 8.0 + F.col("n_fields") * 3.0 + F.col("n_words") * 2.0, F.lit(1.0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.fusion import fan_out, fuse_hops
 from folioscope.operators.lexical import lexical_topk
+from folioscope.operators.postings import PostingIndex, postings_topk
 from folioscope.operators.prune import elbow, token_pack
 from folioscope.operators.query_features import with_features
 from folioscope.operators.rerank import rerank
@@ -29,6 +30,11 @@ def lexical_retriever(chunks: DataFrame, lex: Lexicon = DEFAULT) -> Retriever:
     return lambda questions, max_k: lexical_topk(questions, chunks, max_k, lex)
 
 
+def postings_retriever(index: PostingIndex, lex: Lexicon = DEFAULT) -> Retriever:
+    """Lexical search of a stored index, which any number of question sets share."""
+    return lambda questions, max_k: postings_topk(questions, index, max_k, lex)
+
+
 def vector_retriever(index: DataFrame, embedder: Callable[[DataFrame], DataFrame], fallback: Retriever | None = None) -> Retriever:
     """``embedder`` adds a ``vector`` column to the sub-questions; those that the vector
     search finds nothing for (a null vector, say) go to ``fallback``."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import rounded
+from folioscope.operators.postings import PostingIndex, build_postings
+from folioscope.session import shared_folder
 
 PATH_PREFIXES = ["codex/", "wiki/", "chronicles/", "ephemera/trial_", "ephemera/ballad_", "ephemera/ledger_", "ephemera/letter_", "ephemera/auction_", "misc/"]
 RELIABILITIES = ["official_codex", "wiki", "novel", "ephemera_trial", "ephemera_tavern", "ephemera", "unverified", "ballad", "archive_record"]
@@ -45,6 +49,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+INDEXES: dict[tuple[str, str], PostingIndex] = {}
+
+
+def posting_index(spark: SparkSession, sf_dir: str) -> PostingIndex:
+    """The stored postings of ``chunks``: built by the first query of a session that
+    asks, opened by all later ones."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        INDEXES[key] = build_postings(chunks(spark, sf_dir), f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return INDEXES[key]
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 

@@ -13,12 +13,13 @@ from folioscope.operators.confidence import retrieval_confidence
 from folioscope.operators.fusion import fuse_hops
 from folioscope.operators.lexical import lexical_topk
 from folioscope.operators.matching import entity_matches, evidence_text
+from folioscope.operators.postings import postings_topk
 from folioscope.operators.prune import elbow, token_pack
 from folioscope.operators.rerank import cross_relevance, rerank, with_rerank_terms
 from folioscope.operators.vectors import vector_topk
 from folioscope.operators.verify import entity_coverage, field_coverage, verification_report, with_gate
 from folioscope.operators.index import index_records
-from folioscope.plans.retrieve import lexical_retriever, retrieve, retrieve_candidates, vector_retriever
+from folioscope.plans.retrieve import lexical_retriever, postings_retriever, retrieve, retrieve_candidates, vector_retriever
 from folioscope.session import checkpointed, shared_folder
 from folioscope.sources import stored
 from registry import inputs as I
@@ -38,6 +39,20 @@ def lexical(spark, sf):
     return lexical_topk(asked, I.chunks(spark, sf), 16).select(*HIT_COLUMNS)
 
 
+def stored_postings(spark, sf):
+    """``lexical_topk`` from the stored index."""
+    f = checkpointed(Q.with_features(I.questions(spark, sf)))
+    asked = f.withColumn("step", F.lit(1)).withColumn("k", F.col("candidate_k"))
+    return postings_topk(asked, I.posting_index(spark, sf)).select(*HIT_COLUMNS)
+
+
+def stored_agentic(spark, sf):
+    """``agentic_retrieve`` from the stored index: a second question set that builds nothing."""
+    f = checkpointed(Q.with_features(pair_questions(spark, sf)))
+    out = retrieve_candidates(f, postings_retriever(I.posting_index(spark, sf)), 16)
+    return out.select("query_id", "chunk_id", "raw_similarity", "relevance_score", "first_step", "corroborated", "rank")
+
+
 def pair_questions(spark, sf):
     """Comparative questions about two words of every benchmark text."""
     found = F.regexp_extract_all("question", F.lit("[A-Za-z]{4,}"), F.lit(0))
@@ -315,7 +330,7 @@ def vector_e2e(spark, sf):
 
 
 QUERIES = {
-    "index_roundtrip": index_roundtrip, "vector_retrieve_e2e": vector_e2e,
+    "postings_topk": stored_postings, "postings_agentic": stored_agentic, "index_roundtrip": index_roundtrip, "vector_retrieve_e2e": vector_e2e,
     "lexical_topk": lexical, "agentic_retrieve": agentic, "vector_topk": vector, "modality_boost": vector_figures, "hop_fusion": hop_fusion,
     "rerank_score": rerank_score, "rerank_topk": rerank_topk, "entity_match": matches, "field_match": field_match, "verify_gate": gate,
     "entity_coverage": cover_entities, "field_coverage": cover_fields, "sufficiency": sufficiency, "crag_confidence": confidence,
@@ -325,6 +340,8 @@ _GATED = f"WITH {CANDIDATES}, {gate_ctes('cand')}"
 SQL = {
     "lexical_topk": f"WITH {CHUNKS}, {BENCH}, {lexical_ctes('bk')} SELECT * FROM hits",
     "agentic_retrieve": AGENTIC_SQL,
+    "postings_topk": f"WITH {CHUNKS}, {BENCH}, {lexical_ctes('bk')} SELECT * FROM hits",
+    "postings_agentic": AGENTIC_SQL,
     "index_roundtrip": f"WITH {CHUNKS}, {BENCH}, {lexical_ctes('bk')} SELECT * FROM hits",
     "vector_topk": vector_sql("text", 1.0, 10),
     "modality_boost": vector_sql("image-caption", 1.6, 10),
