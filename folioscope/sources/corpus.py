@@ -18,20 +18,26 @@ from folioscope.sources.documents import markdown_sections, stem_title, text_tit
 
 IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg"]
 MARKDOWN_SUFFIXES = [".md", ".markdown"]
+DOCUMENT_SUFFIXES = [*MARKDOWN_SUFFIXES, ".txt", ".docx", *IMAGE_SUFFIXES]
+
+
+def suffix_glob(suffixes: list[str]) -> str:
+    """A file-name pattern for ``suffixes`` in any case."""
+    letters = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+    return "*{" + ",".join(letters) + "}"
+
+
+def _named(files: DataFrame, suffixes: list[str]) -> DataFrame:
+    """``files(path, content)`` with document_name, stem and suffix, other files left out."""
+    named = files.select("path", "content", file_name(F.col("path")).alias("document_name"))
+    return named.withColumn("suffix", suffix(F.col("document_name"))).where(F.col("suffix").isin(suffixes)).withColumn("stem", stem(F.col("document_name")))
 
 
 def scan_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
     """(path, document_name, stem, suffix, content) of files below ``root``; other
     files are left out by name, before anything is read."""
-    letters = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.option("pathGlobFilter", "*{" + ",".join(map(letters, suffixes)) + "}").load(root)
-    named = files.select("path", "content", file_name(F.col("path")).alias("document_name"))
-    return (
-        named.withColumn("suffix", suffix(F.col("document_name")))
-        .where(F.col("suffix").isin(suffixes))
-        .withColumn("stem", stem(F.col("document_name")))
-    )
+    return _named(reader.option("pathGlobFilter", suffix_glob(suffixes)).load(root), suffixes)
 
 
 def _text(files: DataFrame) -> DataFrame:
@@ -188,6 +194,11 @@ def read_corpus(
         found = found.unionByName(_extras(embedded_figures(images, plates), 0).withColumn("kind", F.lit(2)))
     if grids is not None:
         found = found.unionByName(_extras(table_chunks(grids), 0).withColumn("kind", F.lit(3)))
+    return _identified(found)
+
+
+def _identified(found: DataFrame) -> DataFrame:
+    """Chunks with unique ids, by kind, path and ordinal."""
     # rows of one file that share an id are told apart by title and content
     rows = checkpointed(found.withColumn("digest", F.xxhash64("section_title", "content", "caption")))
     row = Window.partitionBy("chunk_id", "kind", "path", "ordinal", "digest").orderBy("document_name")
@@ -195,6 +206,14 @@ def read_corpus(
     return unique_ids(rows, ["kind", "path", "ordinal", "digest", "copy"]).drop("kind", "path", "ordinal", "digest", "copy")
 
 
+def chunk_files(files: DataFrame, plates: list[Plate] = ()) -> DataFrame:
+    """The chunks that ``read_corpus`` makes of ``files(path, content)``."""
+    rows = checkpointed(_named(files, DOCUMENT_SUFFIXES))
+    parts = markdown_parts(rows).unionByName(text_parts(rows)).unionByName(docx_parts(rows))
+    found = figure_chunks(rows, plates).withColumn("kind", F.lit(0))
+    return _identified(found.unionByName(chunk_parts(parts).withColumn("kind", F.lit(1))))
+
+
 def ingest(spark: SparkSession, root: str, catalog: DataFrame | None = None, **given) -> tuple[DataFrame, DataFrame]:
     """(chunks, violations) of ``read_corpus`` on ``root``, the chunks stored once."""
     chunks = checkpointed(read_corpus(spark, root, **given))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope import lexicon as L
@@ -11,7 +13,11 @@ from folioscope.functions.text import slug, token_estimate, word_count
 from folioscope.operators.index import corpus_stats, index_ids, index_records, modality_counts, upsert
 from folioscope.operators.media import Plate, describe_figure, match_plate, resolve_media
 from folioscope.operators.validate import chunk_errors, duplicate_ids, unique_ids, validate_chunks
+from folioscope.schema import CHUNK
+from folioscope.session import shared_folder
+from folioscope.sources.deltas import BucketTable, ingest_stream
 from folioscope.sources.documents import markdown_sections, text_title
+from folioscope.sources.stored import write_media
 from folioscope.session import spread
 from registry import inputs as I
 from registry.sql import CHUNKS, PATHS, lst, s
@@ -267,6 +273,33 @@ def chunk_upsert(spark, sf):
     return upsert(old, fresh)
 
 
+def upsert_deltas(spark, sf):
+    """One document in a hundred changes (some twice) and others are new: only the buckets
+    of their ids are written again."""
+    rows = I.chunks(spark, sf).select("chunk_id", "document_name", F.lit(1).alias("version"))
+    number = F.regexp_extract("chunk_id", r"\d+", 0).cast("long")
+    table = BucketTable(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", rows.schema)
+    table.upsert(rows)
+    changed = rows.where(number % 100 == 7)
+    twice = changed.where(number % 200 == 7).withColumn("version", F.lit(3))
+    added = rows.where(number % 100 == 8).withColumn("chunk_id", F.concat(F.lit("new_"), "chunk_id"))
+    table.upsert(changed.withColumn("version", F.lit(2)).unionByName(twice).unionByName(added), order=["version"])
+    return table.read()
+
+
+def ingest_increments(spark, sf):
+    """Documents as files that arrive in three batches, taken in by a stream."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    table = BucketTable(spark, f"{folder}/table", CHUNK, buckets=64)
+    files = I.table(spark, sf, "documents").select(
+        "doc_id", F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")).alias("target"), F.encode(F.replace("text", F.lit("\n"), F.lit("\n\n")), "UTF-8").alias("content")
+    )
+    for k in range(3):
+        write_media(files.where(F.col("doc_id") % 3 == k), f"{folder}/in")
+        ingest_stream(spark, f"{folder}/in", table, f"{folder}/checkpoint", files_per_batch=5_000)
+    return table.read().select("chunk_id", F.md5("content").alias("content_md5"), F.col("metadata.word_count").alias("word_count"), F.col("metadata.char_count").alias("char_count"))
+
+
 def media_resolve(spark, sf):
     i = F.col("doc_id")
     d = I.table(spark, sf, "documents")
@@ -320,6 +353,7 @@ QUERIES = {
     "hier_chunk": hier_chunk, "md_sections": md_sections, "txt_titles": txt_titles, "page_sections": page_sections, "dup_ids": dup_ids,
     "index_projection": index_projection, "index_ids": index_unique, "validate_chunks": validate,
     "validate_duplicates": duplicates, "corpus_stats": stats, "modality_counts": by_modality, "chunk_upsert": chunk_upsert,
+    "upsert_deltas": upsert_deltas, "ingest_increments": ingest_increments,
     "media_resolve": media_resolve, "figure_captions": figure_captions, "plate_match": plate_match,
 }
 SQL = {
@@ -351,5 +385,8 @@ SQL = {
     "modality_counts": f"WITH {CHUNKS} SELECT modality, count(*) AS n_chunks FROM ch GROUP BY modality",
     "chunk_upsert": f"""WITH {CHUNKS} SELECT chunk_id, document_name, 1 AS version FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels)
       UNION ALL SELECT 'doc_' || doc_id || '_p1_c01', 'relabelled', 2 FROM labels""",
+    "upsert_deltas": f"""WITH {CHUNKS} SELECT chunk_id, document_name, CASE WHEN doc_id % 200 = 7 THEN 3 WHEN doc_id % 100 = 7 THEN 2 ELSE 1 END AS version FROM ch
+      UNION ALL SELECT 'new_' || chunk_id, document_name, 1 FROM ch WHERE doc_id % 100 = 8""",
+    "ingest_increments": HIER_SQL,
     "media_resolve": MEDIA_SQL, "figure_captions": FIG_SQL, "plate_match": PLATE_SQL,
 }
