@@ -87,6 +87,30 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     )
 
 
+# Tags that don't end a paragraph, and characters written as entities ("&amp;" last).
+INLINE_TAGS = "a|b|br|i|em|strong|span|u"
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def page_text(html: Column) -> Column:
+    """Headings (h1, as "# ...") and paragraphs (p) of a web page, one a line.
+
+    An element reaches to the next tag that isn't an inline one, closed or not. Comments,
+    scripts and styles are left out, inline tags dropped, a line break becomes a space.
+    Of the entities, those of ENTITIES are decoded."""
+    shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    found = F.regexp_extract_all(shown, F.lit(rf"(?is)<(?:h1|p)(?:\s[^>]*)?>[^<]*+(?:</?(?:{INLINE_TAGS})\b[^>]*>[^<]*+)*+"), F.lit(0))
+
+    def line(element: Column) -> Column:
+        spaced = F.regexp_replace(element, r"(?i)<br\b[^>]*>|[\n\r]", " ")
+        text = F.regexp_replace(spaced, r"<[^>]*>", "")
+        for entity, char in ENTITIES:
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return F.concat(F.when(element.rlike("(?i)^<h1"), "# ").otherwise(""), text)
+
+    return F.array_join(F.transform(found, line), "\n")
+
+
 def text_title(stem: Column, text: Column) -> Column:
     """Readable stem, plus the first shouted line among the first five."""
     first = F.transform(F.slice(F.split(text, LINE_BREAK), 1, 5), strip)

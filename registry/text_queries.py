@@ -16,7 +16,7 @@ from folioscope.operators.validate import chunk_errors, duplicate_ids, unique_id
 from folioscope.schema import CHUNK
 from folioscope.session import shared_folder
 from folioscope.sources.deltas import BucketTable, ingest_stream
-from folioscope.sources.documents import markdown_sections, text_title
+from folioscope.sources.documents import markdown_sections, page_text, text_title
 from folioscope.sources.stored import write_media
 from folioscope.session import spread
 from registry import inputs as I
@@ -146,16 +146,24 @@ FROM secs s LEFT JOIN crumbs c USING (doc_id, sec)
 
 def page_sections(spark, sf):
     """Headings and paragraphs of web pages as Markdown sections."""
-    found = F.regexp_extract_all("html", F.lit(r"<(?:h1|p)>[^<\n\r]+"), F.lit(0))
-    lines = F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(p, "^<h1>", "# "), "^<p>", ""))
-    pages = I.table(spark, sf, "pages").select("page_id", F.concat(F.lit("page_"), "page_id").alias("stem"), F.array_join(lines, "\n").alias("text"))
+    pages = I.table(spark, sf, "pages").select("page_id", F.concat(F.lit("page_"), "page_id").alias("stem"), page_text(F.col("html")).alias("text"))
     return markdown_sections(spread(pages)).select("page_id", "section_no", F.md5("section_title").alias("title_md5"), F.md5("section_text").alias("text_md5"))
 
 
+PAGE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 PAGE_SQL = r"""
-WITH found AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|p)>[^<\n\r]+') AS p FROM pages
-), lines AS (SELECT page_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM found
-), marked AS (SELECT page_id, i, starts_with(p, '<h1>') AND trim(p[5:]) <> '' AS is_head, CASE WHEN starts_with(p, '<h1>') THEN '# ' || p[5:] ELSE p[4:] END AS line, trim(p[5:]) AS title FROM lines
+WITH pieces AS (
+  SELECT page_id, unnest(string_split(html, '<')) AS p, generate_subscripts(string_split(html, '<'), 1) AS i FROM pages
+), named AS (
+  SELECT page_id, i, lower(regexp_extract(p, '^(/?[A-Za-z0-9!]+)', 1)) AS tag, CASE WHEN starts_with(p, '!--') THEN split_part(p, '-->', 2) WHEN contains(p, '>') THEN p[strpos(p, '>') + 1:] ELSE '' END AS t FROM pieces WHERE i > 1
+), spoken AS (
+  SELECT *, sum(CASE tag WHEN 'script' THEN 1 WHEN 'style' THEN 1 WHEN '/script' THEN -1 WHEN '/style' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS mute FROM named
+), blocks AS (
+  SELECT page_id, i, tag, CASE tag WHEN 'br' THEN ' ' || t ELSE t END AS t,
+    sum((ltrim(tag, '/') NOT IN ('a', 'b', 'br', 'i', 'em', 'strong', 'span', 'u', '!'))::INT) OVER (PARTITION BY page_id ORDER BY i) AS e FROM spoken WHERE mute = 0 AND tag NOT IN ('/script', '/style')
+), elements AS (SELECT page_id, e, min_by(tag, i) AS tag, replace(replace(string_agg(t, '' ORDER BY i), chr(13), ' '), chr(10), ' ') AS raw FROM blocks GROUP BY ALL
+), found AS (SELECT page_id, e AS i, tag, ENTITIES AS t FROM elements WHERE tag IN ('h1', 'p')
+), marked AS (SELECT page_id, i, tag = 'h1' AND trim(t) <> '' AS is_head, CASE tag WHEN 'h1' THEN '# ' || t ELSE t END AS line, trim(t) AS title FROM found
 ), numbered AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY page_id ORDER BY i) AS sec FROM marked
 ), heads AS (SELECT page_id, sec, title FROM numbered WHERE is_head
 ), secs AS (SELECT page_id, sec, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)) AS body FROM numbered WHERE NOT is_head GROUP BY ALL HAVING body <> '')
@@ -164,6 +172,10 @@ FROM secs s LEFT JOIN heads h USING (page_id, sec)
 UNION ALL SELECT page_id, 1, md5(max_by(title, i)), md5(trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)))
 FROM numbered WHERE page_id NOT IN (SELECT page_id FROM secs) GROUP BY page_id HAVING bool_or(is_head)
 """
+_raw = "raw"
+for _entity, _char in PAGE_ENTITIES:
+    _raw = f"replace({_raw}, {s(_entity)}, {s(_char)})"
+PAGE_SQL = PAGE_SQL.replace("ENTITIES", _raw)
 
 
 def txt_titles(spark, sf):
