@@ -613,6 +613,23 @@ def plain_counts(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def test_hosts_decide_beside_the_base_rules(spark):
+    """Failures of the other rules count too: excused on hosts where they are rare, fatal
+    on ordinary ones, and a host that mostly fails them loses its clean documents."""
+    rng = random.Random(5)
+    noisy = lambda: " ".join("#*$" + w for w in prose(rng, 60).split())
+    rows, clean, k = [], {}, 0
+    for host, share, n in [("trusted", 0.005, 400), *[(f"h{j}", 0.1 + 0.02 * j, 60) for j in range(12)], ("junk", 0.9, 200)]:
+        for j in range(n):
+            bad = j < share * n
+            rows.append((k, noisy() if bad else prose(rng, 80), host))
+            clean[k], k = not bad, k + 1
+    out = {r["doc_id"]: r for r in rules.host_rules(docs(spark, rows)).collect()}
+    for i, _, host in rows:
+        assert not out[i]["base_failed"] and out[i]["host_kept"] == (host != "junk")
+        assert out[i]["kept"] == (host == "trusted" or (host != "junk" and clean[i])), (i, host)
+
+
 def test_rules_match_a_plain_count(spark, odd, none):
     rng = random.Random(12)
     rows = [(k, rng.choice([" ", "", "\n\n"]).join([prose(rng, rng.randrange(0, 120)), rng.choice(["a b c ", "x | $ y\n", "été\n", ""]) * rng.randrange(0, 30)]), rng.choice("ab") if k % 9 else None) for k in range(200)]
