@@ -619,7 +619,7 @@ def test_hosts_decide_beside_the_base_rules(spark):
     rng = random.Random(5)
     noisy = lambda: " ".join("#*$" + w for w in prose(rng, 60).split())
     rows, clean, k = [], {}, 0
-    for host, share, n in [("trusted", 0.005, 400), *[(f"h{j}", 0.1 + 0.02 * j, 60) for j in range(12)], ("junk", 0.9, 200)]:
+    for host, share, n in [("trusted", 0.005, 400), *[(f"h{j}", 0.16 + 0.02 * j, 60) for j in range(12)], ("junk", 0.9, 200)]:
         for j in range(n):
             bad = j < share * n
             rows.append((k, noisy() if bad else prose(rng, 80), host))
