@@ -82,43 +82,58 @@ def span_ends(found: list[tuple[int, int, bytes]], least: int = SENTENCES, words
     return np.where(end <= len(found), end, 0)
 
 
-def hashes(found: list[tuple[int, int, bytes]], ends: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, 64 and 32 bits of the hash) of every span."""
+# Odd factors of two polynomial hashes modulo 2**64, and of the last mix.
+FACTORS = [0x9E3779B97F4A7C15, 0xD1B54A32D192ED03]
+MIX = np.uint64(0xFF51AFD7ED558CCD)
+
+
+def hashes(found: list[tuple[int, int, bytes]], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, 64 and 32 bits of the hash) of every span: differences of prefix sums of
+    the sentences' hashes times rising powers, brought to power 0 at the span's start."""
     own = np.fromiter((xxhash.xxh3_64_intdigest(w) for _, _, w in found), np.uint64, len(found))
-    out = []
-    for start in np.flatnonzero(ends).tolist():
-        value = xxhash.xxh3_128_intdigest(own[start : ends[start]].tobytes())
-        out.append((start, (value & (2**64 - 1)) - 2**63, ((value >> 64) & (2**32 - 1)) - 2**31))
-    return out
+    start = np.flatnonzero(ends)
+    values = []
+    for factor in FACTORS:
+        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(len(own), f, np.uint64)]) for f in (factor, pow(factor, -1, 2**64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[:-1])])
+        value = (sums[ends[start]] - sums[start]) * down[start] + (ends[start] - start).astype(np.uint64)
+        value = (value ^ (value >> np.uint64(33))) * MIX
+        values.append(value ^ (value >> np.uint64(29)))
+    return start, values[0].view(np.int64), (values[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def repeated_spans(rows: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(id, at): spans of ``rows`` (id, text) that begin at sentence ``at`` and are not
-    the first of their kind by id and place.
+    """(id, at, n): spans of ``rows`` (id, text) that begin at sentence ``at`` and are not
+    the first of their kind by id and place; and for each row one with at = -1 and its
+    number of sentences ``n``.
 
     A task sends one span of each kind and batch only, its first; the others of the
     batch can't be first, and are known to repeat without meeting the rest."""
 
     def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, starts, high, low = [], [], [], []
+            ids, starts, high, low, counts = [], [], [], [], []
             for i, text in zip(frame["id"], frame["text"]):
                 found = sentences(text)
-                for start, h, g in hashes(found, span_ends(found, least, words)):
-                    ids.append(i), starts.append(start), high.append(h), low.append(g)
-            out = pd.DataFrame({"h": np.array(high, np.int64), "g": np.array(low, np.int32), "id": np.array(ids, np.int64), "at": np.array(starts, np.int32)})
+                start, h, g = hashes(found, span_ends(found, least, words))
+                ids.append(np.full(len(start), i, np.int64)), starts.append(start.astype(np.int32)), high.append(h), low.append(g), counts.append(len(found))
+            whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (high, low, ids, starts)]
+            out = pd.DataFrame(dict(zip(["h", "g", "id", "at"], whole)))
             out = out.sort_values(["id", "at"], kind="stable")
             again = out.duplicated(["h", "g"]).to_numpy()
             # rows known to repeat are spread by their own place
             out["h"] = np.where(again, out["id"].to_numpy() * 1_000_003 + out["at"].to_numpy(), out["h"])
-            out["again"] = again
+            out["again"], out["n"] = again, pd.array([None] * len(out), "Int64")
             yield out
+            # a row for each text, spread alike
+            own = frame["id"].to_numpy(np.int64)
+            yield pd.DataFrame({"h": own * 1_000_003 - 1, "g": 0, "id": own, "at": -1, "again": True, "n": pd.array(counts, "Int64")})
 
-    shape = "h long, g int, id long, at int, again boolean"
+    shape = "h long, g int, id long, at int, again boolean, n long"
     kind = Window.partitionBy("again", "h", "g").orderBy("id", "at")
     # a repeated row has the same first place as its twin and stays with it
     seen = rows.mapInPandas(spans, shape).withColumn("first", F.first(F.struct("id", "at")).over(kind))
-    return seen.where("again or first.id <> id or first.at <> at").select("id", "at")
+    return seen.where("again or first.id <> id or first.at <> at").select("id", "at", "n")
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -133,8 +148,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     small_batches()
     ident, at = spare_name(docs, "id"), spare_name(docs, "at")
     given = docs.select(column(docs, doc_id).cast("long").alias("id"), column(docs, text).alias("text")).where("id is not null")
-    repeats = stored(repeated_spans(given, least, words).groupBy("id").agg(F.collect_set("at").alias("at")))
-    repeats = repeats.select(F.col("id").alias(ident), F.col("at").alias(at))
+    places, count = F.collect_set(F.when(F.col("at") >= 0, F.col("at"))), F.when(F.count("n") == 1, F.max("n"))
+    repeats = stored(repeated_spans(given, least, words).groupBy("id").agg(places.alias("at"), count.alias("n")))
+    number = spare_name(docs, "n")
+    repeats = repeats.select(F.col("id").alias(ident), F.col("at").alias(at), F.col("n").alias(number))
 
     @F.pandas_udf("text string, n_sentences long, n_removed long, removed_chars long")
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -164,8 +181,12 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     added = ["n_sentences", "n_removed", "removed_chars"]
     kept = [c for c in docs.columns if c.lower() not in added]
     key = column(docs, doc_id).cast("long")
-    met = docs.where(key.isNotNull()).join(repeats, key == F.col(ident), "left").select(*[column(docs, c) for c in docs.columns], F.col(at))
+    met = docs.where(key.isNotNull()).join(repeats, key == F.col(ident), "left").select(*[column(docs, c) for c in docs.columns], F.col(at), F.col(number))
     # rows without an id don't meet in one place
-    whole = met.union(docs.where(key.isNull()).withColumn(at, F.lit(None).cast("array<int>")))
-    joined = whole.withColumn(new, clean(column(docs, text), F.col(at)))
-    return joined.select(*[F.col(f"{new}.text").alias(c) if c == text else column(docs, c) for c in kept], *[F.col(f"{new}.{c}").alias(c) for c in added])
+    whole = met.union(docs.where(key.isNull()).withColumn(at, F.lit(None).cast("array<int>")).withColumn(number, F.lit(None).cast("long")))
+    # only texts that lose something, or whose sentences weren't counted alone, are split again
+    asks = F.col(number).isNull() | (F.size(at) > 0)
+    joined = whole.withColumn(new, clean(F.when(asks, column(docs, text)), F.when(asks, F.col(at))))
+    shown = {"text": column(docs, text), "n_sentences": F.col(number), "n_removed": F.lit(0).cast("long"), "removed_chars": F.lit(0).cast("long")}
+    taken = {c: F.when(asks, F.col(f"{new}.{c}")).otherwise(value) for c, value in shown.items()}
+    return joined.select(*[taken["text"].alias(c) if c == text else column(docs, c) for c in kept], *[taken[c].alias(c) for c in added])
