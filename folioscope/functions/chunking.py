@@ -1,8 +1,10 @@
-"""Overlapping, boundary-respecting text chunks as one fold per text.
+"""Overlapping, boundary-respecting text chunks as a fold per text.
 
 The text is first turned into a flat list of steps: a paragraph that may fit
 (``P``), a forced break before an oversized paragraph (``B``) and that
-paragraph's sentences (``S``).  A single ``aggregate`` then packs the steps.
+paragraph's sentences (``S``).  A fold then packs the steps.  A fold copies its state
+at every step, so the steps are dealt to blocks: the inner fold holds the chunks closed in
+its block only, and the outer one gathers them block by block.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import strip
+from folioscope.functions.text import let, strip
 
+# Steps of one inner fold.
+BLOCK_STEPS = 256
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
 
 
@@ -58,12 +62,25 @@ def chunk_texts(text: Column, size: int = 800, overlap: int = 150) -> Column:
         )
 
     def finish(acc: Column) -> Column:
-        rest = strip(F.array_join(acc["open"], "\n\n"))
-        last = F.try_element_at(acc["done"], F.lit(-1))
-        return F.when((rest != "") & ~rest.eqNullSafe(last), F.concat(acc["done"], F.array(rest))).otherwise(acc["done"])
+        def closed(done: Column) -> Column:
+            rest = strip(F.array_join(acc["open"], "\n\n"))
+            last = F.try_element_at(done, F.lit(-1))
+            return F.when((rest != "") & ~rest.eqNullSafe(last), F.concat(done, F.array(rest))).otherwise(done)
+
+        return let(F.flatten(acc["done"]), closed)
 
     empty = F.array().cast("array<string>")
-    packed = F.aggregate(_steps(body, size), state(empty, F.lit(0), empty), pack, finish)
+
+    def pack_block(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, state(acc["open"], acc["n"], empty), pack)
+        return let(inner, lambda i: state(i["open"], i["n"], F.concat(acc["done"], F.array(i["done"]))))
+
+    def blocks(steps: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(steps), F.lit(1)) - 1) / BLOCK_STEPS).cast("int"))
+        return F.transform(starts, lambda k: F.slice(steps, k * BLOCK_STEPS + 1, BLOCK_STEPS))
+
+    start = state(empty, F.lit(0), F.array().cast("array<array<string>>"))
+    packed = F.aggregate(let(_steps(body, size), blocks), start, pack_block, finish)
     return (
         F.when(F.coalesce(body, F.lit("")) == "", empty)
         .when(F.length(body) <= size + 100, F.array(body))

@@ -10,11 +10,12 @@ from folioscope import lexicon as L
 from folioscope.functions.chunking import chunk_texts
 from folioscope.functions.paths import document_type, source_category, source_reliability
 from folioscope.functions.text import slug, token_estimate, word_count
+from folioscope.operators.dictionary import with_keys
 from folioscope.operators.index import corpus_stats, index_ids, index_records, modality_counts, upsert
 from folioscope.operators.media import Plate, describe_figure, match_plate, resolve_media
 from folioscope.operators.validate import chunk_errors, duplicate_ids, unique_ids, validate_chunks
 from folioscope.schema import CHUNK
-from folioscope.session import shared_folder
+from folioscope.session import checkpointed, shared_folder
 from folioscope.sources.deltas import BucketTable, ingest_stream
 from folioscope.sources.documents import markdown_sections, page_text, text_title
 from folioscope.sources.stored import write_media
@@ -312,6 +313,27 @@ def ingest_increments(spark, sf):
     return table.read().select("chunk_id", F.md5("content").alias("content_md5"), F.col("metadata.word_count").alias("word_count"), F.col("metadata.char_count").alias("char_count"))
 
 
+def dictionary_match(spark, sf):
+    """All words of eight letters or more from the conversations, looked for in every
+    document: how many occur, and the first of them by place."""
+    found = F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("at", "key")
+    words = I.table(spark, sf, "conversations").select("conv_id", "turn", found)
+    place = F.col("conv_id") * 1_000_000 + F.col("turn") * 10_000 + F.col("at")
+    keys = checkpointed(words.groupBy("key").agg(F.min(place).alias("place")))
+    met = with_keys(spread(I.table(spark, sf, "documents").select("doc_id", "text")), F.lower("text"), keys)
+    first = met.select("doc_id", F.size("places").alias("n_keys"), F.get("places", F.lit(0)).alias("place"))
+    return first.join(keys, "place", "left").select("doc_id", "n_keys", "key")
+
+
+DICTIONARY_SQL = """
+WITH words AS (
+  SELECT conv_id, turn, unnest(w) AS key, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]{8,}') AS w FROM conversations)
+), keys AS (SELECT key, min(conv_id * 1000000 + turn * 10000 + pos) AS place FROM words GROUP BY key
+), met AS (SELECT doc_id, count(*) AS n, min_by(key, place) AS key FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN keys ON contains(low, key) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::INT AS n_keys, key FROM documents LEFT JOIN met USING (doc_id)
+"""
+
+
 def media_resolve(spark, sf):
     i = F.col("doc_id")
     d = I.table(spark, sf, "documents")
@@ -365,7 +387,7 @@ QUERIES = {
     "hier_chunk": hier_chunk, "md_sections": md_sections, "txt_titles": txt_titles, "page_sections": page_sections, "dup_ids": dup_ids,
     "index_projection": index_projection, "index_ids": index_unique, "validate_chunks": validate,
     "validate_duplicates": duplicates, "corpus_stats": stats, "modality_counts": by_modality, "chunk_upsert": chunk_upsert,
-    "upsert_deltas": upsert_deltas, "ingest_increments": ingest_increments,
+    "dictionary_match": dictionary_match, "upsert_deltas": upsert_deltas, "ingest_increments": ingest_increments,
     "media_resolve": media_resolve, "figure_captions": figure_captions, "plate_match": plate_match,
 }
 SQL = {
@@ -397,6 +419,7 @@ SQL = {
     "modality_counts": f"WITH {CHUNKS} SELECT modality, count(*) AS n_chunks FROM ch GROUP BY modality",
     "chunk_upsert": f"""WITH {CHUNKS} SELECT chunk_id, document_name, 1 AS version FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels)
       UNION ALL SELECT 'doc_' || doc_id || '_p1_c01', 'relabelled', 2 FROM labels""",
+    "dictionary_match": DICTIONARY_SQL,
     "upsert_deltas": f"""WITH {CHUNKS} SELECT chunk_id, document_name, CASE WHEN doc_id % 200 = 7 THEN 3 WHEN doc_id % 100 = 7 THEN 2 ELSE 1 END AS version FROM ch
       UNION ALL SELECT 'new_' || chunk_id, document_name, 1 FROM ch WHERE doc_id % 100 = 8""",
     # stored chunks are stripped, and so are their counts
