@@ -52,6 +52,7 @@ def cite(chunk: Column) -> Column:
 
 def context_prompt(question: Column, context: Column, aggregates: Column | None = None) -> Column:
     """Numbered context blocks, contents cut at 450 characters, then aggregates."""
+    # The headings and separators of the prompt below.
 
     def block(c: Column, i: Column) -> Column:
         head = F.concat(

@@ -213,6 +213,7 @@ def report_rows(results: DataFrame) -> DataFrame:
     def status(c: str) -> Column:
         return F.when(F.col(c), F.lit("✅ Pass")).otherwise(F.lit("❌ Fail"))
 
+    # The cells of a report line and their order.
     cells = [
         F.concat(F.lit("**"), F.col("qid"), F.lit("**")),
         F.element_at(F.split("track", ":"), 1),

@@ -53,21 +53,25 @@ def index_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
     """Blank and repeated ids become ``chunk_{position}_{document[:10]}``.
 
     Only the first row of an id keeps it; that row is found by a minimum, which
-    combines before the shuffle.  ``position`` must be the row's ordinal.
+    combines before the shuffle.  Rows meet it by id and ``order`` together, so those of a
+    very frequent id are spread.  ``position`` must be the row's ordinal.
     """
     first = (
         chunks.where(strip(F.col("chunk_id")) != "")
         .groupBy(strip(F.col("chunk_id")).alias("_id"))
         .agg(F.min(F.struct(*order)).alias("_first"))
+        .select(F.col("_id").alias("_kept"), *[F.col(f"_first.{c}").alias(f"_first_{i}") for i, c in enumerate(order)])
     )
-    keeps = F.struct(*order).eqNullSafe(F.col("_first"))
     made = F.concat(
         F.lit("chunk_"), F.lpad(F.col("position").cast("string"), F.greatest(F.lit(5), F.length(F.col("position").cast("string"))), F.lit("0")),
         F.lit("_"), F.substring(F.coalesce("document_name", F.lit("doc")), 1, 10),
     )
     rows = chunks.withColumn("_id", strip(F.coalesce("chunk_id", F.lit(""))))
     # blank ids share no key: they are named without meeting the others
-    named = rows.where("_id <> ''").join(first, "_id").withColumn("chunk_id", F.when(keeps, F.col("_id")).otherwise(made))
+    same = F.col("_id") == F.col("_kept")
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_first_{i}"))
+    named = rows.where("_id <> ''").join(first, same, "left").withColumn("chunk_id", F.coalesce("_kept", made))
     return named.select(*chunks.columns).unionByName(rows.where("_id = ''").withColumn("chunk_id", made).select(*chunks.columns))
 
 

@@ -15,7 +15,6 @@ from folioscope.functions.text import (
     query_tokens,
     strip,
 )
-from folioscope import lexicon as L
 from folioscope.lexicon import DEFAULT, Lexicon
 
 ANY_CASE = "(?Udi)"
@@ -233,8 +232,8 @@ def decompose(question: Column, complexity: Column, found: Column, fields: Colum
     hops = F.when(
         text.rlike(RELATION),
         F.array(
-            F.concat(F.lit("Who is the "), relation, F.lit(" of "), subject, F.lit("?")),
-            F.concat(subject, F.lit(" "), relation, F.lit(" history background")),
+            F.format_string(L.RELATION_SUBQUERIES[0], relation, subject),
+            F.format_string(L.RELATION_SUBQUERIES[1], subject, relation),
         ),
     ).otherwise(F.array().cast("array<string>"))
     extra = (

@@ -423,6 +423,6 @@ SQL = {
     "upsert_deltas": f"""WITH {CHUNKS} SELECT chunk_id, document_name, CASE WHEN doc_id % 200 = 7 THEN 3 WHEN doc_id % 100 = 7 THEN 2 ELSE 1 END AS version FROM ch
       UNION ALL SELECT 'new_' || chunk_id, document_name, 1 FROM ch WHERE doc_id % 100 = 8""",
     # stored chunks are stripped, and so are their counts
-    "ingest_increments": HIER_SQL.replace("length(content) AS char_count", "length(trim(content)) AS char_count"),
+    "ingest_increments": HIER_SQL.replace("length(content) AS char_count", "length(trim(content)) AS char_count").replace("trim(content)", "trim(content, ' ' || chr(10))"),
     "media_resolve": MEDIA_SQL, "figure_captions": FIG_SQL, "plate_match": PLATE_SQL,
 }
