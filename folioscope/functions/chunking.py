@@ -16,6 +16,8 @@ from folioscope.functions.text import let, strip
 
 # Steps of one inner fold.
 BLOCK_STEPS = 256
+# Texts with more characters are folded in blocks; the chunks are the same.
+LONG_TEXT = 100_000
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
 
 
@@ -61,13 +63,10 @@ def chunk_texts(text: Column, size: int = 800, overlap: int = 150) -> Column:
             )
         )
 
-    def finish(acc: Column) -> Column:
-        def closed(done: Column) -> Column:
-            rest = strip(F.array_join(acc["open"], "\n\n"))
-            last = F.try_element_at(done, F.lit(-1))
-            return F.when((rest != "") & ~rest.eqNullSafe(last), F.concat(done, F.array(rest))).otherwise(done)
-
-        return let(F.flatten(acc["done"]), closed)
+    def closed(acc: Column, done: Column) -> Column:
+        rest = strip(F.array_join(acc["open"], "\n\n"))
+        last = F.try_element_at(done, F.lit(-1))
+        return F.when((rest != "") & ~rest.eqNullSafe(last), F.concat(done, F.array(rest))).otherwise(done)
 
     empty = F.array().cast("array<string>")
 
@@ -80,7 +79,10 @@ def chunk_texts(text: Column, size: int = 800, overlap: int = 150) -> Column:
         return F.transform(starts, lambda k: F.slice(steps, k * BLOCK_STEPS + 1, BLOCK_STEPS))
 
     start = state(empty, F.lit(0), F.array().cast("array<array<string>>"))
-    packed = F.aggregate(let(_steps(body, size), blocks), start, pack_block, finish)
+    long_ = F.aggregate(let(_steps(body, size), blocks), start, pack_block, lambda acc: let(F.flatten(acc["done"]), lambda done: closed(acc, done)))
+    # one fold is faster where few chunks are copied
+    short = F.aggregate(_steps(body, size), state(empty, F.lit(0), empty), pack, lambda acc: closed(acc, acc["done"]))
+    packed = F.when(F.length(body) > LONG_TEXT, long_).otherwise(short)
     return (
         F.when(F.coalesce(body, F.lit("")) == "", empty)
         .when(F.length(body) <= size + 100, F.array(body))
