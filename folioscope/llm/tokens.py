@@ -2,63 +2,106 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import column, small_batches, stored
+from folioscope.llm.common import column, shared_folder, small_batches, stored
 from folioscope.llm.packing import token_ids
 
 # Tokens of a block, and blocks of a stretch that is scanned by itself first.
 BLOCK_TOKENS, STRETCH = 1 << 16, 1 << 10
+# Ranges that follow each other in one task, and ranges a task gets about.
+RANGES_TOGETHER, RANGES_A_TASK = 16, 512
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it (unescaped), and the path in it. Those
+    with a scheme that Arrow doesn't know raise."""
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path[6:].lstrip("/")
+    if ":/" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def ranges(files: DataFrame, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(file, block, ids) of raw token files (file, path, length): byte ranges are dealt
+    to all tasks, and each is read by a seek, so a file of any size is read by many."""
+    step = width * block_tokens
+    cuts = files.where("length > 0").select("file", "path", "length", F.explode(F.expr(f"sequence(0L, cast((length - 1) div {step} as bigint))")).alias("block"))
+    tasks = max(1, files.sparkSession.sparkContext.defaultParallelism, -(-(cuts.count()) // RANGES_A_TASK))
+    cuts = cuts.repartition(tasks, "file", F.floor(F.col("block") / RANGES_TOGETHER))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, rows in frame.groupby("path", sort=False):
+                system, inner = opened(path)
+                with system.open_input_file(inner) as source:
+                    for at in range(0, len(rows), RANGES_TOGETHER):
+                        some = rows.iloc[at : at + RANGES_TOGETHER]
+                        ids = [source.read_at(min(step, length - block * step), block * step) for block, length in zip(some["block"].tolist(), some["length"].tolist())]
+                        yield some[["file", "block"]].assign(ids=ids)
+
+    return cuts.mapInPandas(read, f"file {dict(files.dtypes)['file']}, block long, ids binary")
 
 
 def flat_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(file, block, ids) of the raw token files below ``path``: little-endian ids of
-    ``width`` bytes, cut into blocks without regard to documents. A file is one row of
-    Spark's binary reader first, so each must stay below 2 GB."""
-    step = width * block_tokens
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    cuts = files.select(F.col("path").alias("file"), "content", F.explode(F.expr(f"sequence(0L, cast((length - 1) div {step} as bigint))")).alias("block"))
-    return cuts.select("file", "block", F.substring("content", F.col("block").cast("int") * step + 1, F.lit(step)).alias("ids"))
+    ``width`` bytes, cut into blocks without regard to documents. Spark lists the files
+    with their lengths; their content is only read by range."""
+    files = spark.read.format("binaryFile").load(path)
+    return ranges(files.select(F.col("path").alias("file"), "path", "length"), width, block_tokens)
 
 
-def flat_tokens(docs: DataFrame, vocab: dict, separator: int, width: int = 2, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Documents as flat token streams, one per partition, each document followed by
-    ``separator``: rows (file, number, ids) for the blocks, and rows (file, number,
-    doc_id, named) that say which document came when, without its length."""
+def write_flat(docs: DataFrame, folder: str, vocab: dict, separator: int, width: int = 2, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Documents as raw token files below ``folder``, one per partition, each document
+    followed by ``separator``: a row (file, path, length) for each file, and rows (file,
+    number, doc_id, named) that say which document came when, without its length.
+
+    Every attempt of a task writes a file of its own name, and only the rows of the one
+    that ended well name theirs; store them at once."""
     small_batches()
     given = column(docs, doc_id)
     rows = docs.select(given.isNotNull().alias("named"), F.coalesce(given.cast("long"), F.lit(0)).alias("doc_id"), column(docs, text).alias("text"))
-    kind = f"<u{width}"
+    kind, names = f"<u{width}", ["file", "number", "doc_id", "named", "path", "length"]
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, block, document, waiting, held = TaskContext.get().partitionId(), 0, 0, [], 0
-        for frame in frames:
-            out = []
-            for text in frame["text"]:
-                ids = np.append(token_ids(text, **vocab, ordinary=True), separator).astype(kind)
-                waiting.append(ids)
-                held += len(ids)
-                if held >= block_tokens:
-                    flat = np.concatenate(waiting)
-                    for at in range(0, held - block_tokens + 1, block_tokens):
-                        out.append((file, block, flat[at : at + block_tokens].tobytes(), None, None))
-                        block += 1
-                    waiting, held = [flat[held - held % block_tokens :]], held % block_tokens
-            names = pd.DataFrame({"file": file, "number": np.arange(document, document + len(frame)), "ids": None, "doc_id": frame["doc_id"].to_numpy(), "named": frame["named"].to_numpy()})
-            document += len(frame)
-            yield names
-            if out:
-                yield pd.DataFrame(out, columns=names.columns)
-        if held:
-            yield pd.DataFrame([(file, block, np.concatenate(waiting).tobytes(), None, None)], columns=["file", "number", "ids", "doc_id", "named"])
-
-    return rows.mapInPandas(write, "file long, number long, ids binary, doc_id long, named boolean")
+        file, document, held, waiting, length, sink = TaskContext.get().partitionId(), 0, 0, [], 0, None
+        path = f"{folder.rstrip('/')}/{file:06d}-{uuid.uuid4().hex}.bin"
+        system, inner = opened(path)
+        try:
+            for frame in frames:
+                for text in frame["text"]:
+                    if sink is None:
+                        system.create_dir(inner.rpartition("/")[0], recursive=True)
+                        sink = system.open_output_stream(inner)
+                    ids = np.append(token_ids(text, **vocab, ordinary=True), separator).astype(kind)
+                    waiting.append(ids.tobytes())
+                    held += len(ids)
+                    length += width * len(ids)
+                    if held >= block_tokens:
+                        sink.write(b"".join(waiting))
+                        waiting, held = [], 0
+                yield pd.DataFrame({"file": file, "number": np.arange(document, document + len(frame)), "doc_id": frame["doc_id"].to_numpy(), "named": frame["named"].to_numpy(), "path": None, "length": 0})[names]
+                document += len(frame)
+            if sink is not None:
+                sink.write(b"".join(waiting))
+        finally:
+            if sink is not None:
+                sink.close()
+        if length:
+            yield pd.DataFrame([(file, 0, 0, False, path, length)], columns=names)
+
+    return rows.mapInPandas(write, "file long, number long, doc_id long, named boolean, path string, length long")
 
 
 def scan(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -112,12 +155,13 @@ def token_counts(blocks: DataFrame, separator: int, width: int = 2, stretch: int
 
 
 def document_tokens(docs: DataFrame, vocab: dict, separator: int, width: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, file, ordinal, n_tokens): ``docs`` written as flat token files to the
+    """(doc_id, file, ordinal, n_tokens): ``docs`` written as raw token files to the
     shared folder, and counted there by their separators alone.
 
     Null and empty texts have no token; a text that spells the separator is ordinary
     text. A null id stays null, repeated rows each count, other columns are ignored."""
-    flat = stored(flat_tokens(docs, vocab, separator, width, doc_id, text))
-    counted = token_counts(flat.where("ids is not null").select("file", F.col("number").alias("block"), "ids"), separator, width)
-    names = flat.where("ids is null").select("file", F.col("number").alias("ordinal"), F.when(F.col("named"), F.col("doc_id")).alias("doc_id"))
+    folder = f"{shared_folder(docs.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    written = stored(write_flat(docs, folder, vocab, separator, width, doc_id, text))
+    counted = token_counts(ranges(written.where("path is not null").select("file", "path", "length"), width), separator, width)
+    names = written.where("path is null").select("file", F.col("number").alias("ordinal"), F.when(F.col("named"), F.col("doc_id")).alias("doc_id"))
     return names.join(counted, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")

@@ -259,6 +259,19 @@ def test_separators_across_blocks(spark, tmp_path, width):
         assert sorted((r["file"].rpartition("/")[2], r["ordinal"], r["n_tokens"], r["ended"]) for r in got) == sorted(want)
 
 
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    ids = np.random.default_rng(3).integers(0, 50, 40_000).astype("<u2")
+    (tmp_path / "a b.bin").write_bytes(ids.tobytes())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = tokens.flat_blocks(spark, str(tmp_path), block_tokens=100)
+    got = blocks.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) > 2
+    assert b"".join(bytes(r["ids"]) for r in sorted(got, key=lambda r: r["block"])) == ids.tobytes()
+    ends = np.flatnonzero(ids == 7)
+    counts = sorted((r["ordinal"], r["n_tokens"]) for r in tokens.token_counts(blocks, 7).where("ended").collect())
+    assert counts == list(enumerate((np.diff(np.concatenate([[-1], ends])) - 1).tolist()))
+
+
 def test_token_counts_of_documents(spark):
     vocab = packing.vocabulary()
     want = {r["doc_id"]: len(packing.token_ids(r["text"], **vocab, ordinary=True)) for r in table(spark, SF, "documents").collect()}
