@@ -18,12 +18,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, 0.8): the one
-    with the smallest id, and of rows with that id one. Rows without an id stay."""
+    with the smallest id, and of rows with that id the first by its JSON form. Rows
+    without an id stay."""
     groups = jaccard.jaccard_components(docs, k=5, percent=80)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti")
     twice = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[column(docs, c) for c in docs.columns])).alias("row")).select("row.*")
+    row = F.struct(*[column(docs, c) for c in docs.columns])
+    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
