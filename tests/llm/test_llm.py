@@ -833,3 +833,13 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, none):
 def test_heap_merge_equals_stable_sort():
     runs = [np.sort(np.random.default_rng(k).integers(0, 99, 20)) for k in range(6)]
     assert np.sort(np.concatenate(runs), kind="stable").tolist() == list(heapq.merge(*map(list, runs)))
+
+
+def test_one_of_repeated_rows_with_a_map(spark):
+    import corpus_pipeline
+
+    rows = docs(spark, [(1, "one two three", "a"), (1, "one two three", "a"), (2, "four", "a")])
+    rows = rows.withColumn("extra", F.create_map(F.lit("k"), "source"))
+    out = corpus_pipeline.one_of_group(spark, rows, SF)
+    assert out.columns == rows.columns
+    assert sorted((r["doc_id"], r["extra"]["k"]) for r in out.collect()) == [(1, "a"), (2, "a")]
