@@ -12,6 +12,7 @@ Texts are read for the chunks left whose terms need a pattern or a phrase checke
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,12 +21,14 @@ from folioscope.functions.numbers import rounded
 from folioscope.functions.text import WORD_RUN, words
 from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.lexical import (
-    ENTITY_PART, ENTITY_PHRASE, ENTITY_TOKEN, FIELD, LETTERS, MODALITY_CODES, QUERY_KEYS, WORD, query_totals, rank_scored, search_terms, searchable, sum_points, traits_of,
+    ENTITY_PART, ENTITY_PHRASE, ENTITY_TOKEN, FIELD, LETTERS, MODALITY_CODES, QUERY_KEYS, TERM_BYTES, WORD, query_totals, rank_scored, search_terms, searchable, sum_points, traits_of,
 )
 from folioscope.session import checkpointed, spread
+from folioscope.sizing import block_of, blocks_needed, small_side
 
 # Chunk numbers of a list: 2 ** BLOCK_BITS; of a shelf of texts: 2 ** SHELF_BITS.
 BLOCK_BITS, SHELF_BITS = 12, 16
+BLOCK_SIZE = 1 << BLOCK_BITS
 # Postings that a question's seed terms read at least, by asked chunk.
 SEED_POSTINGS = 8
 # Candidates, by asked chunk, that are scored before the others are judged again.
@@ -57,6 +60,15 @@ class PostingIndex:
     def lists(self) -> DataFrame:
         return self._read("lists")
 
+    @property
+    def parts(self) -> DataFrame:
+        """Lists, as those of words, of the word parts that searches asked for so far."""
+        return self._read("parts")
+
+    @property
+    def listed(self) -> DataFrame:
+        return self.lists.drop("part").unionByName(self.parts)
+
     @property
     def dictionary(self) -> DataFrame:
         return self._read("dictionary")
@@ -68,7 +80,7 @@ class PostingIndex:
 
 def build_postings(chunks: DataFrame, path: str, parts: int = 16) -> PostingIndex:
     """Write the index of ``chunks`` to ``path``; lists and dictionary are laid out in
-    ``parts`` folders by hash of the token. Two shuffles of (token, number) rows; a list
+    ``parts`` folders by hash of the token. One shuffle of (token, number) rows; a list
     holds at most 2 ** BLOCK_BITS chunks, so a word of every chunk is many rows."""
     spark = chunks.sparkSession
     index = PostingIndex(spark, path)
@@ -89,16 +101,17 @@ def build_postings(chunks: DataFrame, path: str, parts: int = 16) -> PostingInde
     every = F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("bits")))
     found = listed.select("no", F.explode(F.concat(every, *held)).alias("t")).select("no", "t.token", "t.bits")
     block, part = F.shiftright("no", BLOCK_BITS), F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int")
-    lists = found.groupBy("token", block.alias("block")).agg(F.collect_list(F.struct("no", "bits")).alias("entries"))
-    # blocks of a frequent token may be written by several tasks
-    dealt = lists.withColumn("part", part).repartition("part", F.pmod("block", F.lit(8))).sortWithinPartitions("part", "token", "block")
-    dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/lists")
+    # one shuffle makes and lays out the lists; blocks of a frequent token may be written by several tasks
+    dealt = found.withColumn("block", block).withColumn("part", part).withColumn("turn", F.pmod("block", F.lit(8))).repartition("part", "turn")
+    lists = dealt.groupBy("part", "turn", "token", "block").agg(F.collect_list(F.struct("no", "bits")).alias("entries"))
+    lists.drop("turn").sortWithinPartitions("part", "token", "block").write.mode("overwrite").partitionBy("part").parquet(f"{path}/lists")
+    index.lists.drop("part").limit(0).write.mode("overwrite").parquet(f"{path}/parts")
     seen = F.aggregate("entries", F.lit(0), lambda s, e: s.bitwiseOR(e["bits"]))
     held = index.lists.select("part", "token", F.size("entries").alias("n"), seen.alias("bits"))
     known = held.groupBy("part", "token").agg(F.sum("n").alias("df"), F.bit_or("bits").alias("seen"))
     known.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/dictionary")
     gram = F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(LETTERS), F.lit(1))))
-    index.dictionary.select("token", gram.alias("gram")).repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
+    index.dictionary.select("token", gram.alias("gram")).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
     return index
 
 
@@ -110,24 +123,53 @@ def by_rarest_word(index: PostingIndex, terms: DataFrame) -> DataFrame:
     first = F.when(F.rlike("phrase", F.lit(r"^[^\p{L}\p{N}_]")), 1).otherwise(2)
     last = F.size(runs) - F.when(F.rlike("phrase", F.lit(r"[^\p{L}\p{N}_]$")), 0).otherwise(1)
     inner = F.array_distinct(F.slice(runs, first, F.greatest(last - first + 1, F.lit(0))))
-    each = terms.where(led).withColumn("word", F.explode(inner)).join(index.dictionary.select(F.col("token").alias("word"), "df"), "word", "left")
+    asked = checkpointed(terms.where(led).withColumn("word", F.explode(inner)))
+    # the words that are known come back, not the dictionary
+    known = index.dictionary.select(F.col("token").alias("word"), "df").join(small_side(asked.select("word").distinct(), TERM_BYTES), "word", "left_semi")
+    each = asked.join(known, "word", "left")
     rarest = each.groupBy(*QUERY_KEYS, "ent").agg(F.min_by("word", "df").alias("word"), F.count_if(F.col("df").isNull()).alias("unknown")).where("unknown = 0")
     moved = terms.where(led).join(rarest.drop("unknown"), [*QUERY_KEYS, "ent"]).withColumn("token", F.col("word"))
     return terms.where(~led).unionByName(moved.select(terms.columns))
 
 
+def part_key() -> Column:
+    """What lists of a part-of-word term go by: no word, as it starts with a control character."""
+    return F.concat_ws("\x01", F.lit(""), "pattern", "phrase")
+
+
+def keep_parts(index: PostingIndex, parts: DataFrame) -> None:
+    """Add the lists of ``parts`` that the index lacks: chunks with a word that holds the
+    part. Words are as many as the corpus has, parts as few as the questions, so later
+    steps meet one short list a part and block. Matching words go to the lists by
+    broadcast, in several passes beyond its bound."""
+    wanted = parts.select("gram", "pattern", "phrase", part_key().alias("key")).distinct()
+    fresh = checkpointed(wanted.join(F.broadcast(index.parts.select(F.col("token").alias("key")).distinct()), "key", "left_anti"))
+    # the first word of a longer phrase ends a word of the chunk, its last one begins one
+    part, first, last = F.col("pattern"), F.startswith("phrase", F.col("pattern")), F.endswith("phrase", F.col("pattern"))
+    within = F.when(F.col("phrase").isNull() | ~(first | last), F.contains("token", part)).otherwise((first & F.endswith("token", part)) | (last & F.startswith("token", part)))
+    inside = checkpointed(index.grams.join(small_side(fresh, TERM_BYTES), "gram").where(within).select("key", "token"))
+    passes = blocks_needed(inside, TERM_BYTES)
+    held = [
+        block_of(index.lists, ["token"], turn, passes).join(F.broadcast(block_of(inside, ["token"], turn, passes)), "token").select("key", "block", F.inline("entries"))
+        for turn in range(passes)
+    ]
+    lists = reduce(DataFrame.unionByName, held).groupBy(F.col("key").alias("token"), "block", "no").agg(F.bit_or("bits").alias("bits"))
+    lists = lists.groupBy("token", "block").agg(F.collect_list(F.struct("no", "bits")).alias("entries"))
+    lists.write.mode("append").parquet(f"{index.path}/parts")
+
+
 def lookups(index: PostingIndex, terms: DataFrame) -> DataFrame:
-    """``terms`` by the dictionary: (..., token, df, unit, most). Part-of-word terms become
-    the words that hold the part, phrases are found by their rarest word, and terms that
+    """``terms`` by the dictionary: (..., token, df, unit, most). Part-of-word terms are
+    found by the part's own lists, phrases by their rarest word, and terms that
     no chunk has are gone. ``most`` is the most
     that the ``unit`` of a term can add to a score; an entity is
     matched only in chunks that hold one of its ``gate`` terms."""
-    parts = terms.where(F.col("kind") == ENTITY_PART).withColumnRenamed("token", "gram")
-    # the first word of a longer phrase ends a word of the chunk, its last one begins one
-    part, first, last = F.col("pattern"), F.startswith("phrase", F.col("pattern")), F.endswith("phrase", F.col("pattern"))
-    within = F.when(F.col("phrase").isNull() | ~(first | last), F.contains("token", part)).otherwise((first & F.endswith("token", part)) | (last & F.startswith("token", part)))
-    inside = parts.join(index.grams, "gram").where(within).drop("gram").withColumn("pattern", F.lit(None).cast("string"))
-    whole = by_rarest_word(index, terms.where(F.col("kind") != ENTITY_PART)).unionByName(inside).join(index.dictionary.drop("part"), "token")
+    parts = checkpointed(terms.where(F.col("kind") == ENTITY_PART).withColumnRenamed("token", "gram"))
+    keep_parts(index, parts)
+    inside = parts.withColumn("token", part_key()).withColumn("pattern", F.lit(None).cast("string")).select(terms.columns)
+    wanted = checkpointed(by_rarest_word(index, terms.where(F.col("kind") != ENTITY_PART)).unionByName(inside))
+    known = index.dictionary.drop("part").unionByName(index.parts.groupBy("token").agg(F.sum(F.size("entries")).alias("df"), F.lit(0).alias("seen")))
+    whole = known.join(small_side(wanted, TERM_BYTES), "token")
     kind = F.col("kind")
     most = (
         F.when(kind == WORD, F.col("weight") * segment_points(F.col("seen")))
@@ -144,13 +186,36 @@ def lookups(index: PostingIndex, terms: DataFrame) -> DataFrame:
     return named.withColumn("gate", F.when(F.col("kind") == ENTITY_TOKEN, rarest).otherwise(F.col("kind") >= ENTITY_PHRASE))
 
 
+def block_bits(pairs: DataFrame) -> DataFrame:
+    """(query_id, step, block, held) of ``pairs`` (query_id, step, no): ``held`` has a bit
+    for every chunk number of the block, 64 in each of its longs."""
+    place = F.col("no").bitwiseAND(F.lit(BLOCK_SIZE - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    named = pairs.select(*QUERY_KEYS, F.shiftright("no", BLOCK_BITS).alias("block"), F.shiftright(place, 6).cast("int").alias("at"), bit.alias("bit"))
+    longs = named.groupBy(*QUERY_KEYS, "block", "at").agg(F.bit_or("bit").alias("bits"))
+    by_place = longs.groupBy(*QUERY_KEYS, "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("by_place"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_SIZE // 64 - 1)), lambda i: F.coalesce(F.element_at("by_place", i), F.lit(0).cast("long")))
+    return by_place.select(*QUERY_KEYS, "block", filled.alias("held"))
+
+
 def hits_of(pairs: DataFrame, index: PostingIndex, asked: DataFrame) -> DataFrame:
     """Terms of ``asked`` that the chunks of ``pairs`` (query_id, step, no) hold, with the
-    segments as ``bits``. Only lists of blocks that have such chunks are opened."""
-    blocks = pairs.select(*QUERY_KEYS, F.shiftright("no", BLOCK_BITS).alias("block")).distinct()
-    opened = index.lists.drop("part").join(blocks.join(asked, QUERY_KEYS), ["token", "block"])
-    held = opened.select(*asked.columns, F.inline("entries"))
-    return held.join(pairs.select(*QUERY_KEYS, "no"), [*QUERY_KEYS, "no"])
+    segments as ``bits``. Lists stay where they are read: they meet the chunks asked for as
+    bits of their blocks, in several passes if those are beyond the broadcast bound, and
+    only entries of these chunks leave their list."""
+    wanted = checkpointed(block_bits(pairs))
+    passes = blocks_needed(wanted, BLOCK_SIZE // 8 + TERM_BYTES)
+
+    def one(turn: int) -> DataFrame:
+        part = block_of(wanted, ["block"], turn, passes)
+        opened = block_of(index.listed, ["block"], turn, passes).join(small_side(asked, TERM_BYTES), "token")
+        met = opened.join(F.broadcast(part), [*QUERY_KEYS, "block"])
+        place = lambda e: e["no"].bitwiseAND(F.lit(BLOCK_SIZE - 1))
+        at = lambda e: F.element_at("held", (F.shiftright(place(e), 6) + 1).cast("int"))
+        inside = F.filter("entries", lambda e: F.getbit(at(e), place(e).bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return met.withColumn("entries", inside).select(*asked.columns, F.inline("entries"))
+
+    return reduce(DataFrame.unionByName, [one(turn) for turn in range(passes)])
 
 
 def with_checks(hits: DataFrame, index: PostingIndex) -> DataFrame:
@@ -162,7 +227,8 @@ def with_checks(hits: DataFrame, index: PostingIndex) -> DataFrame:
     doubtful = hits.where(needed)
     shelves = [r[0] for r in doubtful.select(F.shiftright("no", SHELF_BITS)).distinct().collect()]
     texts = index.texts.where(F.col("shelf").isin(shelves)) if shelves else index.texts.limit(0)
-    read = doubtful.join(texts.select("no", "name", "cap", "sec", "body"), "no").withColumn("whole", F.concat_ws(" ", "name", "cap", "sec", "body"))
+    # few hits are doubtful: they go to the texts, unless they are too many
+    read = texts.select("no", "name", "cap", "sec", "body").join(small_side(doubtful, 3 * TERM_BYTES), "no").withColumn("whole", F.concat_ws(" ", "name", "cap", "sec", "body"))
     bits = F.lit(0)
     for segment, bit, _ in SEGMENTS:
         bits = bits.bitwiseOR(F.when(F.rlike(segment, F.col("pattern")), F.col("bits").bitwiseAND(F.lit(bit))).otherwise(0))
@@ -196,12 +262,21 @@ def _bound(points: Column, entity: Column) -> Column:
     return rounded(top * F.greatest(F.col("boost"), lifted), 4) + SLACK
 
 
+def by_block(lists: DataFrame, index: PostingIndex) -> DataFrame:
+    """``lists`` with all rows of a block in one task; tasks grow in number with the index."""
+    session = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+    return lists.repartition(max(session, 4 * index.lists.rdd.getNumPartitions()), "block")
+
+
 def found_by(index: PostingIndex, asked: DataFrame) -> DataFrame:
-    """(query_id, step, no, unit, points, gate) of every chunk in the lists of ``asked``,
+    """(block, query_id, step, no, unit, points, gate) of every chunk in the lists of ``asked``,
     ``points`` being the most that the unit adds there."""
-    entries = index.lists.join(asked, "token").select(*QUERY_KEYS, "kind", "unit", "weight", "most", "gate", F.inline("entries"))
+    known = small_side(asked, TERM_BYTES)
+    # lists of asked words move once, by block and as lists: what the block's chunks hold is then summed up in place
+    opened = index.listed.join(small_side(asked.select("token").distinct(), TERM_BYTES), "token", "left_semi")
+    entries = by_block(opened, index).join(known, "token").select(*QUERY_KEYS, "block", "kind", "unit", "weight", "most", "gate", F.inline("entries"))
     points = F.when(F.col("kind") == WORD, F.col("weight") * segment_points(F.col("bits"))).otherwise(F.col("most"))
-    return entries.groupBy(*QUERY_KEYS, "no", "unit").agg(F.max(points).alias("points"), F.max("gate").alias("gate"))
+    return entries.groupBy("block", *QUERY_KEYS, "no", "unit").agg(F.max(points).alias("points"), F.max("gate").alias("gate"))
 
 
 def candidate_pairs(index: PostingIndex, asked: DataFrame, totals: DataFrame, max_k: int) -> DataFrame:
@@ -232,9 +307,9 @@ def candidate_pairs(index: PostingIndex, asked: DataFrame, totals: DataFrame, ma
     leading = judged.where(~F.col("idle")).select(*QUERY_KEYS, "unit")
     rest = judged.groupBy(*QUERY_KEYS).agg(F.sum(F.when(F.col("idle"), F.col("most")).otherwise(0.0)).alias("rest"), F.max(F.col("idle") & F.col("gate")).alias("rest_entity"))
     met = found_by(index, asked.join(leading, [*QUERY_KEYS, "unit"], "left_semi"))
-    sums = met.groupBy(*QUERY_KEYS, "no").agg(F.sum("points").alias("points"), F.max("gate").alias("entity"))
+    sums = met.groupBy("block", *QUERY_KEYS, "no").agg(F.sum("points").alias("points"), F.max("gate").alias("entity"))
     able = _bound(F.col("points") + F.col("rest"), F.col("entity") | F.col("rest_entity")) >= F.col("threshold")
-    open_ = checkpointed(sums.join(rest, QUERY_KEYS).join(known, QUERY_KEYS).where(able).select(*QUERY_KEYS, "no", "points", "entity", "rest", "rest_entity"))
+    open_ = checkpointed(sums.join(small_side(rest, TERM_BYTES), QUERY_KEYS).join(small_side(known, TERM_BYTES), QUERY_KEYS).where(able).select(*QUERY_KEYS, "no", "points", "entity", "rest", "rest_entity"))
     # the most promising of them raise the threshold once more
     best = Window.partitionBy(*QUERY_KEYS).orderBy(F.desc("points"), "no")
     promising = open_.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SECOND_LOOK * max_k)

@@ -24,6 +24,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # plans name whole paths, however long the folder's name is
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -54,3 +54,25 @@ def test_empty_index_and_no_questions(spark, tmp_path):
     chunks = spark.createDataFrame(CHUNKS, CHUNK_DDL)
     index = postings.build_postings(chunks, str(tmp_path / "index"))
     assert postings.postings_topk(asked(spark, ["garrison"]).limit(0), index).count() == 0
+
+
+def test_part_of_words_is_one_list(spark, tmp_path):
+    many = [chunk(k, f"file{k}.txt", f"stonewatch{chr(97 + k)} held the gate") for k in range(20)]
+    index = postings.build_postings(spark.createDataFrame(many, CHUNK_DDL), str(tmp_path / "index"))
+    terms = lexical.search_terms(asked(spark, ["garrison of Stonewatch"]))
+    found = postings.lookups(index, terms)
+    part = found.where(found.kind == lexical.ENTITY_PART).collect()
+    assert [r["df"] for r in part] == [20]
+    again = postings.lookups(index, terms)
+    assert index.parts.selectExpr("sum(size(entries))").first()[0] == 20 and again.count() == found.count()
+
+
+def test_lists_stay_where_they_are_read(spark, tmp_path):
+    index = postings.build_postings(spark.createDataFrame(CHUNKS, CHUNK_DDL), str(tmp_path / "index"))
+    terms = checkpointed(postings.lookups(index, lexical.search_terms(asked(spark, ["garrison of Stonewatch"]))))
+    pairs = postings.found_by(index, terms).select("query_id", "step", "no").distinct()
+    hits = postings.hits_of(pairs, index, terms)
+    assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+    by_name = {(r["no"], r["token"]) for r in hits.collect()}
+    every = {(r["no"], r["token"]) for r in index.listed.selectExpr("token", "inline(entries)").join(terms, "token").collect()}
+    assert by_name == every
