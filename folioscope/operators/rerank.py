@@ -11,13 +11,20 @@ from folioscope.lexicon import DEFAULT, Lexicon
 from folioscope.operators.matching import full_text, matched_fields
 
 
+def with_chunk_words(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with their lower-cased text and its distinct words, as
+    ``with_rerank_terms`` needs them: found once here, not for each question of a chunk."""
+    return chunks.withColumn("_text", full_text()).withColumn("_words", words(F.col("_text")))
+
+
 def with_rerank_terms(rows: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     """Add every term of the composite score as a ``t_*`` column.
 
     ``rows`` joins a candidate's text and scores with its question's ``question``,
-    ``entities`` and ``fields``.
+    ``entities`` and ``fields``; words that the chunks brought along are used.
     """
-    text, found = F.col("_text"), F.col("_words")
+    rows = rows if {"_text", "_words"} <= set(rows.columns) else with_chunk_words(rows)
+    text, found = F.col("_text"), F.col("_hits")
 
     def entity_points(e: Column) -> Column:
         every = let(
@@ -36,9 +43,9 @@ def with_rerank_terms(rows: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     reliability = F.lower(F.coalesce("source_reliability", F.lit("archive_record")))
     matched = F.size(F.filter("_points", lambda p: p > 0))
     return (
-        rows.withColumn("_text", full_text())
-        .withColumn("_words", words(F.col("_text")))
-        .withColumn("_keywords", without(query_tokens(F.lower(strip(F.col("question")))), lex.rerank_stop))
+        rows.withColumn("_keywords", without(query_tokens(F.lower(strip(F.col("question")))), lex.rerank_stop))
+        # of the many words of a chunk only those asked for are compared one by one
+        .withColumn("_hits", F.array_intersect("_words", F.concat("_keywords", query_tokens(F.array_join(F.transform("entities", F.lower), " ")))))
         .withColumn("_points", F.transform(F.transform("entities", F.lower), entity_points))
         .withColumn(
             "t_entity",
@@ -78,7 +85,7 @@ def with_rerank_terms(rows: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
             "t_penalty",
             F.when((F.size("entities") > 0) & (matched == 0) & (F.size(keywords) > 0), 0.2).otherwise(1.0),
         )
-        .drop("_text", "_words", "_keywords", "_points")
+        .drop("_text", "_words", "_keywords", "_hits", "_points")
     )
 
 

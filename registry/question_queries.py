@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope import lexicon as L
 from folioscope.operators import query_features as Q
+from folioscope.session import dealt
 from registry import inputs as I
 from registry.sql import ASKED, ROUTED, alternation, any_hit, any_in, ascii_words, count_hits, entity_ctes, fields, hit, lst
 
@@ -53,7 +54,7 @@ def query_structure(spark, sf):
 
 def query_decompose(spark, sf):
     """Comparative, relational, quantitative and summary questions about parts."""
-    p = I.table(spark, sf, "part")
+    p = dealt(I.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"))
     k = F.col("p_partkey") % 4
     question = (
         F.when(k == 0, F.concat(F.lit("compare "), "p_name", F.lit(" with "), F.lower("p_brand"), F.lit(" cost?")))
@@ -62,7 +63,9 @@ def query_decompose(spark, sf):
         .otherwise(F.concat(F.lit("chronology of "), "p_name"))
     )
     f = Q.with_features(p.select(F.col("p_partkey").alias("query_id"), question.alias("question")))
-    return f.select("query_id", F.posexplode("sub_queries").alias("pos", "sub_query")).select("query_id", (F.col("pos") + 1).alias("step"), "sub_query")
+    # an inner explode would find the sub-queries twice, once for a filter below the exchange
+    found = f.select("query_id", F.posexplode_outer("sub_queries").alias("pos", "sub_query")).where("pos is not null")
+    return found.select("query_id", (F.col("pos") + 1).alias("step"), "sub_query")
 
 
 DECOMPOSE_SQL = """

@@ -15,7 +15,7 @@ from folioscope.operators.lexical import lexical_topk
 from folioscope.operators.matching import entity_matches, evidence_text
 from folioscope.operators.postings import postings_topk
 from folioscope.operators.prune import elbow, token_pack
-from folioscope.operators.rerank import cross_relevance, rerank, with_rerank_terms
+from folioscope.operators.rerank import cross_relevance, rerank, with_chunk_words, with_rerank_terms
 from folioscope.operators.vectors import vector_topk
 from folioscope.operators.verify import entity_coverage, field_coverage, verification_report, with_gate
 from folioscope.operators.index import index_records
@@ -178,12 +178,12 @@ TERMS = ["t_entity", "t_dossier", "t_field", "t_keywords", "t_phrase", "t_media"
 
 
 def rerank_score(spark, sf):
-    scored = with_rerank_terms(I.candidates(spark, sf)).withColumn("rerank_score", cross_relevance())
+    scored = with_rerank_terms(I.candidates(spark, sf, prepare=with_chunk_words)).withColumn("rerank_score", cross_relevance())
     return scored.select("query_id", "chunk_id", *TERMS, "rerank_score")
 
 
 def rerank_topk(spark, sf):
-    return rerank(I.candidates(spark, sf), 6).select("query_id", "chunk_id", "relevance_score", "rank")
+    return rerank(I.candidates(spark, sf, prepare=with_chunk_words), 6).select("query_id", "chunk_id", "relevance_score", "rank")
 
 
 def rerank_ctes(source: str) -> str:
@@ -234,20 +234,19 @@ g2 AS (SELECT *, list_filter(entities, lambda e: contains(ev, {single('trim(lowe
 gated AS (SELECT *, (len(entities) = 0 OR len(verified_entities) > 0 OR (tablelike AND len(verified_fields) > 0)) AS kept FROM g2)"""
 
 
-def _structured(spark, sf):
-    return checkpointed(Q.analyze_structure(I.asked(spark, sf)))
-
-
 def cover_entities(spark, sf):
-    return entity_coverage(_structured(spark, sf), with_gate(I.candidates(spark, sf)))
+    asked = I.structured(spark, sf)
+    return entity_coverage(asked, with_gate(I.candidates(spark, sf, asked)))
 
 
 def cover_fields(spark, sf):
-    return field_coverage(_structured(spark, sf), with_gate(I.candidates(spark, sf)))
+    asked = I.structured(spark, sf)
+    return field_coverage(asked, with_gate(I.candidates(spark, sf, asked)))
 
 
 def sufficiency(spark, sf):
-    r = verification_report(_structured(spark, sf), with_gate(I.candidates(spark, sf)))
+    asked = I.structured(spark, sf)
+    r = verification_report(asked, with_gate(I.candidates(spark, sf, asked)))
     return r.select("query_id", "is_sufficient", "is_comparative", "retained_count", "pruned_count", F.size(F.filter(F.map_values("entity_coverage"), lambda v: v["found"])).alias("n_found"))
 
 
