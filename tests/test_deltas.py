@@ -77,3 +77,15 @@ def test_folder_fed_in_three_batches_is_one_read(spark, tmp_path):
     number = table.manifest()[0]
     ingest_stream(spark, str(root), table, str(tmp_path / "check"))
     assert table.manifest()[0] == number and table.read().count() == len(whole)
+
+
+def test_new_rows_are_not_written_with_every_batch(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), ROWS, buckets=1)
+    for k in range(17):
+        table.upsert(rows(spark, [(f"c{k}", 1, "x")]), batch=k, new=True)
+    assert held(table) == sorted((f"c{k}", 1, "x") for k in range(17))
+    written = spark.read.schema(ROWS).parquet(str(tmp_path / "t" / "data")).count()
+    assert written == 17 + 2 * 7  # 153, were all rows of the bucket written each time
+    assert [tier for _, tier in table.manifest()[1][0]] == [1, 1, 0]
+    table.upsert(rows(spark, [("c3", 2, "y")]), batch=17)
+    assert ("c3", 2, "y") in held(table) and len(held(table)) == 17
