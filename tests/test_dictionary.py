@@ -39,3 +39,14 @@ def test_hundred_thousand_keys(spark):
     rows = spark.range(2000).select("id", F.concat(F.lit("some key"), F.lpad((F.col("id") * 37).cast("string"), 6, "0"), F.lit(" here")).alias("text"))
     out = first_key(rows, F.col("text"), keys).where(F.col("place") == F.col("id") * 37)
     assert out.count() == 2000
+
+
+def test_keys_are_few_bytes_besides_their_letters():
+    import pickle
+
+    from folioscope.operators.dictionary import _packed
+
+    keys = [{"key": f"schlüssel{k}", "place": k} for k in range(10_000)]
+    ends, text, places = _packed(keys)
+    assert [text.decode()[ends[i] : ends[i + 1]] for i in (0, 77, 9_999)] == ["schlüssel0", "schlüssel77", "schlüssel9999"]
+    assert len(text) + ends.nbytes + places.nbytes < 32 * len(keys) and len(pickle.dumps((ends, text, places))) < 34 * len(keys)
