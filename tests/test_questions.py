@@ -59,3 +59,12 @@ def test_budget_and_override(spark):
 def test_structure_counts(spark):
     r = analyze_structure(ask(spark, ["What is the range of Stonewatch versus that of Oakhaven?"])).first()
     assert (r.entity_count, r.field_count, r.is_comparative) == (2, 1, True)
+
+
+def test_parts_are_dealt_to_all_tasks(spark):
+    from registry.question_queries import query_decompose
+
+    found = query_decompose(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    read = found._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+    assert "Scan parquet" in read and "regexp" not in read.lower() and "rlike" not in read.lower()
