@@ -51,7 +51,8 @@ def table_aggregates(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     """
     asking = queries.where(wants_aggregates(F.col("question"))).select("query_id")
     tables = parsed_tables(ranked.join(asking, "query_id", "left_semi"))
-    cells = tables.select("query_id", "rank", F.posexplode("rows").alias("row_no", "row")).select(
+    # an inner explode would parse every table a second time, for a filter on its rows
+    cells = tables.select("query_id", "rank", F.posexplode_outer("rows").alias("row_no", "row")).select(
         "query_id", "rank", "row_no", F.posexplode("row").alias("column_no", "column", "cell")
     )
     first = F.min(F.struct("rank", "row_no", "column_no", "cell")).alias("_first")

@@ -109,3 +109,10 @@ def test_table_aggregates(spark):
     assert not s[3].has_tables and s[3].matrix_markdown == ""
     none = column_stats(spark.createDataFrame([("k", "n/a")], "k string, cell string"), ["k"]).first()
     assert (none.n_values, none.sum_value, none.max_value) == (0, 0.0, 0.0)
+
+
+def test_tables_are_parsed_once(spark):
+    from registry import table_queries
+
+    plan = table_queries.aggregates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter " in line and "size(transform(" in line]
