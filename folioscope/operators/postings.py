@@ -144,6 +144,8 @@ def keep_parts(index: PostingIndex, parts: DataFrame) -> None:
     broadcast, in several passes beyond its bound."""
     wanted = parts.select("gram", "pattern", "phrase", part_key().alias("key")).distinct()
     fresh = checkpointed(wanted.join(F.broadcast(index.parts.select(F.col("token").alias("key")).distinct()), "key", "left_anti"))
+    if fresh.isEmpty():
+        return
     # the first word of a longer phrase ends a word of the chunk, its last one begins one
     part, first, last = F.col("pattern"), F.startswith("phrase", F.col("pattern")), F.endswith("phrase", F.col("pattern"))
     within = F.when(F.col("phrase").isNull() | ~(first | last), F.contains("token", part)).otherwise((first & F.endswith("token", part)) | (last & F.startswith("token", part)))
