@@ -21,6 +21,8 @@ ANY_CASE = "(?Udi)"
 # Question shapes that decide entities and sub-questions.
 PAIR = ANY_CASE + r"(?:compare|difference between)\s+(.+?)\s+(?:and|with|to)\s+(.+?)(?:\?|$)"
 VERSUS = ANY_CASE + r"(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\?|$)"
+# Looked for first: without it, VERSUS reads the rest of a question from each of its characters.
+VERSUS_WORD = ANY_CASE + r"\s(?:vs|versus)"
 RELATION = ANY_CASE + r"(mentor|successor|founder|leader|commander)\s+of\s+(.+?)(?:\s+who|\s+and|\?|$)"
 TITLE_RUN = r"(?U)\b[A-Z][a-zA-Z0-9_\-]*(?:\s+[A-Z][a-zA-Z0-9_\-]*)*\b"
 QUOTED = r"(?d)[\"'](.*?)[\"']"
@@ -145,7 +147,7 @@ def with_entities(queries: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
         & F.exists(F.split(e, r"(?U)\s+"), lambda w: ~in_list(F.lower(w), generic)),
     )
     pair = F.filter(
-        clean(F.when(text.rlike(PAIR), sides(PAIR)).when(text.rlike(VERSUS), sides(VERSUS)).otherwise(none)),
+        clean(F.when(text.rlike(PAIR), sides(PAIR)).when(text.rlike(VERSUS_WORD) & text.rlike(VERSUS), sides(VERSUS)).otherwise(none)),
         lambda e: (e != "") & named(e),
     )
     leftover = F.filter(query_tokens(text), lambda t: named(t) & ~in_list(F.lower(t), lex.alias_words))

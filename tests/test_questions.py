@@ -68,3 +68,14 @@ def test_parts_are_dealt_to_all_tasks(spark):
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     read = found._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
     assert "Scan parquet" in read and "regexp" not in read.lower() and "rlike" not in read.lower()
+
+
+def test_long_questions_take_linear_time(spark):
+    import time
+
+    long = " ".join(f"word{i % 7}" for i in range(30_000))
+    started = time.time()
+    rows = spark.createDataFrame([(1, long), (2, "the gate vs. the wall"), (3, "a gate VERSUS a wall?"), (4, "gatevs wall")], "query_id int, question string")
+    got = {r["query_id"]: r["entities"] for r in analyze_structure(rows).collect()}
+    assert time.time() - started < 20
+    assert got[1] == [long] and got[2] == ["gate", "wall"] and got[3] == ["gate", "wall"] and got[4] == ["gatevs wall"]
