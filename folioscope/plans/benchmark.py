@@ -19,6 +19,7 @@ from folioscope.operators.query_features import detect_modality_intent
 from folioscope.plans.answer import generate_answers
 from folioscope.plans.retrieve import retrieve
 from folioscope.session import checkpointed
+from folioscope.sizing import small_side
 
 
 def evaluate_answers(answers: DataFrame, media_catalog: DataFrame, latency: DataFrame | None = None, lex: Lexicon = DEFAULT) -> DataFrame:
@@ -66,7 +67,9 @@ def run_benchmark(
     answer, evaluate, summarise.  Questions out of scope are answered without context."""
     asked = questions.select("query_id", "question")
     packed = checkpointed(retrieve(asked, chunks, lex=lex, **retrieval))
-    answers = generate_answers(asked, packed, media_catalog, lex=lex).join(questions.drop("question"), "query_id")
+    answers = checkpointed(generate_answers(asked, packed, media_catalog, lex=lex).join(questions.drop("question"), "query_id"))
+    if latency is not None:  # often one row per event: only those of the questions are moved
+        latency = latency.join(small_side(asked.select("query_id"), 16), "query_id", "left_semi")
     results = checkpointed(evaluate_answers(answers, media_catalog, latency, lex))
     return results, evaluation_summary(results)
 

@@ -82,3 +82,19 @@ def test_generated_answers(spark):
 
     drafted = {r.query_id: r.answer for r in generate_answers(q, packed, catalog, drafts).collect()}
     assert drafted[1].startswith("Range per [annals.pdf, Page 18]: ") and drafted[0] == got[0]
+
+
+def test_benchmark_moves_the_latency_of_its_questions_only(spark, monkeypatch):
+    from folioscope.plans import benchmark
+
+    passed, evaluate = [], benchmark.evaluate_answers
+    monkeypatch.setattr(benchmark, "evaluate_answers", lambda a, m, latency, lex: passed.append(latency) or evaluate(a, m, latency, lex))
+    chunks = spark.createDataFrame(
+        [(f"c{i}", f"wiki_{i}.txt", 1, "S", "text", f"The garrison of Stonewatch had {i} men.", None, None, "wiki") for i in range(3)],
+        "chunk_id string, document_name string, page_number int, section_title string, modality string, content string, media_path string, caption string, source_reliability string",
+    )
+    questions = spark.createDataFrame([(7, "1a_7", "1A: x", "garrison of Stonewatch"), (8, "1b_8", "1A: x", "hello")], "query_id long, qid string, track string, question string")
+    latency = spark.range(1000).select(F.col("id").alias("query_id"), (F.col("id") / 10).alias("latency_sec"))
+    results, summary = benchmark.run_benchmark(questions, chunks, spark.createDataFrame([], "path string"), latency)
+    assert {r["query_id"]: r["latency_sec"] for r in results.collect()} == {7: 0.7, 8: 0.8} and summary.first()["total_questions"] == 2
+    assert {r["query_id"] for r in passed[0].collect()} == {7, 8}

@@ -264,6 +264,20 @@ def test_exploded_words_carry_no_texts(spark, tmp_path):
     assert len(found) > 20 and sorted(found) == sorted(postings.postings_topk(asked, index).select(*found[0].asDict()).collect())
 
 
+def test_only_asked_words_are_exploded(spark, monkeypatch):
+    chunks = spark.createDataFrame([chunk(i, f"garrison{i}.txt", f"garrison number {i} and other words of the text") for i in range(9)], CHUNK_DDL)
+    asked = with_features(spark.createDataFrame([(1, 'garrison of "number 3"'), (2, "other words")], "query_id int, question string"))
+    asked = checkpointed(asked.withColumn("step", F.lit(1)).withColumn("k", F.lit(5)))
+    exploded, make = [], lexical._postings
+    monkeypatch.setattr(lexical, "_postings", lambda *a: exploded.append(make(*a)) or exploded[-1])
+    found = [sorted(lexical.lexical_topk(asked, chunks).collect())]
+    monkeypatch.setattr(lexical, "LISTED_TOKENS", 0)
+    found.append(sorted(lexical.lexical_topk(asked, chunks).collect()))
+    of_content = [set(r["token"] for r in p.where("pos < to_body").collect()) for p in exploded]
+    assert found[0] == found[1] and len(found[0]) == 10
+    assert of_content[0] <= {"garrison", "number", "other", "words", "3"} and {"of", "the", "text"} < of_content[1]
+
+
 def test_hits_of_a_chunk_are_added_up_where_they_are_found(spark):
     chunks = spark.createDataFrame([chunk(i, f"d{i}.txt", f"garrison number {i}") for i in range(40)], CHUNK_DDL)
     asked = with_features(spark.createDataFrame([(1, "garrison number")], "query_id int, question string"))
