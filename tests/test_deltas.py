@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from folioscope.schema import CHUNK
-from folioscope.sources.corpus import read_corpus
+from folioscope.sources import corpus, documents
+from folioscope.sources.corpus import chunk_files, read_corpus
 from folioscope.sources.deltas import BucketTable, ingest_stream, with_free_ids
 
 ROWS = StructType().add("chunk_id", StringType()).add("version", IntegerType()).add("text", StringType())
@@ -89,3 +90,33 @@ def test_new_rows_are_not_written_with_every_batch(spark, tmp_path):
     assert [tier for _, tier in table.manifest()[1][0]] == [1, 1, 0]
     table.upsert(rows(spark, [("c3", 2, "y")]), batch=17)
     assert ("c3", 2, "y") in held(table) and len(held(table)) == 17
+
+
+def test_a_batch_lists_its_files_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Spark's own limit is a task a file, up to 10,000."""
+    key, seen, chunked = "spark.sql.sources.parallelPartitionDiscovery.parallelism", [], corpus.chunk_files
+    monkeypatch.setattr(corpus, "chunk_files", lambda *a, **b: seen.append(int(spark.conf.get(key))) or chunked(*a, **b))
+    (tmp_path / "in").mkdir()
+    for k in range(40):
+        (tmp_path / "in" / f"f{k}.txt").write_text(f"text {k}", encoding="utf-8")
+    table = BucketTable(spark, str(tmp_path / "t"), CHUNK, buckets=4)
+    ingest_stream(spark, str(tmp_path / "in"), table, str(tmp_path / "check"), files_per_batch=20)
+    assert seen == [4 * spark.sparkContext.defaultParallelism] * 2
+    assert spark.conf.get(key, None) == "10000" or spark.conf.get(key, None) is None  # as before
+    assert table.read().count() == 40
+
+
+def test_files_of_one_format_and_of_all(spark, tmp_path):
+    """Formats that a batch lacks are left out; those it has are read as ever."""
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (200).to_bytes(4, "big") * 2
+    given = [("in/a.md", b"# A\none"), ("in/b.txt", b"two"), ("in/c.png", png), ("in/d.docx", b"broken"), ("in/e.xyz", b"no")]
+    ids = lambda rows: sorted(r[0] for r in chunk_files(spark.createDataFrame(rows, "path string, content binary")).select("chunk_id").collect())
+    assert ids(given) == ["a_p1_c01", "b_p1_c01", "fig_c"]
+    assert [ids([row]) for row in given] == [["a_p1_c01"], ["b_p1_c01"], ["fig_c"], [], []]
+    plan = chunk_files(spark.createDataFrame(given[1:2], "path string, content binary"))._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Window" not in plan.partition("== Optimized")[2]  # no id is there twice
+
+
+def test_large_expressions_are_built_once(spark):
+    assert corpus._pieces(800, 150) is corpus._pieces(800, 150) and corpus._pieces(800, 150) is not corpus._pieces(120, 30)
+    assert documents._sections() is documents._sections()
