@@ -131,3 +131,10 @@ def test_new_rows_move_once(spark, tmp_path, monkeypatch):
     table.upsert(rows(spark, []).limit(0), batch=9, new=True)
     assert held(table) == sorted([(f"b{j}", 1, "x") for j in range(20)] + [(f"c{k}", 2, "y") for k in range(1, 9)])
     assert stored == [] and table.manifest()[2] == 9
+
+
+def test_empty_write_to_an_empty_table(spark, tmp_path):
+    for new in (False, True):
+        table = BucketTable(spark, str(tmp_path / f"t{new}"), ROWS, buckets=4)
+        table.upsert(rows(spark, []).limit(0), batch=3, new=new)
+        assert (table.manifest(), held(table)) == ((0, {}, 3), [])
